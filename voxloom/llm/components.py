@@ -1,0 +1,31 @@
+"""Connected components of links between ids, as joins and grouped minima."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from voxloom.llm.common import written
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id, label (the smallest id of its component) for every id in links (a, b).
+
+    Alternates two steps until nothing changes: every node ties its larger neighbours to its smallest neighbour, then its smaller
+    ones. Each keeps components whole, and edges contract to stars around the smallest ids in a few rounds. Nodes with very many
+    neighbours are only ever grouped by a minimum and joined.
+    """
+    edges = written(links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high > low").distinct(), "edges")
+    before = None
+    while True:
+        both = edges.union(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))  # node, neighbour
+        least = both.groupBy("high").agg(F.min("low").alias("m")).select("high", F.least("high", "m").alias("m"))
+        larger = both.where("low > high").join(least, "high").select(F.col("low").alias("high"), F.col("m").alias("low")).where("high > low").distinct()
+        smallest = larger.groupBy("high").agg(F.min("low").alias("m"))
+        smaller = larger.join(smallest, "high")
+        edges = written(smaller.select(F.when(F.col("low") == F.col("m"), F.col("high")).otherwise(F.col("low")).alias("high"), F.col("m").alias("low")).where("high > low").distinct(), "edges")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    return edges.groupBy("high").agg(F.min("low").alias("label")).select(F.col("high").alias("id"), "label").union(edges.select(F.col("low").alias("id"), F.col("low").alias("label")).distinct())

@@ -198,3 +198,14 @@ def scan(docs: DataFrame, least: np.ndarray | None = None, mask: str | None = No
 
     kept = [c for c in docs.columns if c not in {x.split()[0] for x in schema.split(", ")}]
     return docs.select(*(docs[c] for c in kept), found(text_of(docs)).alias("_found")).select(*kept, "_found.*")
+
+
+def redact(docs: DataFrame, mask: str, least: np.ndarray | None = None) -> DataFrame:
+    """docs with the secrets of their texts replaced by mask; all other columns stay."""
+    least = thresholds(docs) if least is None else least
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: redacted(text, spans_of(text, least), mask))
+
+    return docs.withColumn("text", clean(text_of(docs)))
