@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import arrow, documents, written
-from voxloom.llm.components import components
 from voxloom.llm.hashing import BASES, mixed, rolling, word_hashes, words_of
+from voxloom.operators.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
 SIZE, BANDS = 128, 32
