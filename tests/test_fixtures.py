@@ -68,7 +68,7 @@ def test_holes_and_distances(spark):
     ring[4, 4] = 0
     filled = plane_of(threshold.fill_holes(image(spark, ring), SIZE))
     assert filled[4, 4] == 1 and filled.sum() == 25 and filled[0, 0] == 0
-    d = plane_of(neighborhood.squared_distances(image(spark, ring)))
+    d = plane_of(neighborhood.squared_distances(image(spark, ring), axes=("x", "y")))
     zeros = np.argwhere(ring == 0)
     assert all(d[y, x] == ((zeros - (y, x)) ** 2).sum(axis=1).min() for y in range(10) for x in range(10))
 

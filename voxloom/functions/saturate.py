@@ -43,7 +43,7 @@ def clamp(value: Column, kind: str) -> Column:
     if kind in FLOATS:
         return value
     low, high = (F.lit(str(x)).cast(wide(kind)) for x in RANGES[kind])
-    return F.least(F.greatest(value, low), high)
+    return F.when(value.isNotNull(), F.least(F.greatest(value, low), high))  # least and greatest pass over nulls
 
 
 def saturate_cast(value: Column, kind: str) -> Column:
@@ -76,7 +76,7 @@ def mul(x: Column, y: Column, kind: str) -> Column:
     beyond = F.when((a < 0) == (b < 0), F.lit(str(high))).otherwise(F.lit(str(low))).cast(wide(kind))
     exact = a * b if width == "bigint" else F.try_multiply(a, b)
     product = exact.cast("decimal(38,0)") if wide(kind) != "bigint" else exact
-    inside = F.least(F.greatest(product, F.lit(str(low)).cast("decimal(38,0)")), F.lit(str(high)).cast("decimal(38,0)")).cast(wide(kind))
+    inside = F.when(product.isNotNull(), F.least(F.greatest(product, F.lit(str(low)).cast("decimal(38,0)")), F.lit(str(high)).cast("decimal(38,0)")).cast(wide(kind)))
     return F.when(x.isNull() | y.isNull(), None).otherwise(F.coalesce(inside, beyond)).cast(stored(kind))
 
 
@@ -87,14 +87,15 @@ def div(x: Column, y: Column, kind: str) -> Column:
     low, high = (F.lit(str(v)).cast(wide(kind)) for v in RANGES[kind])
     a, b = x.cast(wide(kind)), y.cast(wide(kind))
     safe = F.when(b == 0, F.lit(1).cast(wide(kind))).otherwise(b)
-    quotient = truncated(a, safe)
+    quotient = truncated(a, safe, wide(kind))
     over_zero = F.when(a == 0, F.lit(0).cast(wide(kind))).when(a > 0, high).otherwise(low)
     return F.when(b == 0, over_zero).otherwise(clamp(quotient, kind)).cast(stored(kind))
 
 
-def truncated(a: Column, b: Column) -> Column:
+def truncated(a: Column, b: Column, kind: str) -> Column:
     """Quotient of integers of any width, toward zero, without the overflow of the smallest long over -1."""
-    size = F.call_function("div", F.abs(a.cast("decimal(38,0)")), F.abs(b.cast("decimal(38,0)"))).cast("decimal(38,0)")
+    x, y = F.abs(a), F.abs(b)
+    size = F.call_function("div", x, y) if kind == "bigint" else ((x - x % y) / y).cast("decimal(38,0)")
     return F.when((a < 0) != (b < 0), -size).otherwise(size)
 
 

@@ -76,7 +76,7 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
         if picked.isEmpty():
             break
         chosen = picked.select("s", "d", "w") if chosen is None else chosen.union(picked.select("s", "d", "w"))
-        merged = components(picked.select("a", "b")).withColumnsRenamed({"id": "label", "label": "_new"})
+        merged = components(picked.select("a", "b")).select(F.col("id").alias("label"), F.col("label").alias("_new"))
         label = written(label.join(merged, "label", "left").select("id", F.coalesce("_new", "label").alias("label")), "forest")
     return edges.where("false").select("s", "d", "w") if chosen is None else chosen.distinct()
 

@@ -91,7 +91,7 @@ def roi_mask(ops: DataFrame) -> DataFrame:
 
     Each operation makes only the pixels of its own bounding box.
     """
-    ends = {f"{k}{e}": f(F.transform("pts", lambda p, k=k: p[k])) for k in "xy" for e, f in ((0, F.array_min), (1, F.array_max))}
+    ends = {f"{k}{e}": f(F.col(f"pts.{k}")) for k in "xy" for e, f in ((0, F.array_min), (1, F.array_max))}
     rows = ops.withColumns(ends)
     for k in "yx":
         rows = rows.withColumn(k, F.explode(F.sequence(F.ceil(f"{k}0").cast("bigint"), F.greatest(F.ceil(f"{k}0"), F.floor(f"{k}1")).cast("bigint"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -169,20 +169,25 @@ def majority(voxels: DataFrame, connectivity: int, dimensions: int, least: int)
     return voxels.join(counts, keys, "left").withColumn("v", (F.coalesce("_n", F.lit(0)) >= least).cast("bigint")).drop("_n")
 
 
-def squared_distances(voxels: DataFrame, spacing: Mapping[str, float] | None = None) -> DataFrame:
+def squared_distances(voxels: DataFrame, spacing: Mapping[str, float] | None = None, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """Squared Euclidean distance of every voxel to the nearest one that is 0, exactly: one pass of lower envelopes per axis, a task a line. Without such a voxel: infinity."""
     spacing = spacing or {}
     out = voxels.withColumn("v", F.when(F.col("v") == 0, 0.0).otherwise(float("inf")))
-    for axis in ("x", "y", "z"):
-        step, rest = float(spacing.get(axis, 1.0)), lines(out, axis)
+    for axis in axes:
+        rest = lines(out, axis)
         schema = ", ".join(f"{k} long" for k in [*rest, axis]) + ", v double"
+        out = out.select(*rest, axis, "v").groupBy(*rest).applyInPandas(lower_envelope(axis, float(spacing.get(axis, 1.0)), [*rest, axis, "v"]), schema)
+    return out
 
-        def envelope(own: pd.DataFrame, axis: str = axis, step: float = step) -> pd.DataFrame:
-            at, f = own[axis].to_numpy() * step, own["v"].to_numpy()
-            return own.assign(v=np.min((at[:, None] - at[None, :]) ** 2 + f[None, :], axis=1))
 
-        out = out.select(*rest, axis, "v").groupBy(*rest).applyInPandas(lambda own, f=envelope, c=[*rest, axis, "v"]: f(own)[c], schema)
-    return out
+def lower_envelope(axis: str, step: float, columns: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The least of squared gap plus value over a line."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        at, f = own[axis].to_numpy() * step, own["v"].to_numpy()
+        return own.assign(v=np.min((at[:, None] - at[None, :]) ** 2 + f[None, :], axis=1))[columns]
+
+    return run
 
 
 def correlation_at(a: DataFrame, b: DataFrame, shifts: Sequence[tuple[int, int, int]], least: int = 2) -> DataFrame:

@@ -84,7 +84,7 @@ def v04_extract_row(spark, sf):
     return region.extract(mapping.images(spark, sf), y=3, z=0).select("image_id", "x", "v")
 
 
-@query(f"WITH {VOX}, e AS (SELECT image_id, 0 AS y, 0 AS x, CAST(300 AS DOUBLE) AS n FROM vox WHERE y = 0 AND x = 0) SELECT a.image_id, a.y, a.x, coalesce(CAST(least(greatest(round(e.n), 0), 255) AS BIGINT), a.v) AS v FROM vox a LEFT JOIN e ON a.image_id = e.image_id AND a.y = e.y AND a.x = e.x")
+@query(f"WITH {VOX}, e AS (SELECT image_id, 0 AS y, 0 AS x, CAST(300 AS DOUBLE) AS n FROM vox WHERE y = 0 AND x = 0) SELECT a.image_id, a.y, a.x, CASE WHEN e.n IS NULL THEN a.v ELSE CAST(least(greatest(round(e.n), 0), 255) AS BIGINT) END AS v FROM vox a LEFT JOIN e ON a.image_id = e.image_id AND a.y = e.y AND a.x = e.x")
 def v06_set_value(spark, sf):
     own = mapping.images(spark, sf)
     edits = own.where("y = 0 AND x = 0").withColumn("v", F.lit(300.0))
@@ -217,7 +217,7 @@ def m09_image_equality(spark, sf):
     return own.select(F.col("label").cast("bigint").alias("label")).distinct().withColumn("same", F.lit(int(same)).cast("bigint"))
 
 
-@query("SELECT p_partkey, round(p_size * 25.4, 6) AS mm, round(p_size * 0.0254, 6) AS m FROM part")
+@query("SELECT p_partkey, round(CAST(p_size AS DOUBLE) * CAST(25.4 AS DOUBLE), 6) AS mm, round(CAST(p_size AS DOUBLE) * CAST(0.0254 AS DOUBLE), 6) AS m FROM part")
 def m10_units(spark, sf):
     part = mapping.table(spark, sf, "part")
     return part.select("p_partkey", F.round(F.col("p_size") * unit_factor("inch", "mm"), 6).alias("mm"), F.round(F.col("p_size") * unit_factor("inch", "m"), 6).alias("m"))
@@ -275,7 +275,7 @@ def a03_histogram_mask(spark, sf):
     return aggregate.histogram(own, 60, 200, 16, own.withColumn("v", (F.col("label") >= 5).cast("int")))
 
 
-@query("SELECT CAST(range AS BIGINT) AS bin, range * 8.8125 + 60 AS low, (range + 1) * 8.8125 + 60 AS high FROM range(16)")
+@query("SELECT CAST(range AS BIGINT) AS bin, CAST(range * 8.8125 + 60 AS DOUBLE) AS low, CAST((range + 1) * 8.8125 + 60 AS DOUBLE) AS high FROM range(16)")
 def a04_bin_range(spark, sf):
     low, high = aggregate.bin_range(60, 200, 16, F.col("bin"))
     return spark.range(16).withColumnRenamed("id", "bin").select("bin", low.alias("low"), high.alias("high"))
@@ -332,16 +332,16 @@ def a13_weighted_moments(spark, sf):
     return out.select("pid", F.round("w", 2).alias("w"), *(F.round(c, n).alias(c) for c, n in (("mean_x", 4), ("mean_y", 4), ("cov_xx", 3), ("cov_xy", 3))))
 
 
-@query(f"WITH {PTS}, {MOMENTS} SELECT pid, n AS vol_size, round(w, 2) AS mass, round(mean, 2) AS mean_intensity, round(coalesce(var, 0) / 1e6, 4) AS sd_intensity, round(top, 2) AS max_intensity, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(CASE WHEN n = 1 THEN 0.5 ELSE sqrt({aggregate.CHI2_95_3}) * sqrt(greatest(xx - x*x + yy - y*y + zz - z*z, 0) / 3) END, 3) AS radius FROM m")
+@query(f"WITH {PTS}, {MOMENTS} SELECT pid, n AS vol_size, round(w, 2) AS mass, round(mean, 5) AS mean_intensity, round(coalesce(var, 0) / 1e6, 4) AS sd_intensity, round(top, 2) AS max_intensity, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(CASE WHEN n = 1 THEN 0.5 ELSE sqrt({aggregate.CHI2_95_3}) * sqrt(greatest(xx - x*x + yy - y*y + zz - z*z, 0) / 3) END, 3) AS radius FROM m")
 def a14_punctum(spark, sf):
     out = aggregate.puncta(mapping.puncta_voxels(spark, sf))
-    return out.select("pid", "vol_size", F.round("mass", 2).alias("mass"), F.round("mean_intensity", 2).alias("mean_intensity"), F.round(F.col("sd_intensity") / 1e6, 4).alias("sd_intensity"), F.round("max_intensity", 2).alias("max_intensity"), *(F.round(c, 4).alias(c) for c in "xyz"), F.round("radius", 3).alias("radius"))
+    return out.select("pid", "vol_size", F.round("mass", 2).alias("mass"), F.round("mean_intensity", 5).alias("mean_intensity"), F.round(F.col("sd_intensity") / 1e6, 4).alias("sd_intensity"), F.round("max_intensity", 2).alias("max_intensity"), *(F.round(c, 4).alias(c) for c in "xyz"), F.round("radius", 3).alias("radius"))
 
 
-@query(f"WITH {PTS}, {MOMENTS} SELECT pid % 100 AS g, round(sum(x * n) / sum(n), 4) AS x, round(sum(w), 2) AS mass, CAST(sum(n) AS BIGINT) AS vol_size, round(max(top), 2) AS max_intensity, round(sum(w) / sum(n), 2) AS mean_intensity, CAST(1 AS DOUBLE) AS score FROM m GROUP BY 1")
+@query(f"WITH {PTS}, {MOMENTS} SELECT pid % 100 AS g, round(sum(x * n) / sum(n), 4) AS x, round(sum(w), 2) AS mass, CAST(sum(n) AS BIGINT) AS vol_size, round(max(top), 2) AS max_intensity, round(sum(w) / sum(n), 5) AS mean_intensity, CAST(1 AS DOUBLE) AS score FROM m GROUP BY 1")
 def a15_punctum_merge(spark, sf):
     out = aggregate.merge_puncta(aggregate.puncta(mapping.puncta_voxels(spark, sf)).withColumn("g", F.col("pid") % 100), "g")
-    return out.select("g", F.round("x", 4).alias("x"), F.round("mass", 2).alias("mass"), "vol_size", F.round("max_intensity", 2).alias("max_intensity"), F.round("mean_intensity", 2).alias("mean_intensity"), "score")
+    return out.select("g", F.round("x", 4).alias("x"), F.round("mass", 2).alias("mass"), "vol_size", F.round("max_intensity", 2).alias("max_intensity"), F.round("mean_intensity", 5).alias("mean_intensity"), "score")
 
 
 @query(f"WITH {VOX} SELECT label, count(*) AS size, min(x) AS x0, max(x) + 1 AS x1, min(y) AS y0, max(y) + 1 AS y1 FROM vox WHERE v > 150 GROUP BY label")
@@ -368,7 +368,7 @@ def w01_cumsum(spark, sf):
     return plane(aggregate.cumulative_sum(mapping.images(spark, sf), "x", 0, 1000))
 
 
-@query(f"WITH RECURSIVE {VOX}, s AS (SELECT image_id, y, x, greatest(least(v - 128, 127), -128) AS v FROM vox), r AS (SELECT image_id, y, x, v FROM s WHERE x = 0 UNION ALL SELECT s.image_id, s.y, s.x, greatest(least(r.v + s.v, 40), -40) FROM r JOIN s ON s.image_id = r.image_id AND s.y = r.y AND s.x = r.x + 1) SELECT image_id, y, x, CAST(CASE WHEN x = 0 THEN greatest(least(v, 40), -40) ELSE v END AS BIGINT) AS v FROM r WHERE image_id < 0 UNION ALL SELECT * FROM (WITH RECURSIVE q AS (SELECT image_id, y, x, greatest(least(v, 40), -40) AS v FROM s WHERE x = 0 UNION ALL SELECT s.image_id, s.y, s.x, greatest(least(q.v + s.v, 40), -40) FROM q JOIN s ON s.image_id = q.image_id AND s.y = q.y AND s.x = q.x + 1) SELECT image_id, y, x, CAST(v AS BIGINT) AS v FROM q)")
+@query(f"WITH RECURSIVE {VOX}, s AS (SELECT image_id, y, x, v - 128 AS v FROM vox), r AS (SELECT image_id, y, x, greatest(least(v, 40), -40) AS v FROM s WHERE x = 0 UNION ALL SELECT s.image_id, s.y, s.x, greatest(least(r.v + s.v, 40), -40) FROM r JOIN s ON s.image_id = r.image_id AND s.y = r.y AND s.x = r.x + 1) SELECT image_id, y, x, CAST(v AS BIGINT) AS v FROM r")
 def w01_cumsum_signed(spark, sf):
     own = mapping.images(spark, sf).withColumn("v", F.col("v") - 128)
     return plane(aggregate.cumulative_sum(own, "x", -40, 40))
@@ -429,16 +429,16 @@ def w09_majority(spark, sf):
 @query(f"WITH {VOX} SELECT a.image_id, a.y, a.x, CAST(coalesce(min((a.y-b.y)*(a.y-b.y) + (a.x-b.x)*(a.x-b.x)), -1) AS DOUBLE) AS v FROM vox a LEFT JOIN vox b ON b.image_id = a.image_id AND b.v <= 120 WHERE a.image_id < 100 GROUP BY 1, 2, 3")
 def w11_distance_map(spark, sf):
     own = mapping.images(spark, sf).where("image_id < 100").withColumn("v", (F.col("v") > 120).cast("double")).drop("label")
-    return plane(neighborhood.squared_distances(own)).withColumn("v", F.when(F.col("v") == float("inf"), -1.0).otherwise(F.col("v")))
+    return plane(neighborhood.squared_distances(own, axes=("x", "y"))).withColumn("v", F.when(F.col("v") == float("inf"), -1.0).otherwise(F.col("v")))
 
 
 RESIZE_SQL = ", ".join(f"({i}, {k}, CAST({w!r} AS DOUBLE))" for i, k, w in neighborhood.contributions(8, 5))
 
 
-@query(f"WITH {VOX}, k(o, i, w) AS (VALUES {RESIZE_SQL}) SELECT image_id, CAST(ky.o AS BIGINT) AS y, CAST(kx.o AS BIGINT) AS x, round(sum(v * ky.w * kx.w), 4) AS v FROM vox JOIN k ky ON ky.i = y JOIN k kx ON kx.i = x GROUP BY 1, 2, 3")
+@query(f"WITH {VOX}, k(o, i, w) AS (VALUES {RESIZE_SQL}) SELECT image_id, CAST(ky.o AS BIGINT) AS y, CAST(kx.o AS BIGINT) AS x, round(sum(v * ky.w * kx.w), 6) AS v FROM vox JOIN k ky ON ky.i = y JOIN k kx ON kx.i = x GROUP BY 1, 2, 3")
 def w14_resize_linear(spark, sf):
     own = mapping.images(spark, sf).select("image_id", "y", "x", "v")
-    return plane(neighborhood.resize(own, SIZE, {"y": 5, "x": 5})).withColumn("v", F.round("v", 4))
+    return plane(neighborhood.resize(own, SIZE, {"y": 5, "x": 5})).withColumn("v", F.round("v", 6))
 
 
 # --- joins --------------------------------------------------------------------------------------------------------------------------------
@@ -485,7 +485,7 @@ EVENT_KEYS = "k AS (SELECT user_id, epoch_us(ts) / 1e6 AS time, value FROM event
 
 @query(f"WITH {EVENT_KEYS}, a AS (SELECT p.*, (SELECT max((k.time, k.value)) FROM k WHERE k.user_id = p.user_id AND k.time <= p.time) AS a, (SELECT min((k.time, k.value)) FROM k WHERE k.user_id = p.user_id AND k.time > p.time) AS b FROM p), u AS (SELECT event_id, time, a[1] AS t0, a[2] AS v0, b[1] AS t1, b[2] AS v1 FROM a) SELECT event_id, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t1 - t0 < 1e-4 THEN v0 ELSE v0 + (time - t0) / (t1 - t0) * (v1 - v0) END, 4) AS value FROM u")
 def j08_asof_keys(spark, sf):
-    rows = mapping.table(spark, sf, "events").select("user_id", "event_id", (F.unix_micros("ts") / 1e6).alias("time"), "value")
+    rows = mapping.table(spark, sf, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("time"), "value")
     found = joins.as_of(rows.where("event_id % 2 = 1").drop("value"), rows.where("event_id % 2 = 0"), ["user_id"], "time", "value")
     return found.select("event_id", F.round(joins.interpolated(found, "time"), 4).alias("value"))
 
@@ -562,7 +562,7 @@ def o07_lru_eviction(spark, sf):
     return events.withColumn("held", F.sum("value").over(newest)).where("held > 5000").select("event_id")
 
 
-@query(f"WITH {VOX} SELECT t, y, x, v FROM (SELECT 0 AS t, y, x, v FROM vox WHERE image_id = 0 UNION ALL SELECT 1, y, x, v FROM vox WHERE image_id = 1 UNION ALL SELECT 2, y, x, v FROM vox WHERE image_id = 2)")
+@query(f"WITH {VOX} SELECT CAST(t AS BIGINT) AS t, y, x, v FROM (SELECT 0 AS t, y, x, v FROM vox WHERE image_id = 0 UNION ALL SELECT 1, y, x, v FROM vox WHERE image_id = 1 UNION ALL SELECT 2, y, x, v FROM vox WHERE image_id = 2)")
 def u01_cat_time(spark, sf):
     own = mapping.images(spark, sf).drop("label")
     out, _ = voxel.cat([(own.where(F.col("image_id") == i), SIZE) for i in range(3)], "t")
@@ -634,10 +634,10 @@ def t15_upstream(spark, sf):
     return tree.selection(own, own.where("id IN (1001, 1005, 1007)"), "upstream")
 
 
-@query(f"WITH {TREE}, {EDGE}, n AS (SELECT *, greatest(1, CAST(ceil(edge / 10) AS BIGINT)) AS n FROM edge WHERE parent_id <> -1 AND id < 1200), k AS (SELECT *, unnest(range(1, n + 1)) AS k FROM n) SELECT k.id, k.k, round(p.x + k.k / CAST(k.n AS DOUBLE) * (k.x - p.x), 4) AS x, round(p.radius + k.k / CAST(k.n AS DOUBLE) * (k.radius - p.radius), 4) AS radius FROM k JOIN tree p ON p.id = k.parent_id")
+@query(f"WITH {TREE}, {EDGE}, n AS (SELECT *, greatest(1, CAST(ceil(edge / 10) AS BIGINT)) AS n FROM edge WHERE parent_id <> -1 AND id < 1200), k AS (SELECT *, unnest(range(1, n + 1)) AS k FROM n) SELECT k.id, k.k, round(p.x + k.k / CAST(k.n AS DOUBLE) * (k.x - p.x), 9) AS x, round(p.radius + k.k / CAST(k.n AS DOUBLE) * (k.radius - p.radius), 9) AS radius FROM k JOIN tree p ON p.id = k.parent_id")
 def t16_resample(spark, sf):
     out = tree.resample(mapping.tree(spark, sf), 10.0).where("id < 1200")
-    return out.select("id", F.col("k").cast("bigint").alias("k"), F.round("x", 4).alias("x"), F.round("radius", 4).alias("radius"))
+    return out.select("id", F.col("k").cast("bigint").alias("k"), F.round("x", 9).alias("x"), F.round("radius", 9).alias("radius"))
 
 
 # --- graphs, thresholds, estimators ---------------------------------------------------------------------------------------------------------
@@ -664,7 +664,7 @@ def w08_regional_max(spark, sf):
 
 
 # all edges are nation pairs with distinct weights, so the forest is unique: an edge is in it unless a path of lighter edges joins its ends
-@query("WITH RECURSIVE e AS (SELECT a.n_nationkey AS s, b.n_nationkey AS d, CAST((a.n_nationkey * 37 + b.n_nationkey * 101) % 613 AS DOUBLE) * 1000 + a.n_nationkey * 25 + b.n_nationkey AS w FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey), u AS (SELECT s, d, w FROM e UNION ALL SELECT d, s, w FROM e), m(s, d, w, k) AS (SELECT s, d, w, -1 FROM u UNION ALL SELECT s, d, w, k FROM (SELECT m.s, m.d, least(m.w, coalesce(greatest(x.w, y.w), m.w)) AS w, m.k + 1 AS k FROM m LEFT JOIN m x ON x.s = m.s AND x.d = m.k + 1 AND x.k = m.k LEFT JOIN m y ON y.s = m.k + 1 AND y.d = m.d AND y.k = m.k WHERE m.k < 24)) SELECT CAST(e.s AS BIGINT) AS s, CAST(e.d AS BIGINT) AS d, e.w FROM e JOIN m ON m.s = e.s AND m.d = e.d AND m.k = 24 WHERE m.w = e.w")
+@query("WITH RECURSIVE e AS (SELECT a.n_nationkey AS s, b.n_nationkey AS d, CAST((a.n_nationkey * 37 + b.n_nationkey * 101) % 613 AS DOUBLE) * 1000 + a.n_nationkey * 25 + b.n_nationkey AS w FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey), u AS (SELECT s, d, w FROM e UNION ALL SELECT d, s, w FROM e), r AS (SELECT w, s AS node FROM e UNION SELECT r.w, u.d FROM r JOIN u ON u.s = r.node AND u.w < r.w) SELECT CAST(s AS BIGINT) AS s, CAST(d AS BIGINT) AS d, w FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.w = e.w AND r.node = e.d)")
 def g04_mst(spark, sf):
     n = mapping.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"))
     a, b = F.col("s"), F.col("d")
@@ -739,7 +739,7 @@ def q05_merge_tiles(spark, sf):
 # --- meshes, masks, streams -----------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(s_suppkey AS BIGINT) AS mesh_id, CAST(12 AS BIGINT) AS triangles, round(6.0 * (s_suppkey % 9 + 1) * (s_suppkey % 9 + 1), 6) AS area, round(CAST((s_suppkey % 9 + 1) * (s_suppkey % 9 + 1) * (s_suppkey % 9 + 1) AS DOUBLE), 6) AS volume FROM supplier")
+@query("SELECT CAST(s_suppkey AS BIGINT) AS mesh_id, CAST(12 AS BIGINT) AS triangles, round(CAST(6 * (s_suppkey % 9 + 1) * (s_suppkey % 9 + 1) AS DOUBLE), 6) AS area, round(CAST((s_suppkey % 9 + 1) * (s_suppkey % 9 + 1) * (s_suppkey % 9 + 1) AS DOUBLE), 6) AS volume FROM supplier")
 def a17_mesh_properties(spark, sf):
     v, t = cubes(mapping.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("bigint").alias("mesh_id"), (F.col("s_suppkey") % 9 + 1).cast("double").alias("side")))
     out = mesh.properties(v, t)
