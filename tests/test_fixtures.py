@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import geometry, saturate, text
 from voxloom.functions.units import unit_factor
-from voxloom.operators import aggregate, graph, joins, matching, mesh, neighborhood, region, threshold, tree, voxel
-from voxloom.plans import levels
+from voxloom.operators import aggregate, graph, joins, matching, mesh, neighborhood, region, sampling, threshold, tree, voxel
+from voxloom.plans import composites, levels
 from voxloom.sources import chunks, readers
 from voxloom.sources import text as sources
 from voxloom.streaming import progressive
@@ -368,3 +368,32 @@ def test_registration(spark):
     assert place[2].tolist() == [0, 8, 8]
     scores = matching.aligned_score(spark.createDataFrame([(1, [1.0, 2.0, 3.0], [1.0, 3.0])], "pair long, left array<double>, right array<double>"), 0.5)
     assert scores.first().score == 0.5
+
+
+def test_thinning_keeps_a_line():
+    bar = np.zeros((9, 15), bool)
+    bar[3:6, 2:13] = True
+    thin = sampling.thinned_plane(bar)
+    assert 0 < thin.sum() <= 11 and thin.sum(axis=0).max() == 1 and thin[4].sum() == thin.sum()
+    assert np.allclose(sampling.cubic_weights(0.5), [-0.0625, 0.5625, 0.5625, -0.0625])
+
+
+def test_stitching_and_overlaps(spark):
+    rng = np.random.default_rng(4)
+    big = rng.integers(0, 255, (16, 26))
+    tiles = [(0, 0, 0), (1, 1, 9), (2, 3, 16)]
+    rows = [(k, 0, y, x, int(big[oy + y, ox + x])) for k, oy, ox in tiles for y in range(10) for x in range(10)]
+    df = spark.createDataFrame(rows, "tile_id long, z long, y long, x long, v long")
+    pairs = spark.createDataFrame([(0, 1, 0, 0, 8), (1, 2, 0, 1, 8)], "a long, b long, ez long, ey long, ex long")
+    got = composites.pair_offsets(df, pairs, (0, 2, 2), 5)
+    assert {(x.a, x.b): (x.dy, x.dx) for x in got.collect()} in ({(0, 1): (1, 9), (1, 2): (2, 7)},)
+    out = composites.stitch(df, pairs, (0, 2, 2), 5, 0)
+    assert all(x.v == big[x.y, x.x] for x in out.collect())
+    puncta = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0, 2.0, 10.0), (0, 2, 1.0, 0.0, 0.0, 1.0, 5.0), (0, 3, 9.0, 0.0, 0.0, 1.0, 1.0)], "image_id long, label long, x double, y double, z double, radius double, mass double")
+    assert sorted(x.label for x in composites.without_overlaps(puncta, ["image_id"], 0.5).collect()) == [1, 3]
+
+
+def test_reconnected_forest(spark):
+    rows = [*chain(2, 0, 1), (10, -1, 3.0, 0.5, 0.0, 1.0), (11, 10, 4.0, 0.5, 0.0, 1.0), (20, -1, 90.0, 0.0, 0.0, 1.0)]
+    got = {x.id: x.parent_id for x in tree.reconnected(spark.createDataFrame(rows, TREE), 2.0).collect()}
+    assert got[10] == 3 and got[1] == -1 and got[20] == -1

@@ -230,3 +230,29 @@ def selection(tree: DataFrame, ids: DataFrame, how: str) -> DataFrame:
         key, rows = ("branch_id", branches(tree)) if how == "branch" else ("root", depths(tree))
         return rows.join(rows.join(ids.select("id"), "id", "left_semi").select(key).distinct(), key, "left_semi").select("id")
     raise ValueError(f"unknown selection {how}")
+
+
+def resort_pyramidal(tree: DataFrame, soma: int = 1, basal: int = 3, apical: int = 4) -> DataFrame:
+    """tree (with type) whose nodes other than soma become basal, or apical below a child of a soma node that lies above it in y."""
+    parents = tree.select(F.col("id").alias("parent_id"), F.col("type").alias("_pt"), F.col("y").alias("_py"))
+    heads = tree.join(parents, "parent_id").where((F.col("_pt") == soma) & (F.col("type") != soma) & (F.col("y") > F.col("_py")))
+    below = subtree(tree, heads.select("id")).select("id", F.lit(True).alias("_up"))
+    kind = F.when(F.col("type") == soma, soma).when(F.col("_up"), apical).otherwise(basal)
+    return tree.join(below, "id", "left").withColumn("type", kind).select(*tree.columns)
+
+
+def reconnected(tree: DataFrame, limit: float) -> DataFrame:
+    """Roots hung on the nearest node of another tree, where one is within limit: the lightest links that join trees without a ring."""
+    from voxloom.operators.graph import minimum_spanning_forest
+    from voxloom.operators.joins import within
+
+    own = tree.join(depths(tree).select("id", "root"), "id")
+    near = within(own.where("parent_id = -1").select("id", "root", "x", "y", "z"), own.select("id", "root", "x", "y", "z"), limit).where("a_root <> b_root")
+    links = near.groupBy("a_root", "b_root").agg(F.min(F.struct("distance", "a_id", "b_id")).alias("m"))
+    links = written(links.select("a_root", "b_root", "m.*"), "links")
+    used = minimum_spanning_forest(links.select(F.col("a_root").alias("s"), F.col("b_root").alias("d"), F.col("distance").alias("w")))
+    picked = links.join(used.select(F.col("s").alias("_s"), F.col("d").alias("_d"), F.col("w").alias("_w")), (F.least("a_root", "b_root") == F.col("_s")) & (F.greatest("a_root", "b_root") == F.col("_d")) & (F.col("distance") == F.col("_w")))
+    # a root can take one parent only: of several links its lightest counts
+    one = picked.groupBy(F.col("a_id").alias("id")).agg(F.min_by("b_id", F.struct("distance", "b_id")).alias("_new"), F.min("b_root").alias("_other"))
+    free = one.join(one.select(F.col("id").alias("_other"), F.lit(True).alias("_both")), "_other", "left").where(F.col("_both").isNull() | (F.col("id") > F.col("_other"))).select("id", "_new")
+    return tree.join(free, "id", "left").withColumn("parent_id", F.coalesce("_new", "parent_id")).select(*tree.columns)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from voxloom import mapping
 from voxloom.functions import geometry, saturate, text
 from voxloom.functions.units import unit_factor
-from voxloom.operators import aggregate, graph, joins, matching, mesh, neighborhood, region, threshold, tree, voxel
+from voxloom.operators import aggregate, graph, joins, matching, mesh, neighborhood, region, sampling, threshold, tree, voxel
+from voxloom.plans import composites
+from voxloom.storage import shared_dir
 from voxloom.streaming import progressive
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -779,6 +781,56 @@ def st06_windowed_counts(spark, sf):
     return out.select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query(f"WITH {VOX} SELECT a.image_id * 100 + a.y * 10 + a.x AS k, round(0.75 * 0.5 * a.v + 0.75 * 0.5 * b.v + 0.25 * 0.5 * c.v + 0.25 * 0.5 * d.v, 6)::DOUBLE AS v FROM vox a JOIN vox b ON b.image_id = a.image_id AND b.y = a.y AND b.x = a.x + 1 JOIN vox c ON c.image_id = a.image_id AND c.y = a.y + 1 AND c.x = a.x JOIN vox d ON d.image_id = a.image_id AND d.y = a.y + 1 AND d.x = a.x + 1")
+def m16_sample_linear(spark, sf):
+    own = mapping.images(spark, sf)
+    points = own.where("y < 7 AND x < 7").select("image_id", (F.col("image_id") * 100 + F.col("y") * 10 + F.col("x")).alias("k"), (F.col("y") + 0.25).alias("y"), (F.col("x") + 0.5).alias("x"))
+    return sampling.sample_linear(points, own, "k", ("y", "x")).select("k", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {VOX}, h AS (SELECT image_id, y, x, lag(v) OVER wx - 2 * v + lead(v) OVER wx AS xx, lag(v) OVER wy - 2 * v + lead(v) OVER wy AS yy, (lead(v) OVER wx - lag(v) OVER wx) / 2.0 AS dx FROM vox WINDOW wx AS (PARTITION BY image_id, y ORDER BY x), wy AS (PARTITION BY image_id, x ORDER BY y)), g AS (SELECT *, (lead(dx) OVER wy - lag(dx) OVER wy) / 2.0 AS xy FROM h WINDOW wy AS (PARTITION BY image_id, x ORDER BY y)) SELECT image_id, y, x, round(CASE WHEN xx IS NULL OR yy IS NULL OR xy IS NULL THEN 0.0 ELSE greatest(-((xx + yy) / 2.0 - sqrt((xx - yy) / 2.0 * ((xx - yy) / 2.0) + xy * xy)), 0.0) END, 6)::DOUBLE AS v FROM g")
+def w13_enhance_lines(spark, sf):
+    own = mapping.images(spark, sf).select("image_id", "y", "x", F.col("v").cast("double").alias("v"))
+    return plane(sampling.enhance_lines(own)).withColumn("v", F.round("v", 6))
+
+
+@query(None)
+def w12_thin(spark, sf):
+    own = voxel.binarized(mapping.images(spark, sf).where("image_id < 60"), F.col("v") > 120)
+    return plane(sampling.thin(own.select("image_id", "z", "y", "x", "v")))
+
+
+@query(f"WITH RECURSIVE {VOX}, f AS (SELECT image_id, y, x, v FROM vox WHERE v > 140 AND image_id < 60), r AS (SELECT image_id, y, x, v, y * 8 + x AS m FROM f UNION SELECT f.image_id, f.y, f.x, f.v, r.m FROM r JOIN f ON f.image_id = r.image_id AND abs(f.y - r.y) <= 1 AND abs(f.x - r.x) <= 1), c AS (SELECT image_id, y, x, v, min(m) AS m FROM r GROUP BY 1, 2, 3, 4), l AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY m) AS label FROM c) SELECT image_id, label, count(*) AS vol_size, CAST(sum(v) AS DOUBLE) AS mass, round(sum(CAST(v AS DOUBLE) * x) / sum(v), 6) AS x, round(sum(CAST(v AS DOUBLE) * y) / sum(v), 6) AS y FROM l GROUP BY 1, 2 HAVING count(*) >= 3")
+def g14_detect_puncta(spark, sf):
+    own = mapping.images(spark, sf).drop("label").where("image_id < 60")
+    found = composites.detect_puncta(own, SIZE, 140, 3, 8)
+    return found.select("image_id", "label", "vol_size", F.col("mass").cast("double").alias("mass"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(f"WITH RECURSIVE {TREE}, {UP} SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey + 100 IN (SELECT id FROM up WHERE ancestor = 2)")
+def j18_region_members(spark, sf):
+    inside = tree.closure(mapping.tree(spark, sf).where("id < 1000")).where("ancestor = 2").select((F.col("id") - 100).alias("c_nationkey"))
+    return mapping.table(spark, sf, "customer").join(inside, "c_nationkey", "left_semi").select("c_custkey", "c_acctbal")
+
+
+@query(f"WITH {TREE}, k AS (SELECT c.id FROM tree c JOIN tree p ON c.parent_id = p.id WHERE p.parent_id = -1 AND c.y > p.y) SELECT id, CAST(CASE WHEN parent_id = -1 THEN 1 WHEN id IN (SELECT id FROM k) OR parent_id IN (SELECT id FROM k) THEN 4 ELSE 3 END AS BIGINT) AS type FROM tree")
+def t06_resort_pyramidal(spark, sf):
+    own = mapping.tree(spark, sf).withColumn("type", F.when(F.col("parent_id") == -1, 1).otherwise(2))
+    return tree.resort_pyramidal(own).select("id", F.col("type").cast("bigint").alias("type"))
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE value < 50")
+def st01_stream_unique(spark, sf):
+    """The events as a stream of files, each id once, batch by batch into a table."""
+    import uuid
+
+    at = f"{shared_dir(spark)}/voxloom/stream-{uuid.uuid4().hex}"
+    schema = mapping.table(spark, sf, "events").schema
+    stream = progressive.unique_stream(spark, f"{sf}/events.parque*", schema, "event_id", "value < 50").select("event_id", "user_id", "value")
+    progressive.run_to_end(stream, lambda batch, _: batch.write.mode("append").parquet(f"{at}/rows"), f"{at}/state")
+    return spark.read.parquet(f"{at}/rows")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Crop, threshold, projection and histogram of the images."""
     own = voxel.threshold(region.crop(mapping.images(spark, sf), {"y": (1, 7), "x": (1, 7)}), 100, "below", True, 0)
