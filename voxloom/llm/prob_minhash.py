@@ -11,8 +11,9 @@ shingles, computed exactly, is at least THRESHOLD. Classes are the connected com
 
 Equal texts form one unit, whose smallest doc_id stands for it, so copies meet no band. Buckets of up to SMALL units are compared in full.
 In a larger one each unit is compared with its centre, the unit that meets most others over all bands; a unit that this leaves outside
-the centre's class is compared with all other classes of its bucket, in blocks of bounded size whose members are told apart by their
-signatures first. No bucket is dropped or cut, none is gathered in one task, and no group emits all its pairs.
+the centre's class is compared with all other classes of its bucket, in blocks of bounded size whose members are told apart by long
+sketches of one bit a register first; a pair that shares several bands counts in the first. No bucket is dropped or cut, none is gathered
+in one task, and no group emits all its pairs.
 
 Defined cases: null and empty texts are equal texts, and link to nothing else; texts of fewer than WORDS words are one shingle; rows that
 share a doc_id or lack one: see near_duplicates(); an empty table gives no rows; other columns are not read.
@@ -36,8 +37,8 @@ WORDS, THRESHOLD = 5, 0.8
 SIZE, BANDS = 128, 32
 #: Buckets up to this size are compared in full.
 SMALL = 16
-#: Units of a block, and the share of equal registers under which a pair of blocks' members is no candidate: at similarity 0.8 the share is lower with probability 1e-6.
-BLOCK, APART = 512, 0.62
+#: Units of a block; bits of the sketches that its pairs are told apart by, and the estimate under which a pair is no candidate: at similarity 0.8 the estimate is lower with probability 1e-9.
+BLOCK, BITS, APART = 512, 2048, 0.72
 #: Shingles that one step of the arrivals holds.
 STEP = 400_000
 WEIGHTS = {"root": np.sqrt, "length": lambda x: x, "one": np.ones_like}
@@ -95,7 +96,7 @@ def signed(texts: list[str], words: int = WORDS, weight: str = "root") -> np.nda
 
 
 def sign(docs: DataFrame, words: int = WORDS, weight: str = "root") -> DataFrame:
-    """doc_id, unit (hash of the text), signature (SIZE times 32 bits) and bands of every document; no signature where a text has no words."""
+    """doc_id, unit (hash of the text) and the signature's bands of every document; none where a text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,11 +109,11 @@ def sign(docs: DataFrame, words: int = WORDS, weight: str = "root") -> DataFrame
                     held = 0
             for a, b in zip(edges, [*edges[1:], len(texts)], strict=True):
                 who = signed(texts[a:b], words, weight)
-                keys, short = band_keys(who), who.astype("<u4")
-                rows = [(ids[a + k], units[a + k], short[k].tobytes() if who[k].any() else None, keys[k] if who[k].any() else None) for k in range(b - a)]
-                yield arrow(rows, [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())], ["doc_id", "unit", "signature", "bands"])
+                keys = band_keys(who)
+                rows = [(ids[a + k], units[a + k], keys[k] if who[k].any() else None) for k in range(b - a)]
+                yield arrow(rows, [pa.int64(), pa.binary(), pa.list_(pa.int64())], ["doc_id", "unit", "bands"])
 
-    return docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("unit"), "text").mapInArrow(run, "doc_id long, unit binary, signature binary, bands array<long>")
+    return docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("unit"), "text").mapInArrow(run, "doc_id long, unit binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -146,27 +147,47 @@ def first_pairs(members: DataFrame) -> DataFrame:
     return small.union(star).distinct()
 
 
-def later_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame) -> DataFrame:
-    """a < b of larger buckets that no class spans: each unit outside the bucket's largest class with those of other classes, as far as their signatures agree."""
+def sketches(sets: DataFrame) -> DataFrame:
+    """id, sketch: a bit of each of BITS registers over the set of shingles, all of weight 1. Twice the share of equal bits, less 1, estimates the Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, own = batch.column(0).to_pylist(), batch.column(1)
+            for a in range(0, len(ids), 64):
+                part = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in own[a : a + 64]]
+                counts = [len(x) for x in part]
+                who = signatures(np.repeat(np.arange(len(part)), counts), np.concatenate(part), np.ones(sum(counts)), len(part), BITS)
+                bits = np.packbits((mixed(who) & np.uint64(1)).astype(bool), axis=1)
+                yield arrow([(i, row.tobytes()) for i, row in zip(ids[a : a + 64], bits, strict=True)], [pa.int64(), pa.binary()], ["id", "sketch"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(run, "id long, sketch binary")
+
+
+def later_pairs(members: DataFrame, labels: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFrame:
+    """a < b of larger buckets that no class spans: each unit outside the bucket's largest class with those of other classes, as far as their sketches agree. bands: id, bands."""
     large = members.where(F.col("n") > SMALL).join(labels.withColumnRenamed("label", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
     classes = large.groupBy("key", "own").agg(F.count("*").alias("m"))
     mixed_buckets = classes.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("m", "own"))["own"].alias("main")).where("classes > 1").drop("classes")
-    rows = written(large.join(mixed_buckets, "key").join(signatures, "id").withColumn("outside", F.col("own") != F.col("main")), "mixed")
-    order = Window.partitionBy("key", "outside", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
+    rows = written(large.join(mixed_buckets, "key").withColumn("outside", F.col("own") != F.col("main")), "mixed")
+    marks = written(sketches(sets.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")).join(bands, "id"), "sketches")
     # units get a block by their place within one of 64 parts of their bucket, so that numbering a large bucket is no single task either
+    order = Window.partitionBy("key", "outside", "part").orderBy("id")
     blocked = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("block", F.floor((F.row_number().over(order) - 1) / F.greatest(F.lit(1), F.lit(BLOCK // 64))))
     most = blocked.groupBy("key").agg(F.max("block").alias("last"))
-    blocked = blocked.join(most, "key").select("key", "id", "own", "outside", "signature", "block", F.expr("sequence(0, last)").alias("others"))
-    left = blocked.where("outside").select("key", "id", "own", "signature", F.col("block").alias("i"), F.explode("others").alias("j"))
-    right = blocked.select(F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("own").alias("own2"), F.col("signature").alias("signature2"), F.col("block").alias("j2"), F.explode("others").alias("i2"))
+    blocked = blocked.join(most, "key").join(marks, "id").select("key", "id", "own", "outside", "sketch", "bands", "block", F.expr("sequence(0, last)").alias("others"))
+    left = blocked.where("outside").select("key", "id", "own", "sketch", "bands", F.col("block").alias("i"), F.explode("others").alias("j"))
+    right = blocked.select(F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("own").alias("own2"), F.col("sketch").alias("sketch2"), F.col("bands").alias("bands2"), F.col("block").alias("j2"), F.explode("others").alias("i2"))
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(x) and len(y):
-            theirs, ids, own = np.frombuffer(b"".join(y["signature2"]), dtype="<u4").reshape(len(y), -1), y["id2"].to_numpy(), y["own2"].to_numpy()
-            for one, a, c in zip(x["signature"], x["id"], x["own"], strict=True):
-                agree = (theirs == np.frombuffer(one, dtype="<u4")).mean(axis=1)
-                out += [(min(a, b), max(a, b)) for b in ids[(agree >= APART) & (own != c)]]
+            theirs, ids, own, keys = np.frombuffer(b"".join(y["sketch2"]), dtype=np.uint64).reshape(len(y), -1), y["id2"].to_numpy(), y["own2"].to_numpy(), np.stack(y["bands2"].to_list())
+            for key, one, a, c, mine in zip(x["key"], x["sketch"], x["id"], x["own"], x["bands"], strict=True):
+                apart = np.bitwise_count(theirs ^ np.frombuffer(one, dtype=np.uint64)).sum(axis=1, dtype=np.int64)
+                near = (1 - 2 * apart / BITS >= APART) & (own != c)
+                if near.any():
+                    first = (keys[near] == np.asarray(mine)).argmax(axis=1)  # a pair counts in the first band that it shares
+                    out += [(min(a, b), max(a, b)) for b in ids[near][np.asarray(mine)[first] == key]]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return left.groupBy("key", "i", "j").cogroup(right.groupBy("key2", "i2", "j2")).applyInPandas(compare, "a long, b long").distinct()
@@ -188,7 +209,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     sets = written(shingle_sets(docs.join(chosen, "doc_id"), words).dropDuplicates(["doc_id"]), "sets")
     links = written(verified(first_pairs(members), sets, threshold), "links")
     labels = written(components(links), "labels")
-    more = verified(later_pairs(members, labels, owners.select(F.col("doc_id").alias("id"), "signature").dropDuplicates(["id"])), sets, threshold)
+    more = verified(later_pairs(members, labels, owners.select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]), sets), sets, threshold)
     labels = components(links.union(more).select("a", "b"))
     rows = marks.select("doc_id", "unit").join(units, "unit").withColumn("unit_id", F.when(F.col("doc_id").isNotNull(), F.col("unit_id")))
     return rows.join(labels.withColumnRenamed("id", "unit_id"), "unit_id", "left").select("doc_id", "unit_id", F.coalesce("label", "unit_id").alias("class_id"))
