@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 
 from tests.llm.conftest import prose
@@ -69,6 +70,9 @@ def test_query_against_brute_force(spark):
     texts = {x.doc_id: x.text for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {x.doc_id: x.class_id for x in queries.op4_prob_minhash_near_duplicates(spark, sf).collect()}
     assert got == classes(texts) and len(set(got.values())) < len({*texts.values()})
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    assert {d: c for d, _, c in db.execute(queries.oracle_sql()["op4_prob_minhash_near_duplicates"]).fetchall()} == got
 
 
 def test_large_groups_lose_no_link(spark, monkeypatch):

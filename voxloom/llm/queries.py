@@ -28,6 +28,31 @@ def op4_prob_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFr
     return prob_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = r"""
+WITH RECURSIVE units AS (
+  SELECT text, min(doc_id) AS unit_id FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) GROUP BY text
+), split AS (
+  SELECT unit_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM units
+), shingles AS (
+  SELECT DISTINCT unit_id, array_to_string(words[i:i + 4], ' ') AS shingle
+  FROM (SELECT unit_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM split WHERE len(words) > 0)
+), sizes AS (
+  SELECT unit_id, count(*) AS n FROM shingles GROUP BY unit_id
+), shared AS (
+  SELECT a.unit_id AS a, b.unit_id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (shingle) WHERE a.unit_id < b.unit_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared s JOIN sizes x ON x.unit_id = a JOIN sizes y ON y.unit_id = b WHERE s.n >= 0.8 * (x.n + y.n - s.n)
+), reach AS (
+  SELECT unit_id AS id, unit_id AS label FROM units
+  UNION
+  SELECT e.b, r.label FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON e.a = r.id
+), classes AS (
+  SELECT id, min(label) AS class_id FROM reach GROUP BY id
+)
+SELECT d.doc_id, u.unit_id, c.class_id FROM documents d JOIN units u ON u.text = coalesce(d.text, '') JOIN classes c ON c.id = u.unit_id
+"""
+
+
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(table(spark, sf_dir, "documents"))
     rows = docs.select("doc_id", (F.octet_length("text") + 16).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
@@ -83,4 +108,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_rabin_karp_passages": OP10_SQL}
+    return {"op4_prob_minhash_near_duplicates": OP4_SQL, "op10_rabin_karp_passages": OP10_SQL}
