@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import arrow, documents, written
@@ -87,16 +87,16 @@ def band_keys(who: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signed(texts: list[str], words: int = WORDS, weight: str = "root") -> np.ndarray:
-    """Signature of every text."""
+def signed(texts: list[str], words: int = WORDS, weight: str = "root") -> tuple[np.ndarray, list[int]]:
+    """Signature of every text, and how many distinct shingles it has."""
     own = [shingles(text, words) for text in texts]
     counts = [len(h) for h, _ in own]
     joined = [np.concatenate(x) if len(x) else np.zeros(0) for x in zip(*own, strict=True)] if own else [np.zeros(0, dtype=np.uint64), np.zeros(0)]
-    return signatures(np.repeat(np.arange(len(own)), counts), joined[0], WEIGHTS[weight](joined[1]), len(own))
+    return signatures(np.repeat(np.arange(len(own)), counts), joined[0], WEIGHTS[weight](joined[1]), len(own)), counts
 
 
 def sign(docs: DataFrame, words: int = WORDS, weight: str = "root") -> DataFrame:
-    """doc_id, unit (hash of the text) and the signature's bands of every document; none where a text has no words."""
+    """doc_id, unit (hash of the text), size (distinct shingles) and the signature's bands of every document; none where a text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,12 +108,12 @@ def sign(docs: DataFrame, words: int = WORDS, weight: str = "root") -> DataFrame
                     edges.append(i + 1)
                     held = 0
             for a, b in zip(edges, [*edges[1:], len(texts)], strict=True):
-                who = signed(texts[a:b], words, weight)
+                who, sizes = signed(texts[a:b], words, weight)
                 keys = band_keys(who)
-                rows = [(ids[a + k], units[a + k], keys[k] if who[k].any() else None) for k in range(b - a)]
-                yield arrow(rows, [pa.int64(), pa.binary(), pa.list_(pa.int64())], ["doc_id", "unit", "bands"])
+                rows = [(ids[a + k], units[a + k], sizes[k], keys[k] if sizes[k] else None) for k in range(b - a)]
+                yield arrow(rows, [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())], ["doc_id", "unit", "size", "bands"])
 
-    return docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("unit"), "text").mapInArrow(run, "doc_id long, unit binary, bands array<long>")
+    return docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("unit"), "text").mapInArrow(run, "doc_id long, unit binary, size long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -127,24 +127,27 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def alike(a: Column, b: Column, threshold: float) -> Column:
+    """Whether sets of these sizes can have that Jaccard similarity."""
+    return F.least(a, b) >= F.greatest(a, b) * (threshold - 1e-9)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """a, b, similarity of the pairs (a, b) whose sets of shingles have at least that Jaccard similarity."""
-    sized = sets.select("doc_id", F.size("shingles").alias("n"))
-    possible = pairs.join(sized.withColumnsRenamed({"doc_id": "a", "n": "na"}), "a").join(sized.withColumnsRenamed({"doc_id": "b", "n": "nb"}), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9))
-    both = possible.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b")
-    shared = both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b")
+    shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
     return shared.select("a", "b", (F.col("shared") / (F.col("n") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
-def first_pairs(members: DataFrame) -> DataFrame:
-    """a < b: all pairs of small buckets, and each unit of a larger one with its centre. members: key, id, n (units in the bucket)."""
-    small = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    small = small.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
+def first_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """a < b: all pairs of small buckets, and each unit of a larger one with its centre, if their sizes allow. members: key, id, size, n (units in the bucket)."""
+    small = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "size"))).alias("own"))
+    small = small.select(F.explode("own").alias("one"), "own").select(F.col("one.id").alias("a"), F.explode(F.filter("own", lambda x: (x["id"] > F.col("one.id")) & alike(x["size"], F.col("one.size"), threshold))).alias("other"))
     large = members.where(F.col("n") > SMALL)
     reach = members.groupBy("id").agg(F.sum("n").alias("reach"))
-    centres = large.join(reach, "id").groupBy("key").agg(F.max(F.struct("reach", (-F.col("id")).alias("id"))).alias("c")).select("key", (-F.col("c.id")).alias("centre"))
-    star = large.join(centres, "key").where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-    return small.union(star).distinct()
+    centres = large.join(reach, "id").groupBy("key").agg(F.max(F.struct("reach", (-F.col("id")).alias("id"), "size")).alias("c")).select("key", (-F.col("c.id")).alias("centre"), F.col("c.size").alias("of"))
+    star = large.join(centres, "key").where((F.col("id") != F.col("centre")) & alike(F.col("size"), F.col("of"), threshold)).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+    return small.select("a", F.col("other.id").alias("b")).union(star).distinct()
 
 
 def sketches(sets: DataFrame) -> DataFrame:
@@ -163,8 +166,8 @@ def sketches(sets: DataFrame) -> DataFrame:
     return sets.select("doc_id", "shingles").mapInArrow(run, "id long, sketch binary")
 
 
-def later_pairs(members: DataFrame, labels: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFrame:
-    """a < b of larger buckets that no class spans: each unit outside the bucket's largest class with those of other classes, as far as their sketches agree. bands: id, bands."""
+def later_pairs(members: DataFrame, labels: DataFrame, bands: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a < b of larger buckets that no class spans: each unit outside the bucket's largest class with those of other classes, as far as their sizes and sketches agree. bands: id, bands."""
     large = members.where(F.col("n") > SMALL).join(labels.withColumnRenamed("label", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
     classes = large.groupBy("key", "own").agg(F.count("*").alias("m"))
     mixed_buckets = classes.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("m", "own"))["own"].alias("main")).where("classes > 1").drop("classes")
@@ -174,17 +177,18 @@ def later_pairs(members: DataFrame, labels: DataFrame, bands: DataFrame, sets: D
     order = Window.partitionBy("key", "outside", "part").orderBy("id")
     blocked = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("block", F.floor((F.row_number().over(order) - 1) / F.greatest(F.lit(1), F.lit(BLOCK // 64))))
     most = blocked.groupBy("key").agg(F.max("block").alias("last"))
-    blocked = blocked.join(most, "key").join(marks, "id").select("key", "id", "own", "outside", "sketch", "bands", "block", F.expr("sequence(0, last)").alias("others"))
-    left = blocked.where("outside").select("key", "id", "own", "sketch", "bands", F.col("block").alias("i"), F.explode("others").alias("j"))
-    right = blocked.select(F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("own").alias("own2"), F.col("sketch").alias("sketch2"), F.col("bands").alias("bands2"), F.col("block").alias("j2"), F.explode("others").alias("i2"))
+    blocked = blocked.join(most, "key").join(marks, "id").select("key", "id", "size", "own", "outside", "sketch", "bands", "block", F.expr("sequence(0, last)").alias("others"))
+    left = blocked.where("outside").select("key", "id", "size", "own", "sketch", "bands", F.col("block").alias("i"), F.explode("others").alias("j"))
+    right = blocked.select(F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("own").alias("own2"), F.col("sketch").alias("sketch2"), F.col("bands").alias("bands2"), F.col("block").alias("j2"), F.explode("others").alias("i2"))
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(x) and len(y):
             theirs, ids, own, keys = np.frombuffer(b"".join(y["sketch2"]), dtype=np.uint64).reshape(len(y), -1), y["id2"].to_numpy(), y["own2"].to_numpy(), np.stack(y["bands2"].to_list())
-            for key, one, a, c, mine in zip(x["key"], x["sketch"], x["id"], x["own"], x["bands"], strict=True):
+            sizes = y["size2"].to_numpy()
+            for key, one, a, n, c, mine in zip(x["key"], x["sketch"], x["id"], x["size"], x["own"], x["bands"], strict=True):
                 apart = np.bitwise_count(theirs ^ np.frombuffer(one, dtype=np.uint64)).sum(axis=1, dtype=np.int64)
-                near = (1 - 2 * apart / BITS >= APART) & (own != c)
+                near = (1 - 2 * apart / BITS >= APART) & (own != c) & (np.minimum(sizes, n) >= np.maximum(sizes, n) * (threshold - 1e-9))
                 if near.any():
                     first = (keys[near] == np.asarray(mine)).argmax(axis=1)  # a pair counts in the first band that it shares
                     out += [(min(a, b), max(a, b)) for b in ids[near][np.asarray(mine)[first] == key]]
@@ -202,14 +206,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     marks = written(sign(docs, words, weight), "signatures")
     units = marks.groupBy("unit").agg(F.min("doc_id").alias("unit_id"))
     owners = marks.join(units, "unit").where((F.col("doc_id") == F.col("unit_id")) & F.col("bands").isNotNull())
-    banded = owners.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")).distinct()
+    banded = owners.select(F.col("doc_id").alias("id"), "size", F.explode("bands").alias("key")).dropDuplicates(["id", "key"])
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(banded.join(shared, "key"), "members")
     chosen = members.select(F.col("id").alias("doc_id")).distinct()
     sets = written(shingle_sets(docs.join(chosen, "doc_id"), words).dropDuplicates(["doc_id"]), "sets")
-    links = written(verified(first_pairs(members), sets, threshold), "links")
+    links = written(verified(first_pairs(members, threshold), sets, threshold), "links")
     labels = written(components(links), "labels")
-    more = verified(later_pairs(members, labels, owners.select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]), sets), sets, threshold)
+    more = verified(later_pairs(members, labels, owners.select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]), sets, threshold), sets, threshold)
     labels = components(links.union(more).select("a", "b"))
     rows = marks.select("doc_id", "unit").join(units, "unit").withColumn("unit_id", F.when(F.col("doc_id").isNotNull(), F.col("unit_id")))
     return rows.join(labels.withColumnRenamed("id", "unit_id"), "unit_id", "left").select("doc_id", "unit_id", F.coalesce("label", "unit_id").alias("class_id"))
