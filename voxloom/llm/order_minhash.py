@@ -36,16 +36,19 @@ def seeds(n: int) -> list[int]:
     return [rng.getrandbits(64) - 2**63 for _ in range(n)]
 
 
-def elements(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, position, element (hash of k-mer and occurrence) of every k-mer of every text."""
+def elements(texts: DataFrame, keys: list[str], text: str, carried: list[str] | None = None) -> DataFrame:
+    """keys, position, element (hash of k-mer and occurrence) of every k-mer of every text; carried: columns that the first of them has in a struct."""
     token = F.regexp_extract_all(F.col(text), F.lit(r"\S{1,%d}" % TOKEN), F.lit(0))
-    own = texts.select(*keys, token.alias("_t")).withColumn("_n", F.size("_t"))
+    held = [F.struct(*carried).alias("_held")] if carried else []
+    own = texts.select(*keys, *held, token.alias("_t")).withColumn("_n", F.size("_t"))
     shifted = [F.slice("_t", i + 1, F.greatest(F.lit(1), F.col("_n"))) for i in range(K)]
-    kmers = own.select(*keys, "_n", F.posexplode_outer(F.arrays_zip(*(x.alias(f"w{i}") for i, x in enumerate(shifted)))).alias("position", "_w"))
+    kmers = own.select(*keys, *(["_held"] if held else []), "_n", F.posexplode_outer(F.arrays_zip(*(x.alias(f"w{i}") for i, x in enumerate(shifted)))).alias("position", "_w"))
     kmers = kmers.where(F.col("position").isNull() | (F.col("position") < F.greatest(F.lit(1), F.col("_n") - K + 1)))
-    kmers = kmers.select(*keys, F.coalesce("position", F.lit(0)).alias("position"), F.xxhash64(*(F.col(f"_w.w{i}") for i in range(K))).alias("_g"))
+    position = F.coalesce("position", F.lit(0))
+    held = [F.when(position == 0, F.col("_held")).alias("held")] if held else []
+    kmers = kmers.select(*keys, *held, position.alias("position"), F.xxhash64(*(F.col(f"_w.w{i}") for i in range(K))).alias("_g"))
     occurrence = F.row_number().over(Window.partitionBy(*keys, "_g").orderBy("position"))
-    return kmers.select(*keys, "position", F.xxhash64("_g", occurrence).alias("element"))
+    return kmers.select(*keys, *(["held"] if held else []), "position", F.xxhash64("_g", occurrence).alias("element"))
 
 
 def packed(seed: int) -> Column:
@@ -53,11 +56,12 @@ def packed(seed: int) -> Column:
     return F.col("element").bitwiseXOR(F.lit(seed)).bitwiseAND(F.lit(~POSITION)).bitwiseOR(place)
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys and signature (array<int> of SIGNATURES) of each row of texts; keys tell its rows apart."""
+def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """keys and signature (array<int> of SIGNATURES) of each row of texts; keys tell its rows apart. carried: further columns to keep, in a struct named held."""
     stratum = F.col("element").bitwiseAND(F.lit(STRATA - 1))
     least = [F.min(F.when(stratum == s, packed(seed))).alias(f"m{i}_{s}") for i, seed in enumerate(seeds(SIGNATURES)) for s in range(STRATA)]
-    found = elements(texts, keys, text).groupBy(*keys).agg(*least)
+    held = [F.max("held").alias("held")] if carried else []
+    found = elements(texts, keys, text, carried).groupBy(*keys).agg(*least, *held)
 
     def signature(i: int) -> Column:
         a, b = (F.col(f"m{i}_{s}") for s in range(STRATA))
@@ -65,7 +69,7 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
         ordered = a.isNull() | b.isNull() | (a.bitwiseAND(F.lit(POSITION)) <= b.bitwiseAND(F.lit(POSITION)))
         return F.when(ordered, F.hash(first, second)).otherwise(F.hash(second, first))
 
-    return found.select(*keys, F.array(*(signature(i) for i in range(SIGNATURES))).alias("signature"))
+    return found.select(*keys, *(["held"] if held else []), F.array(*(signature(i) for i in range(SIGNATURES))).alias("signature"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -98,9 +102,10 @@ def neighbours(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("bucket", (F.col("_g") - 1) * side + upto(F.col("_starts")) - 1).withColumn("_begins", F.array_contains("_starts", F.col("_key")))
     own = F.struct(F.col("bucket"), F.lit(False).alias("ghost"))
     before = F.struct(F.pmod(F.col("bucket") - 1, F.lit(len(starts))).alias("bucket"), F.lit(True).alias("ghost"))
-    dealt = docs.select("doc_id", "_key", "text", F.explode(F.when(F.col("_begins"), F.array(own, before)).otherwise(F.array(own))).alias("_b")).select("doc_id", "_key", "text", "_b.*")
+    dealt = docs.select("_key", "text", F.explode(F.when(F.col("_begins"), F.array(own, before)).otherwise(F.array(own))).alias("_b")).select("_key", "text", "_b.*")
     order = Window.partitionBy("bucket").orderBy("ghost", "_key", "text")
-    return dealt.select("bucket", F.row_number().over(order).alias("place"), "ghost", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
+    doc_id = F.when(F.col("_key") != FIRST_KEY, F.col("_key"))
+    return dealt.select("bucket", F.row_number().over(order).alias("place"), "ghost", doc_id.alias("doc_id"), "text", F.lead("text").over(order).alias("next_text"))
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
@@ -111,13 +116,14 @@ def with_edits(docs: DataFrame) -> DataFrame:
     near = neighbours(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
-    near = near.withColumn("edited", edited)
+    near = near.withColumn("edited", edited).withColumn("edited_sha256", F.sha2("edited", 256))
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("own")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("own")))
-    texts = near.select("bucket", "place", F.explode(F.when(F.col("ghost"), F.slice(kinds, 1, 1)).otherwise(kinds)).alias("_k")).select("bucket", "place", "_k.kind", F.col("_k.own").alias("own"))
-    found = fingerprints(texts, ["bucket", "place", "kind"], "own")
-    both = found.groupBy("bucket", "place").agg(*(F.max(F.when(F.col("kind") == k, F.col("signature"))).alias(name) for k, name in ((0, "signature"), (1, "edited_signature"))))
-    facts = near.select("bucket", "place", "ghost", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    rows = facts.join(both, ["bucket", "place"]).withColumn("next_signature", F.lead("signature").over(Window.partitionBy("bucket").orderBy("place"))).where(~F.col("ghost"))
+    facts = ["ghost", "doc_id", "n_chars", "edited_sha256"]
+    texts = near.select("bucket", "place", *facts, F.explode(F.when(F.col("ghost"), F.slice(kinds, 1, 1)).otherwise(kinds)).alias("_k")).select("bucket", "place", *facts, "_k.kind", F.col("_k.own").alias("own"))
+    # what is known of a document travels with its first k-mer, so that the texts are dealt out once only
+    found = fingerprints(texts, ["bucket", "place", "kind"], "own", facts)
+    both = found.groupBy("bucket", "place").agg(*(F.max(F.when(F.col("kind") == k, F.col("signature"))).alias(name) for k, name in ((0, "signature"), (1, "edited_signature"))), F.max("held").alias("held"))
+    rows = both.select("bucket", "place", "held.*", "signature", "edited_signature").withColumn("next_signature", F.lead("signature").over(Window.partitionBy("bucket").orderBy("place"))).where(~F.col("ghost"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", written_out("signature").alias("fingerprint"), written_out("edited_signature").alias("edited_fingerprint"),
         likeness("signature", "edited_signature").alias("near_edited"), likeness("signature", "next_signature").alias("near_next"),
