@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import text_of
+from voxloom.llm.common import text_of, written
 from voxloom.llm.tokens import default_vocabulary, encoder
 
 #: Histogram rows per block of the two-level suffix sums.
@@ -49,6 +49,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
     Sums run in blocks of lengths and then over the blocks, so no task holds the whole histogram.
     """
+    histogram = written(histogram, "histogram")  # read twice below, counted once
     rows = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("n_tokens").alias("block_tokens"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row per BLOCK lengths: bounded by the longest document
