@@ -79,3 +79,16 @@ def test_blocks_of_items_and_odd_rows(spark, odd, none, monkeypatch):
     monkeypatch.setattr(d, "BLOCK_BYTES", 100)
     assert sorted(map(str, d.leaks(odd, items).collect())) == sorted(map(str, whole))
     assert d.leaks(none, items).count() == 0 and d.leaks(odd, items.where("false")).count() == 0
+
+
+def test_items_cut_at_their_heads():
+    """At word 0 of a document, and right after a whole copy, where all windows start before the passage."""
+    rng = random.Random(6)
+    items = {k: [f"w{rng.randrange(3000)}" for _ in range(rng.randint(12, 60))] for k in range(40)}
+    index = d.Index([(k, " ".join(w)) for k, w in items.items()])
+    cut = {k: w[rng.randint(1, d.most_edits(len(w))) :] for k, w in items.items()}
+    docs = {k: " ".join(w) + " " + prose(rng, 40) for k, w in cut.items()}
+    got = {(t, index.ids[k]) for t, k, *_ in index.leaks(list(docs.values()))}
+    assert got == brute(docs, {k: " ".join(w) for k, w in items.items()}) == {(k, k) for k in items}
+    got = [x[1:] for x in index.leaks([" ".join(w + cut[k] + prose(rng, 40).split()) for k, w in items.items()])]
+    assert got == [x for k, w in items.items() for x in ((k, 0, len(w), 0), (k, len(w), len(cut[k]), len(w) - len(cut[k])))]

@@ -164,7 +164,7 @@ class Index:
             for k, s in sorted(self.alignments(h)):
                 windows.setdefault(len(self.items[k]), []).append((t, k, s))
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        whole: dict[tuple[int, int], int] = {}  # start of the last passage without edits: one that overlaps it is no nearer
+        whole: dict[tuple[int, int], int] = {}  # start of the last passage without edits: one that overlaps it is no nearer, and the next is aligned at most_edits() before its end or later
         for n, own in windows.items():
             for a in range(0, len(own), WINDOWS):
                 block = own[a : a + WINDOWS]
@@ -174,7 +174,7 @@ class Index:
                     row[max(0, -s) : max(0, -s) + len(part)] = part
                 same = (walk_keys(words, self.repetitions) == np.stack([self.keys[k] for _, k, _ in block])).any(axis=1)
                 for (t, k, s), candidate in zip(block, same.tolist(), strict=True):
-                    if candidate and s >= whole.get((t, k), -n) + n:
+                    if candidate and s >= whole.get((t, k), -math.inf) + n - most_edits(n):
                         edits, first = most_edits(n), max(0, s - most_edits(n))
                         distance, start, end = passage(self.items[k], hashed[t][first : max(0, s + n + edits)])
                         if distance <= edits:
