@@ -94,6 +94,20 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
     assert {x.doc_id: x.class_id for x in p.near_duplicates(df).collect()} == classes(texts)
 
 
+def test_links_share_a_band_however_long_their_words_are():
+    """Four isolated words of 4,000 bytes among 250 short ones: plain Jaccard similarity 0.85, far less if weighted by the root of the bytes."""
+    rng = random.Random(4)
+    for weight in p.WEIGHTS:
+        texts = []
+        for _ in range(40):
+            base = [f"{rng.randrange(100_000):05}" for _ in range(250)]
+            for side in "ab":
+                texts.append(" ".join(f"{i}{side}{rng.random()}".ljust(4000, side) if i in (20, 80, 140, 200) else w for i, w in enumerate(base)))
+        keys = p.band_keys(p.signed(texts, weight=weight)[0])
+        assert all(0.8 < jaccard(*({*p.shingles(x)[0].tolist()} for x in texts[i : i + 2])) < 0.9 for i in range(0, 80, 2))
+        assert (keys[::2] == keys[1::2]).any(axis=1).all()
+
+
 def test_odd_rows(odd, none):
     out = p.near_duplicates(odd).collect()
     assert len(out) == 9
