@@ -65,6 +65,24 @@ def test_more_evidence_lowers_the_threshold():
     assert secrets.thresholds_of(counts)[0] >= 0.4
 
 
+def test_keys_joined_to_a_base_span_are_masked():
+    rng = random.Random(7)
+    least = np.full((len(secrets.ALPHABETS), len(secrets.LENGTHS)), 0.02)
+    whole = 0
+    for _ in range(100):
+        key = "".join(rng.choices(secrets.ALPHABETS["base62"], k=40))
+        if secrets.randomness(key, "base62") < 0.1:
+            continue
+        access, hexed = "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16)), "".join(rng.choices("0123456789abcdef", k=32))
+        for text in (f"see {access}/{key} here", f"see {hexed}-{key} here", f"see {key}/{access} here"):
+            spans = secrets.spans_of(text, least)
+            whole += (4, len(text) - 5, 3) in spans
+            assert key not in secrets.redacted(text, spans, "*") and sum(k < 3 for *_, k in spans) == 1
+        assert all(k < 3 for *_, k in secrets.spans_of(f"token={key} {access} {hexed}", least))
+    assert whole > 100
+    assert secrets.uncovered(2, 20, [(0, 4, 0), (6, 9, 1), (8, 12, 2), (30, 40, 0)]) == [(4, 6), (12, 20)]
+
+
 def test_odd_rows(odd, none):
     rows = secrets.scan(odd, mask="*").collect()
     assert len(rows) == 9 and {x.spans for x in rows if x.doc_id in (1, 2, 5)} == {""}

@@ -1,6 +1,7 @@
 """Secret scan: three fixed patterns, and a battery of randomness tests over every other long token.
 
-A candidate is a maximal run of at least SHORTEST characters of the base64 and URL alphabets that mixes letters with digits or cases. Its
+A candidate is a maximal run of at least SHORTEST characters of the base64 and URL alphabets that mixes letters with digits or cases; of a
+run that a pattern covers in part, also each piece that no pattern covers, so that a key joined to another secret is judged alone. Its
 encoding is inferred from its characters. Were it drawn uniformly from that alphabet, three statistics would have known laws: the counts
 of groups of the alphabet (chi-squared), the runs above and below the alphabet's middle (Wald-Wolfowitz) and the lag-one serial
 correlation. Fisher's method joins the three p-values. Random keys spread evenly over (0, 1); words, paths and names crowd near 0.
@@ -120,15 +121,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int, float]]:
-    """(start, end, encoding, class of length, p) of every token that the battery can judge."""
+    """(start, end, encoding, class of length, p) of every token that the battery can judge; a whole token before its pieces."""
     out = []
-    for m in TOKEN.finditer(text):
-        if encoding := inferred(m[0]):
-            length = int(np.searchsorted(LENGTHS, len(m[0]), side="right")) - 1
-            out.append((*m.span(), list(ALPHABETS).index(encoding), length, randomness(m[0], encoding)))
+    runs = [m.span() for m in TOKEN.finditer(text)]
+    base = base_spans(text) if runs else []
+    for a, b in runs:
+        for x, y in dict.fromkeys([(a, b), *uncovered(a, b, base)]):
+            token = text[a:b] if (x, y) == (a, b) else text[x:y].strip("+/_-")  # what joins a piece to the next is no part of a key
+            if len(token) >= SHORTEST and (encoding := inferred(token)):
+                length = int(np.searchsorted(LENGTHS, len(token), side="right")) - 1
+                out.append((x, y, list(ALPHABETS).index(encoding), length, randomness(token, encoding)))
     return out
 
 
+def uncovered(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of the span from a to b outside all base spans."""
+    out = []
+    for x, y, _ in sorted(base):
+        if x < b and a < y:
+            out.append((a, x))
+            a = max(a, y)
+    return [(x, y) for x, y in [*out, (a, b)] if x < y]
+
+
 def thresholds_of(counts: np.ndarray) -> np.ndarray:
     """Least p-value that is flagged, from counts by bin of the p-value (ascending); last axis: bins."""
     out = np.empty(counts.shape[:-1])
@@ -160,9 +175,12 @@ def thresholds(docs: DataFrame) -> np.ndarray:
 
 
 def spans_of(text: str, least: np.ndarray) -> list[tuple[int, int, int]]:
-    """All spans (start, end, kind) by start and kind; a random token inside a base span is that span."""
+    """All spans (start, end, kind) by start and kind; a random token inside a base span is that span, a piece inside a random token that token."""
     base = base_spans(text)
-    more = [(a, b, 3) for a, b, e, k, p in candidates(text) if p >= least[e, k] and not any(x < b and a < y for x, y, _ in base)]
+    more: list[tuple[int, int, int]] = []
+    for a, b, e, k, p in candidates(text):
+        if p >= least[e, k] and not any(x <= a and b <= y for x, y, _ in base + more[-1:]):
+            more.append((a, b, 3))
     return sorted(base + more, key=lambda x: (x[0], x[2], x[1]))
 
 
