@@ -45,6 +45,34 @@ def test_neighbours_and_features():
     assert (y[1, n : 2 * n] == x[0]).all() and (y[3, n : 3 * n] == 0).all() and (y[2, 2 * n : 3 * n] == 0).all()
 
 
+def test_long_texts_go_by_products():
+    rng = np.random.default_rng(4)
+    counts = np.array([3, 1000, 1, 129, 128, 4001])
+    good, between = 5 * rng.normal(size=counts.sum()), rng.normal(size=(2, 2))
+    p, expected = quality.marginals(good, counts, between)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "LONG", 10_000)
+        q, wanted = quality.marginals(good, counts, between)
+    assert p == pytest.approx(q, abs=1e-9) and expected == pytest.approx(wanted)
+
+
+def test_potentials_and_slopes_without_the_wide_table():
+    rng = np.random.default_rng(5)
+    counts = np.array([1, 4, 1, 3, 1])
+    first, x, w, r = np.cumsum(counts) - counts, rng.normal(size=(10, quality.FEATURES)), rng.normal(size=3 * quality.FEATURES + 1), rng.normal(size=10)
+    wide = quality.with_neighbours(x, counts)
+    assert quality.potentials(x, first, w) == pytest.approx(wide @ w) and quality.slopes(x, first, r) == pytest.approx(wide.T @ r)
+
+
+def test_tails_of_long_texts_are_learned():
+    """Bad documents differ from good ones after line 64 only."""
+    head = [f"A plain line of a text, number {i}." for i in range(70)]
+    good = ["\n".join(head + [f"And so it goes on for {i} of {k}." for i in range(60)]) for k in range(30)]
+    bad = ["\n".join(head + ["buy!!! $$$ now | now"] * 60) for _ in range(30)]
+    score = quality.score(quality.fit(good + bad, np.repeat([1, 0], 30)), [good[0], bad[0]])
+    assert score[0] > 0.9 and score[1] < 0.1
+
+
 def test_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, 1, 0), (5, 0, 0), (4, None, None), (None, 1, 0), (6, 0, 1), (5, 0, 0)], "doc_id long, quality int, toxic int")
     out = quality.classify(odd, labels).collect()

@@ -4,8 +4,9 @@ Each line of a text is good or bad. A line's score uses its own features and tho
 tie neighbouring labels. Forward-backward gives each line's marginal; their mean, weighted by line length, is the document's evidence,
 and a logistic curve fitted on the same training rows turns it into a score between 0 and 1.
 
-Only document labels exist, so in training each line of a document carries the document's label. The field is fitted on at most
-TRAIN_DOCS labelled documents (those with the smallest hash of their id), which bounds what reaches the driver; every document is scored.
+Only document labels exist, so in training each line of a document carries the document's label. The field is fitted on the whole texts
+of at most TRAIN_DOCS labelled documents (those with the smallest hash of their id); every document is scored. In texts of more than LONG
+lines, forward-backward goes by products of the moves of runs of lines, so that its steps don't grow with the longest text.
 
 Defined cases: a null or empty text is one empty line and is scored like any other; equal texts have equal scores; rows with a null
 doc_id are scored but never trained on; labels without quality are left out; with no usable label of one kind every score is the share
@@ -14,7 +15,7 @@ of good labels (0.5 without labels); other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.common import documents, text_of
 
-#: Most labelled documents that the field is fitted on, and most lines of one of them.
-TRAIN_DOCS, TRAIN_LINES = 4000, 64
+#: Most labelled documents that the field is fitted on.
+TRAIN_DOCS = 4000
+#: Texts of more lines than this go by products of moves, of so many lines each.
+LONG, RUN = 128, 32
 #: Characters that one scoring step holds at once, unless one text is longer.
 BLOCK_CHARS = 4_000_000
 STEPS, RATE, RIDGE = 100, 0.15, 1e-3
@@ -115,19 +118,54 @@ class Field:
     shift: float
 
 
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix products (... x 2 x 2) in logarithms."""
+    return np.logaddexp(a[..., :, :1] + b[..., :1, :], a[..., :, 1:] + b[..., 1:, :])
+
+
+def products(moves: np.ndarray) -> np.ndarray:
+    """The product of each move (2 x 2, in logarithms) with all before it."""
+    n = len(moves)
+    if n < 2:
+        return moves
+    none = np.broadcast_to(np.log(np.eye(2) + 1e-300), (-n % RUN, 2, 2))
+    runs = np.concatenate([moves, none]).reshape(-1, RUN, 2, 2)
+    for t in range(1, RUN):
+        runs[:, t] = product(runs[:, t - 1], runs[:, t])
+    if len(runs) > 1:
+        runs[1:] = product(products(runs[:, -1])[:-1, None], runs[1:])
+    return runs.reshape(-1, 2, 2)[:n]
+
+
+def along(states: np.ndarray, counts: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward logarithms of texts in a row, each text's but for a constant: the move into a text's first line forgets the text before."""
+    moves = np.repeat(states[1:, None, :], 2, axis=1)
+    inner = np.ones(len(moves), dtype=bool)
+    inner[np.cumsum(counts)[:-1] - 1] = False
+    moves[inner] += between
+    forward = np.logaddexp(*(states[0, a] + products(moves)[:, a] for a in (0, 1)))
+    back = products(moves[::-1].transpose(0, 2, 1))[::-1]
+    return np.concatenate([states[:1], forward]), np.concatenate([np.logaddexp(back[:, 0], back[:, 1]), np.zeros((1, 2))])
+
+
 def marginals(good: np.ndarray, counts: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(line is good) and the expected number of each transition, by forward-backward over all texts at once; good: log potential of good against bad."""
     order = np.argsort(-counts, kind="stable")
     starts, counts = (np.cumsum(counts) - counts)[order], counts[order]
-    steps = int(counts[0]) if len(counts) else 0
-    active = np.searchsorted(-counts, -np.arange(steps), side="left")  # texts with more lines than t
+    long = int(np.searchsorted(-counts, -LONG, side="left"))
+    steps = int(counts[long]) if len(counts) > long else 0
     states = np.stack([np.zeros_like(good), good], axis=1)
     forward, backward = np.empty_like(states), np.zeros_like(states)
+    if long:
+        own = np.repeat(starts[:long] - np.cumsum(counts[:long]) + counts[:long], counts[:long]) + np.arange(counts[:long].sum())
+        forward[own], backward[own] = along(states[own], counts[:long], between)
+    short = starts[long:]
+    active = np.searchsorted(-counts[long:], -np.arange(steps), side="left")  # short texts with more lines than t
     for t in range(steps):
-        at = starts[: active[t]] + t
+        at = short[: active[t]] + t
         forward[at] = states[at] if t == 0 else states[at] + np.logaddexp(forward[at - 1][:, :1] + between[0], forward[at - 1][:, 1:] + between[1])
     for t in range(steps - 2, -1, -1):
-        at = starts[: active[t + 1]] + t
+        at = short[: active[t + 1]] + t
         later = states[at + 1] + backward[at + 1]
         backward[at] = np.logaddexp(between[:, 0] + later[:, :1], between[:, 1] + later[:, 1:])
     both = forward + backward
@@ -167,24 +205,62 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(shift)
 
 
+def blocks(texts: Iterable[str]) -> Iterator[list[str]]:
+    """The texts in blocks of up to BLOCK_CHARS characters, or one longer text."""
+    block, chars = [], 0
+    for text in texts:
+        if block and chars + len(text) > BLOCK_CHARS:
+            yield block
+            block, chars = [], 0
+        block.append(text)
+        chars += len(text)
+    if block:
+        yield block
+
+
+def features_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features() of many texts, read in blocks."""
+    x, sizes, counts = zip(*map(line_features, blocks(texts)), strict=True)
+    return np.concatenate(x), np.concatenate(sizes), np.concatenate(counts)
+
+
+def potentials(x: np.ndarray, first: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """with_neighbours(x) @ weights, without the wide table; first: the first line of each text."""
+    own, before, after = x @ weights[:FEATURES], x @ weights[FEATURES : 2 * FEATURES], x @ weights[2 * FEATURES : -1]
+    before[first[1:] - 1] = 0
+    after[first] = 0
+    own[1:] += before[:-1]
+    own[:-1] += after[1:]
+    return own + weights[-1]
+
+
+def slopes(x: np.ndarray, first: np.ndarray, residual: np.ndarray) -> np.ndarray:
+    """with_neighbours(x).T @ residual, without the wide table."""
+    later, earlier = residual.copy(), residual.copy()
+    later[first] = 0
+    earlier[first[1:] - 1] = 0
+    return np.concatenate([residual @ x, later[1:] @ x[:-1], earlier[:-1] @ x[1:], [residual.sum()]])
+
+
 def fit(texts: list[str], quality: np.ndarray) -> Field:
     """Gradient ascent (Adam) on the conditional likelihood of the lines' labels."""
-    texts = ["\n".join(text.split("\n")[:TRAIN_LINES]) for text in texts]
-    x, sizes, counts = line_features(texts)
+    x, sizes, counts = features_of(texts)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x = with_neighbours((x - mean) / scale, counts)
+    x -= mean
+    x /= scale
+    first = np.cumsum(counts) - counts
     y = np.repeat(quality.astype(np.float64), counts)
     inner = np.ones(len(y), dtype=bool)
     inner[np.cumsum(counts) - 1] = False
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[:-1][inner[:-1]].astype(int), y[1:][inner[:-1]].astype(int)), 1)
-    theta, first, second = np.zeros(x.shape[1] + 4), 0.0, 0.0
+    theta, mean_slope, square = np.zeros(3 * FEATURES + 5), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        p, expected = marginals(x @ theta[:-4], counts, theta[-4:].reshape(2, 2))
-        slope = np.concatenate([x.T @ (y - p), (seen - expected).ravel()]) / len(y) - RIDGE * theta
-        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
-        theta += RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    p, _ = marginals(x @ theta[:-4], counts, theta[-4:].reshape(2, 2))
+        p, expected = marginals(potentials(x, first, theta[:-4]), counts, theta[-4:].reshape(2, 2))
+        slope = np.concatenate([slopes(x, first, y - p), (seen - expected).ravel()]) / len(y) - RIDGE * theta
+        mean_slope, square = 0.9 * mean_slope + 0.1 * slope, 0.99 * square + 0.01 * slope**2
+        theta += RATE * (mean_slope / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+    p, _ = marginals(potentials(x, first, theta[:-4]), counts, theta[-4:].reshape(2, 2))
     return Field(mean, scale, theta[:-4], theta[-4:].reshape(2, 2), *fit_logistic(logit(evidence(p, sizes, counts)), quality.astype(np.float64)))
 
 
@@ -219,14 +295,7 @@ def with_scores(docs: DataFrame, field: Field | float, column: str = "score") ->
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            out, block, chars = [], [], 0
-            for text in texts:
-                if block and chars + len(text) > BLOCK_CHARS:
-                    out.append(score(field, block))
-                    block, chars = [], 0
-                block.append(text)
-                chars += len(text)
-            out += [score(field, block)] if block else []
+            out = [score(field, block) for block in blocks(texts)]
             yield pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
     return docs.withColumn(column, scores(text_of(docs)))
