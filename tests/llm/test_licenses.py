@@ -1,6 +1,7 @@
 import random
 import re
-
+from itertools import product
+from re import _parser
 
 from tests.llm.conftest import prose
 from voxloom.llm import licenses, queries
@@ -8,7 +9,8 @@ from voxloom.llm import licenses, queries
 SAMPLES = """Licensed under the Apache License, Version 2.0.|This work is licensed under the GNU General Public License, version 3.|Released under the MIT License.|SPDX-License-Identifier: MPL-2.0
 https://creativecommons.org/licenses/by-sa/4.0/|All rights reserved.|CC BY 4.0|Copyright (c) 2019 Some One|GNU Lesser General Public License v2.1|BSD 3-Clause|the Unlicense|released into the public domain|Boost Software License 1.0
 Permission is hereby granted, free of charge, to any person obtaining a copy|you can redistribute it and/or modify it under the terms of the GNU General Public License|attribution share-alike|Affero General Public License|X11 license|gplv3|beerware license|CC0 1.0|proprietary and confidential
-Internet Systems Consortium license|cc by cc by|www.apache.org/licenses/LICENSE-2.0|zlib/libpng license|Mozilla Public License|licensed under|general public license""".replace("\n", "|").split("|")
+Internet Systems Consortium license|cc by cc by|www.apache.org/licenses/LICENSE-2.0|zlib/libpng license|Mozilla Public License|licensed under|general public license|Released under the Expat License.|Do not copy without written permission.|without prior consent
+Creative Commons Attribution-NonCommercial-ShareAlike 4.0|This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License|Attribution-NoDerivatives|the free software foundation""".replace("\n", "|").split("|")
 
 
 def words_of(text):
@@ -34,6 +36,55 @@ def brute(text):
     return (len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), score)
 
 
+def expanded(parsed):
+    """Texts that a parsed expression matches: all alternatives, up to two rounds of a repetition, one character of a class."""
+    parts = []
+    for kind, value in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            parts.append([chr(value)])
+        elif name == "IN":
+            first, own = value[0]
+            parts.append([chr(own if str(first) == "LITERAL" else own[0])])
+        elif name == "BRANCH":
+            parts.append([x for branch in value[1] for x in expanded(branch)])
+        elif name == "SUBPATTERN":
+            parts.append(expanded(value[-1]))
+        elif name == "MAX_REPEAT":
+            low, high, inner = value
+            own = expanded(inner)
+            parts.append(["".join(x) for n in range(low, min(int(high), max(low, 2)) + 1) for x in product(own, repeat=n)])
+        elif name == "ASSERT":
+            parts.append([""])
+        else:
+            raise AssertionError(name)
+    return ["".join(x) for x in product(*parts)]
+
+
+def test_every_alternative_of_a_rule_holds_its_keyword_and_a_trigger():
+    rules = licenses.rules()
+    assert len({pattern for *_, pattern in rules if "spdx" not in pattern}) >= 250
+    for _, priority, score, keyword, pattern in rules:
+        texts = expanded(_parser.parse(pattern))
+        assert 0 <= priority < licenses.PRIORITIES and 0 < score <= 1
+        for text in texts:
+            assert keyword in text, (keyword, text)
+            assert any(x in f"{text} " for x in licenses.TRIGGERS), text
+
+
+def test_labels_of_alternatives_that_a_gate_could_lose(spark):
+    want = {
+        "Released under the Expat License.": "expat",
+        "Do not copy without written permission.": "proprietary",
+        "not without the express prior written consent": "proprietary",
+        "Creative Commons Attribution-NonCommercial-ShareAlike": "cc-by-nc-sa",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa-4.0",
+    }
+    rows = licenses.scan(spark.createDataFrame([(i, x) for i, x in enumerate(want)], "doc_id long, text string")).orderBy("doc_id").collect()
+    for x, label in zip(rows, want.values(), strict=True):
+        assert label in x.labels.split(",") and x.score >= 0.6
+
+
 def row(x):
     return (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels, x.labels, x.score)
 

@@ -1,4 +1,4 @@
-"""Licence scan by ordered signature rules, in DataFrame operations alone.
+"""Licence scan by the ordered signature rules of license_rules.py, in DataFrame operations alone.
 
 A text is lower-cased (A-Z only) and read as words; rules are regular expressions over the words joined by single blanks. Three gates keep
 the cost of hundreds of rules low: texts without any trigger word are done at once, a rule is tried only where its keyword stands, and only
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import text_of
+from voxloom.llm.license_rules import TRIGGERS, rules
 
 #: Phrases of the base labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -25,128 +26,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Upper-case characters outside A-Z whose lower case holds an ASCII letter.
 ODD_CASES = ("İ", "K")
 
-V = "(?: version| v)?"
-# label; keyword; expression for the name; its words as an identifier; words of its address
-FAMILIES = [
-    ("agpl-3.0", "affero", f"(?:gnu )?affero general public license{V} 3(?: 0)?", "agpl 3 0", "gnu org licenses agpl"),
-    ("agpl", "affero", "(?:gnu )?affero general public license", "agpl", "affero org oagpl"),
-    ("apache-1.1", "apache", f"apache(?: software)? license{V} 1 1", "apache 1 1", "apache org licenses license 1 1"),
-    ("apache-2.0", "apache", f"apache(?: software)? license{V} 2(?: 0)?", "apache 2 0", "apache org licenses license 2 0"),
-    ("apache", "apache", "apache(?: software)? license", "apache", "apache org licenses"),
-    ("artistic-2.0", "artistic", f"artistic license{V} 2(?: 0)?", "artistic 2 0", "perlfoundation org artistic license 2 0"),
-    ("artistic", "artistic", "(?:perl |clarified )?artistic license", "artistic 1 0", "dev perl org licenses artistic"),
-    ("beerware", "beer", "beer ?ware license", "beerware", "people freebsd org phk"),
-    ("bsd-2-clause", "bsd", "(?:2|two) clause bsd|bsd 2 clause|simplified bsd|freebsd license", "bsd 2 clause", "opensource org licenses bsd 2 clause"),
-    ("bsd-3-clause", "bsd", "(?:3|three) clause bsd|bsd 3 clause|(?:new|modified|revised) bsd", "bsd 3 clause", "opensource org licenses bsd 3 clause"),
-    ("bsd-4-clause", "bsd", "(?:4|four) clause bsd|bsd 4 clause|original bsd", "bsd 4 clause", "spdx org licenses bsd 4 clause"),
-    ("bsd", "bsd", "bsd(?: style)? licen[sc]e", "bsd", "opensource org licenses bsd"),
-    ("bsl-1.0", "boost", f"boost software license{V}(?: 1 0)?", "bsl 1 0", "boost org license 1 0"),
-    ("busl-1.1", "business", f"business source license{V}(?: 1 1)?", "busl 1 1", "mariadb com bsl11"),
-    ("cc0-1.0", "cc0", f"cc0(?:{V} 1 0)?(?: universal)?", "cc0 1 0", "creativecommons org publicdomain zero"),
-    ("cc-by-2.0", "2 0", "(?:cc by|creative commons attribution) 2 0", "cc by 2 0", "creativecommons org licenses by 2 0"),
-    ("cc-by-3.0", "3 0", "(?:cc by|creative commons attribution) 3 0", "cc by 3 0", "creativecommons org licenses by 3 0"),
-    ("cc-by-4.0", "4 0", "(?:cc by|creative commons attribution) 4 0", "cc by 4 0", "creativecommons org licenses by 4 0"),
-    ("cc-by-nc", "nc", "cc by nc", "cc by nc 4 0", "creativecommons org licenses by nc"),
-    ("cc-by-nc-nd", "nc", "cc by nc nd", "cc by nc nd 4 0", "creativecommons org licenses by nc nd"),
-    ("cc-by-nc-sa", "nc", "cc by nc sa", "cc by nc sa 4 0", "creativecommons org licenses by nc sa"),
-    ("cc-by-nd", "nd", "cc by nd", "cc by nd 4 0", "creativecommons org licenses by nd"),
-    ("cc-by-sa", "sa", "cc by sa", "cc by sa 4 0", "creativecommons org licenses by sa"),
-    ("cc", "commons", "creative commons", "cc", "creativecommons org"),
-    ("cddl-1.0", "cddl", "cddl(?: license)?", "cddl 1 0", "opensource org licenses cddl"),
-    ("cecill", "cecill", "cecill(?: [abc])?(?: license)?", "cecill 2 1", "cecill info licences"),
-    ("cpl-1.0", "common", "common public license", "cpl 1 0", "opensource org licenses cpl"),
-    ("ecl-2.0", "educational", "educational community license", "ecl 2 0", "opensource org licenses ecl"),
-    ("epl-1.0", "eclipse", f"eclipse public license{V} 1(?: 0)?", "epl 1 0", "eclipse org legal epl v10"),
-    ("epl-2.0", "eclipse", f"eclipse public license{V} 2(?: 0)?", "epl 2 0", "eclipse org legal epl 2 0"),
-    ("epl", "eclipse", "eclipse public license", "epl", "eclipse org legal epl"),
-    ("eupl-1.2", "union", "european union public licen[sc]e", "eupl 1 2", "joinup ec europa eu collection eupl"),
-    ("gfdl", "documentation", "(?:gnu )?free documentation license", "gfdl 1 3", "gnu org licenses fdl"),
-    ("gpl-2.0", "general", f"(?:gnu )?general public license(?: gpl)?{V} 2(?: 0)?", "gpl 2 0", "gnu org licenses gpl 2 0"),
-    ("gpl-3.0", "general", f"(?:gnu )?general public license(?: gpl)?{V} 3(?: 0)?", "gpl 3 0", "gnu org licenses gpl 3 0"),
-    ("gpl", "general", "gnu general public license", "gpl", "gnu org licenses gpl"),
-    ("gplv2", "gplv2", "(?:gnu )?gplv2", "gplv2", "gnu org licenses old licenses gpl 2 0"),
-    ("gplv3", "gplv3", "(?:gnu )?gplv3", "gplv3", "gnu org licenses gplv3"),
-    ("hpnd", "historical", "historical permission notice and disclaimer", "hpnd", "opensource org licenses hpnd"),
-    ("ibm-pl-1.0", "ibm", "ibm public license", "ipl 1 0", "opensource org licenses ibmpl"),
-    ("isc", "isc", "isc licen[sc]e", "isc", "opensource org licenses isc"),
-    ("json", "evil", "software shall be used for good not evil", "json", "json org license"),
-    ("lgpl-2.1", "lesser", f"(?:gnu )?lesser general public license(?: lgpl)?{V} 2 1", "lgpl 2 1", "gnu org licenses lgpl 2 1"),
-    ("lgpl-3.0", "lesser", f"(?:gnu )?lesser general public license(?: lgpl)?{V} 3(?: 0)?", "lgpl 3 0", "gnu org licenses lgpl 3 0"),
-    ("lgpl", "public", "(?:gnu )?(?:lesser|library) general public license", "lgpl", "gnu org licenses lgpl"),
-    ("lppl", "latex", "latex project public license", "lppl 1 3c", "latex project org lppl"),
-    ("mit", "mit", "(?:the )?(?:mit|expat)(?: x11)? licen[sc]e", "mit", "opensource org licenses mit"),
-    ("mit-0", "mit", "mit no attribution|mit 0 licen[sc]e", "mit 0", "spdx org licenses mit 0"),
-    ("mpl-1.1", "mozilla", f"mozilla public license{V} 1 1", "mpl 1 1", "mozilla org mpl 1 1"),
-    ("mpl-2.0", "mozilla", f"mozilla public license{V} 2(?: 0)?", "mpl 2 0", "mozilla org mpl 2 0"),
-    ("mpl", "mozilla", "mozilla public license", "mpl", "mozilla org mpl"),
-    ("ms-pl", "microsoft", "microsoft public license", "ms pl", "opensource org licenses ms pl"),
-    ("ms-rl", "microsoft", "microsoft reciprocal license", "ms rl", "opensource org licenses ms rl"),
-    ("mulan-psl-2.0", "mulan", "mulan p(?:ermissive s(?:oftware )?l(?:icense)?|sl)(?: v2)?", "mulanpsl 2 0", "license coscl org cn mulanpsl2"),
-    ("ncsa", "ncsa", "university of illinois ncsa open source license", "ncsa", "opensource org licenses ncsa"),
-    ("odbl-1.0", "database", "open (?:data commons open )?database license", "odbl 1 0", "opendatacommons org licenses odbl"),
-    ("odc-by-1.0", "attribution", "open data commons attribution license", "odc by 1 0", "opendatacommons org licenses by"),
-    ("ofl-1.1", "font", "(?:sil )?open font license", "ofl 1 1", "scripts sil org ofl"),
-    ("osl-3.0", "open", "open software license", "osl 3 0", "opensource org licenses osl 3 0"),
-    ("php-3.01", "php", "php license", "php 3 01", "php net license"),
-    ("postgresql", "postgresql", "postgresql licen[sc]e", "postgresql", "opensource org licenses postgresql"),
-    ("public-domain", "domain", "(?:released into|placed in|in|dedicated to) the public domain", "public domain", "creativecommons org publicdomain mark"),
-    ("python-2.0", "python", "python (?:software foundation )?license", "python 2 0", "docs python org license"),
-    ("qpl-1.0", "public", "q public license", "qpl 1 0", "opensource org licenses qpl"),
-    ("ruby", "ruby", "ruby(?: s)? license", "ruby", "ruby lang org about license"),
-    ("sspl-1.0", "server", "server side public license", "sspl 1 0", "mongodb com licensing server side public license"),
-    ("unlicense", "unlicense", "(?:the )?unlicense", "unlicense", "unlicense org"),
-    ("upl-1.0", "universal", "universal permissive license", "upl 1 0", "oss oracle com licenses upl"),
-    ("vim", "vim", "vim license", "vim", "vimhelp org uganda"),
-    ("w3c", "w3c", "w3c software (?:notice and )?license", "w3c", "w3 org consortium legal copyright software"),
-    ("wtfpl", "public", "do what the f[a-z]* you want to public license", "wtfpl", "wtfpl net"),
-    ("x11", "x11", "x11 licen[sc]e", "x11", "spdx org licenses x11"),
-    ("zlib", "zlib", "zlib(?: libpng)? licen[sc]e", "zlib", "zlib net zlib license"),
-    ("zpl-2.1", "zope", "zope public license", "zpl 2 1", "opensource org licenses zpl"),
-]
-
-# label; priority; score; keyword; expression: sentences of licence texts and notices
-SENTENCES = [
-    ("mit", 4, 1.0, "hereby", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", 4, 1.0, "fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", 4, 0.95, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("gpl", 4, 0.95, "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", 4, 0.95, "redistribute", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
-    ("apache-2.0", 4, 1.0, "apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance"),
-    ("unlicense", 4, 1.0, "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("zlib", 4, 0.95, "misrepresented", "the origin of this software must not be misrepresented"),
-    ("mpl-2.0", 4, 1.0, "mozilla", "this source code form is subject to the terms of the mozilla public license"),
-    ("cc-by-nd", 1, 0.75, "attribution", "attribution no ?deriv[a-z]*"),
-    ("cc-by-sa", 1, 0.75, "attribution", "attribution share ?alike"),
-    ("bsd", 1, 0.75, "berkeley", "berkeley software distribution licen[sc]e"),
-    ("isc", 1, 0.75, "consortium", "internet (?:software|systems) consortium licen[sc]e"),
-    ("cddl-1.0", 1, 0.75, "development", "common development and distribution license"),
-    ("proprietary", 2, 0.7, "proprietary", "(?:proprietary and confidential|confidential and proprietary)"),
-    ("proprietary", 2, 0.6, "prior", "without (?:the )?(?:express |prior )*(?:written )?(?:permission|consent)"),
-    ("copyright", 1, 0.4, "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}"),
-    ("license-mention", 0, 0.2, "licensed", "licensed under"),
-]
-
-UNDER = "(?:licensed|released|distributed|published|provided|available|covered)(?: to you)? under (?:the )?(?:terms of )?(?:the |a |an )?"
 PRIORITIES = 5
 
 
-def rules() -> list[tuple[str, int, float, str, str]]:
-    """(label, priority, score, keyword, expression) of every rule: four from each family and the sentences. Each expression begins with the blank before its first word."""
-    out = []
-    for label, keyword, name, identifier, address in FAMILIES:
-        out += [
-            (label, 4, 1.0, "spdx", f"spdx license identifier {identifier}"),
-            (label, 3, 0.95, keyword, f"{UNDER}(?:{name})"),
-            (label, 2, 0.9, address.split(" org")[0].split(" com")[0].split()[-1], f"(?:https? )?(?:www )?{address}"),
-            (label, 1, 0.75, keyword, f"(?:{name})"),
-        ]
-    return [(label, p, s, k, f" {x}(?= )") for label, p, s, k, x in out + SENTENCES]
-
-
-#: Each rule's expression holds one of these words, so a text without them needs no rule.
-TRIGGERS = ("licens", "licenc", "copyright", "public", " org ", " com ", " net ", "cc by", "cc0", "creative", "attribution", "bsd", "gplv", "permission", "consent", "redistribut", "misrepresented", "evil", "confidential", "cddl", "cecill", "mulan", "historical", "europa eu", " cn ", "mit ")
-
-
 def lowered(text: Column) -> Column:
     """A-Z in lower case. Other letters may change too, but none of them becomes or stops being a character of a word."""
     odd = F.contains(text, F.lit(ODD_CASES[0])) | F.contains(text, F.lit(ODD_CASES[1]))
@@ -158,7 +40,9 @@ def blanks(text: Column) -> Column:
 
 
 def rule_array() -> Column:
-    return F.array(*(F.struct(F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(s).alias("score"), F.lit(k).alias("keyword"), F.lit(x).alias("pattern")) for label, p, s, k, x in rules()))
+    """The rules as one literal; neither quotes nor backslashes stand in them."""
+    own = (f"struct('{label}' AS label, {priority} AS priority, {score}D AS score, '{keyword}' AS keyword, '{pattern}' AS pattern)" for label, priority, score, keyword, pattern in rules())
+    return F.expr(f"array({', '.join(own)})")
 
 
 def detections(words: str) -> Column:
