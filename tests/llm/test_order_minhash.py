@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -19,30 +20,29 @@ def brute(text, element):
     import re
 
     t = re.findall(r"[^ \t\n\x0b\f\r]{1,12}", text)
-    kmers = [tuple((t + [None] * 3)[i : i + 3]) for i in range(max(1, len(t) - 2))]
+    kmers = [tuple((t + [None] * 3)[i : i + 3]) for i in range(max(1, len(t) - 2) if t else 0)]
     seen = {}
     out = []
     for i, x in enumerate(kmers):
         seen[x] = seen.get(x, 0) + 1
         out.append((i, element[x, seen[x]]))
     rows = []
-    for seed in o.seeds(o.SIGNATURES):
-        best = []
-        for s in range(o.STRATA):
-            own = [(((e ^ seed) & ~o.POSITION) | i, i) for i, e in out if e & 1 == s]
-            best += [min(own)] if own else []
-        rows.append(tuple((x[0] % 2**64) >> 24 for x in sorted(best, key=lambda x: x[1])))
+    for seed in o.seeds()[1:]:
+        least = sorted(((e - seed) % 2**64, i, e) for i, e in out)[:2]  # the next two round the circle from the seed
+        if len(least) == 1 and out:
+            least *= 2
+        rows.append(tuple(e for _, _, e in sorted(least, key=lambda x: x[1])))
     return rows
 
 
 def test_signatures_are_tuples_of_minima_in_text_order(spark):
     rng = random.Random(1)
-    texts = [prose(rng, n) for n in (1, 2, 3, 4, 30, 90)] + ["a b c a b c a b c", "c b a c b a", "averyveryverylongtokenofmanycharacters x"]
+    texts = ["", *(prose(rng, n) for n in (1, 2, 3, 4, 30, 90, 600)), "a b c a b c a b c", "c b a c b a", "averyveryverylongtokenofmanycharacters x"]
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     by = {}
     import re
 
-    for x in o.elements(rows, ["id"], "text").orderBy("id", "position").collect():
+    for x in o.elements(rows, ["id"], "text").where("marker is null").orderBy("id", "position").collect():
         t = re.findall(r"[^ \t\n\x0b\f\r]{1,12}", texts[x.id])
         kmer = tuple((t + [None] * 3)[x.position : x.position + 3])
         n = sum(tuple((t + [None] * 3)[i : i + 3]) == kmer for i in range(x.position + 1))
@@ -86,9 +86,10 @@ def test_neighbours_in_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(o, "BUCKET_ROWS", 7)
     rng = random.Random(3)
     ids = [*rng.sample(range(10_000), 150), 3, 3, 3]
-    rows = [(i, f"{i} {k}") for k, i in enumerate(ids)]
+    rows = [(i, f"{i} {k}") for k, i in enumerate([*ids, *[77] * 60, *[None] * 60])]
     got = {x.text: x.next_text for x in o.neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).where("not ghost").collect()}
-    order = sorted(rows)
+    tie = {x.text: x.h for x in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda x: (x[0] if x[0] is not None else -math.inf, tie[x[1]], x[1]))
     assert got == {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
 
 
