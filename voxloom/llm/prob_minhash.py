@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import arrow, documents, written
+from voxloom.llm.common import arrow, documents, looked_up, written
 from voxloom.llm.hashing import BASES, mixed, rolling, word_hashes, words_of
 from voxloom.operators.graph import components
 
@@ -209,8 +209,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     """
     docs = documents(docs)
     marks = written(sign(docs, words, weight), "signatures")
-    units = marks.groupBy("unit").agg(F.min("doc_id").alias("unit_id"))
-    owners = marks.join(units, "unit").where((F.col("doc_id") == F.col("unit_id")) & F.col("bands").isNotNull())
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "size", "bands"))).alias("least")
+    units = written(marks.groupBy("unit").agg(least, F.count("*").alias("n")).select("unit", "n", "least.*").withColumnRenamed("doc_id", "unit_id"), "distinct")
+    owners = units.where("bands IS NOT NULL").select(F.col("unit_id").alias("doc_id"), "size", "bands")
     banded = owners.select(F.col("doc_id").alias("id"), "size", F.explode("bands").alias("key")).dropDuplicates(["id", "key"])
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(banded.join(shared, "key"), "members")
@@ -220,5 +221,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     labels = written(components(links), "labels")
     more = verified(later_pairs(members, labels, owners.select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]), sets, threshold), sets, threshold)
     labels = components(links.union(more).select("a", "b"))
-    rows = marks.select("doc_id", "unit").join(units, "unit").withColumn("unit_id", F.when(F.col("doc_id").isNotNull(), F.col("unit_id")))
-    return rows.join(labels.withColumnRenamed("id", "unit_id"), "unit_id", "left").select("doc_id", "unit_id", F.coalesce("label", "unit_id").alias("class_id"))
+    classes = units.select("unit", "n", "unit_id").join(labels.withColumnRenamed("id", "unit_id"), "unit_id", "left")
+    rows = looked_up(marks.select("doc_id", "unit"), written(classes.select("unit", "n", "unit_id", F.coalesce("label", "unit_id").alias("class_id")), "classes"), ["unit"])
+    own = F.col("doc_id").isNotNull()
+    return rows.select("doc_id", F.when(own, F.col("unit_id")).alias("unit_id"), F.when(own, F.col("class_id")).alias("class_id"))

@@ -10,7 +10,8 @@ Hashes of 140 million windows need not all travel. Three steps keep what is coun
    windows mostly share theirs, so anchors are few. A window whose anchor lies in one document only can't be repeated.
 3. The windows that remain are hashed over all their words (96 bits), counted by hash with their smallest doc_id, and joined to it.
 
-Counts combine before each shuffle, and a passage that a third of all documents share is a skewed join key, which Spark splits.
+Counts combine before each shuffle. A passage that a third of all documents share is a hot key of the joins back to its windows and
+anchors; the counts tell which keys are hot, and these go to all tasks instead (looked_up()).
 
 Defined cases: a null or empty text has no words; shorter documents than a window keep all words; equal rows get equal results; a row
 without doc_id neither loses words nor makes others lose theirs; rows that share a doc_id are parts of one document and don't repeat each
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import arrow, documents, written
+from voxloom.llm.common import arrow, documents, looked_up, written
 from voxloom.llm.hashing import BASES, mixed, rolling, sliding_min, word_hashes, words_of
 
 WIDTH = 50
@@ -107,18 +108,19 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield arrow(rows, [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))], ["doc_id", "unit", "cut", "kept", "cut_spans"])
 
     seen = written(docs.mapInArrow(read, "doc_id long, unit binary, n_words long, anchors array<long>"), "units")
-    units = seen.groupBy("unit").agg(F.min("doc_id").alias("first"))
-    owners = seen.where(F.col("n_words") >= width).join(units, "unit").where("doc_id = first")
+    units = written(seen.groupBy("unit").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "firsts")
+    seen = looked_up(seen, units, ["unit"])
+    owners = seen.where((F.col("n_words") >= width) & (F.col("doc_id") == F.col("first")))
     marks = owners.select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = marks.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
-    hit = marks.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    shared = written(marks.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").drop("most"), "anchors")
+    hit = looked_up(marks, shared, ["anchor"]).where("least IS NOT NULL").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     chosen = written(docs.join(hit, "doc_id").select("doc_id", "text", "anchors"), "candidates")
     windows = chosen.mapInArrow(hash_windows, "high long, low int, doc_id long, place long")
-    counted = windows.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    repeated = windows.join(counted, ["high", "low"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    counted = windows.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").drop("most")
+    repeated = looked_up(windows, written(counted, "repeated"), ["high", "low"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     cuts = chosen.drop("anchors").join(repeated, "doc_id").select("doc_id", "text", "places").mapInArrow(cut, "doc_id long, unit binary, cut long, kept binary, cut_spans array<struct<start:long,end:long>>").dropDuplicates(["doc_id", "unit"])
     whole = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= width)
-    out = seen.select("doc_id", "unit", "n_words").join(units, "unit").join(cuts, ["doc_id", "unit"], "left")
+    out = seen.select("doc_id", "unit", "n_words", "first").join(cuts, ["doc_id", "unit"], "left")
     return out.select(
         "doc_id",
         "n_words",
