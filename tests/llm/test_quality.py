@@ -73,6 +73,61 @@ def test_tails_of_long_texts_are_learned():
     assert score[0] > 0.9 and score[1] < 0.1
 
 
+def plain_score(field, text):
+    """The score of one text by sums over its lines, forward and backward, in plain probabilities."""
+    x, sizes, _ = quality.line_features([text])
+    x = (x - field.mean) / field.scale
+    n, zero, move = len(x), np.zeros(quality.FEATURES), np.exp(field.between)
+    good = [float(np.concatenate([x[i], x[i - 1] if i else zero, x[i + 1] if i + 1 < n else zero, [1.0]]) @ field.weights) for i in range(n)]
+    state = [np.array([1.0, np.exp(g)]) / (1 + np.exp(g)) for g in good]
+    ahead, back = [state[0] / state[0].sum()], [np.ones(2)]
+    for i in range(1, n):
+        f = state[i] * (ahead[-1] @ move)
+        ahead.append(f / f.sum())
+    for i in range(n - 1, 0, -1):
+        b = move @ (state[i] * back[0])
+        back.insert(0, b / b.sum())
+    p = [f[1] * b[1] / (f @ b) for f, b in zip(ahead, back, strict=True)]
+    mean = min(max(sum(w * x for w, x in zip(sizes + 1, p, strict=True)) / (sum(sizes) + n), 1e-6), 1 - 1e-6)
+    return 1 / (1 + np.exp(-(field.slope * np.log(mean / (1 - mean)) + field.shift)))
+
+
+def test_query_against_a_plain_scorer(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "labels"))
+    field = quality.train(docs, labels)
+    want = {x.doc_id: plain_score(field, x.text or "") for x in docs.collect()}
+    got = {x.doc_id: x.score for x in queries.op7_line_field_quality(spark, sf_dir).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and len(want) > 100
+
+
+def test_lines_of_one_document_may_differ():
+    """Bad documents hold clean lines too; the field tells them from the junk, though it only ever sees document labels."""
+    rng = np.random.default_rng(8)
+    clean = lambda: f"A plain line of a text about matter {rng.integers(1000)}."
+    junk = lambda: "buy!!! $$$ now | now " + "!" * int(rng.integers(1, 9))
+    good = ["\n".join(clean() for _ in range(12)) for _ in range(60)]
+    bad = ["\n".join([clean() for _ in range(6)] + [junk() for _ in range(6)]) for _ in range(60)]
+    field = quality.fit(good + bad, np.repeat([1, 0], 60))
+    x, _, counts = quality.line_features(bad[:5])
+    p, _ = quality.marginals(quality.with_neighbours((x - field.mean) / field.scale, counts) @ field.weights, counts, field.between)
+    p = p.reshape(5, 12)
+    assert p[:, :5].mean() > 0.7 and p[:, 7:].mean() < 0.1
+    score = quality.score(field, [good[0], bad[0]])
+    assert score[0] > 0.9 and score[1] < 0.1
+
+
+def test_the_sample_is_bounded_by_rows_and_characters(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a line of words. " * (1 + i % 7)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, quality: seen.append(texts) or 0.5)
+    monkeypatch.setattr(quality, "LONGEST_TRAIN", 100)
+    monkeypatch.setattr(quality, "TRAIN_CHARS", 900)
+    quality.train(docs, labels)
+    quality.train(docs, labels, limit=5)
+    assert 5 < len(seen[0]) and sum(map(len, seen[0])) <= 900 and max(map(len, seen[0])) <= 100 and len(seen[1]) == 5
+
+
 def test_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, 1, 0), (5, 0, 0), (4, None, None), (None, 1, 0), (6, 0, 1), (5, 0, 0)], "doc_id long, quality int, toxic int")
     out = quality.classify(odd, labels).collect()

@@ -4,8 +4,11 @@ Each line of a text is good or bad. A line's score uses its own features and tho
 tie neighbouring labels. Forward-backward gives each line's marginal; their mean, weighted by line length, is the document's evidence,
 and a logistic curve fitted on the same training rows turns it into a score between 0 and 1.
 
-Only document labels exist, so in training each line of a document carries the document's label. The field is fitted on the whole texts
-of at most TRAIN_DOCS labelled documents (those with the smallest hash of their id); every document is scored. In texts of more than LONG
+Only document labels exist, so the lines' own labels are latent: a document's label is seen at each of its lines, wrongly with probability
+GOOD_IN_BAD or BAD_IN_GOOD (a bad document may well hold good lines, a good one hardly any bad ones), and the field maximises the likelihood of what is seen given the features. Fitting begins (WARM steps) with the document's label at every line and no
+ties between lines; after that a line may differ from its document where its features and neighbours say so, and ties are learned from that. The field
+is fitted on the whole texts of a bounded sample of labelled documents: those with the smallest hash of their id, at most TRAIN_DOCS
+documents and TRAIN_CHARS characters, none of more than LONGEST_TRAIN; every document is scored. In texts of more than LONG
 lines, forward-backward goes by products of the moves of runs of lines, so that its steps don't grow with the longest text.
 
 Defined cases: a null or empty text is one empty line and is scored like any other; equal texts have equal scores; rows with a null
@@ -21,18 +24,20 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import documents, text_of
 
-#: Most labelled documents that the field is fitted on.
-TRAIN_DOCS = 4000
+#: Most labelled documents that the field is fitted on, most characters of all of them and of one.
+TRAIN_DOCS, TRAIN_CHARS, LONGEST_TRAIN = 4000, 64_000_000, 1_000_000
 #: Texts of more lines than this go by products of moves, of so many lines each.
 LONG, RUN = 128, 32
 #: Characters that one scoring step holds at once, unless one text is longer.
 BLOCK_CHARS = 4_000_000
-STEPS, RATE, RIDGE = 100, 0.15, 1e-3
+STEPS, WARM, RATE, RIDGE = 100, 30, 0.15, 1e-3
+#: Shares of good lines that stand in bad documents, and of bad lines that stand in good ones, before anything else is known of a line.
+GOOD_IN_BAD, BAD_IN_GOOD = 0.5, 0.02
 
 #: Classes of bytes: lower case, upper case, digits, blanks, stops, bangs, symbols, brackets and bars, other, beyond ASCII.
 KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b".,;:?'\"-", b"!", b"#$%&*@^~+=<>/\\_`", b"|[](){}"]
@@ -243,20 +248,22 @@ def slopes(x: np.ndarray, first: np.ndarray, residual: np.ndarray) -> np.ndarray
 
 
 def fit(texts: list[str], quality: np.ndarray) -> Field:
-    """Gradient ascent (Adam) on the conditional likelihood of the lines' labels."""
+    """Gradient ascent (Adam) on the conditional likelihood of the documents' labels, the lines' labels being latent after WARM steps."""
     x, sizes, counts = features_of(texts)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x -= mean
     x /= scale
     first = np.cumsum(counts) - counts
     y = np.repeat(quality.astype(np.float64), counts)
-    inner = np.ones(len(y), dtype=bool)
-    inner[np.cumsum(counts) - 1] = False
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:-1][inner[:-1]].astype(int), y[1:][inner[:-1]].astype(int)), 1)
     theta, mean_slope, square = np.zeros(3 * FEATURES + 5), 0.0, 0.0
+    evident = np.where(y == 1, np.log((1 - GOOD_IN_BAD) / BAD_IN_GOOD), np.log(GOOD_IN_BAD / (1 - BAD_IN_GOOD)))
     for step in range(1, STEPS + 1):
-        p, expected = marginals(potentials(x, first, theta[:-4]), counts, theta[-4:].reshape(2, 2))
+        good, between = potentials(x, first, theta[:-4]), theta[-4:].reshape(2, 2)
+        p, expected = marginals(good, counts, between)
+        if step > WARM:
+            y, seen = marginals(good + evident, counts, between)
+        else:
+            seen = expected  # transitions wait for lines that may differ
         slope = np.concatenate([slopes(x, first, y - p), (seen - expected).ravel()]) / len(y) - RIDGE * theta
         mean_slope, square = 0.9 * mean_slope + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         theta += RATE * (mean_slope / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -279,8 +286,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Field
     """Fits the field on at most limit labelled documents that are not held out; a plain share of good labels where only one kind is there."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))  # at most limit rows of two numbers
-    rows = documents(docs).join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
+    sized = documents(docs).where(F.char_length("text") <= LONGEST_TRAIN).groupBy("doc_id").agg(F.min(F.char_length("text")).alias("chars")).join(usable, "doc_id")
+    sample = sized.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # at most limit rows of three numbers from here on
+    upto = F.sum("chars").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = F.broadcast(sample.withColumn("upto", upto).where(F.col("upto") <= TRAIN_CHARS).select("doc_id", "quality"))
+    rows = documents(docs).where(F.char_length("text") <= LONGEST_TRAIN).join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     quality = rows["quality"].to_numpy()
     if len(set(quality)) < 2:
         return float(quality.mean()) if len(quality) else 0.5
