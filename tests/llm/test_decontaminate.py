@@ -23,7 +23,7 @@ def brute(docs, items):
         h = d.hashed_words(text or "")
         for k, item in items.items():
             w = d.hashed_words(item)
-            if len(w) >= d.LEAST_WORDS and len(np.intersect1d(h, w)) and d.passage_distance(w, h)[0] <= d.most_edits(len(w)):
+            if len(w) and len(np.intersect1d(h, w)) and d.passage_distance(w, h)[0] <= d.most_edits(len(w)):
                 out.add((i, k))
     return out
 
@@ -72,8 +72,8 @@ def test_recall_on_edited_passages(spark):
 
 
 def test_blocks_of_items_and_odd_rows(spark, odd, none, monkeypatch):
-    items = spark.createDataFrame([(1, "some words of a text all rights reserved"), (2, None), (3, "two words"), (None, "a row without an id"), (1, "word word word word word word")], "item_id long, text string")
-    want = {(3, 1), (4, 1), (None, None), (5, 1)}
+    items = spark.createDataFrame([(1, "some words of a text all rights reserved"), (2, None), (3, "two words"), (None, "a row without an id"), (1, "word word word word word word"), (4, "Tail"), (5, "...")], "item_id long, text string")
+    want = {(3, 1), (4, 1), (None, None), (5, 1), (7, 4)}
     whole = d.leaks(odd, items).collect()
     assert {(x.doc_id, x.item_id) for x in whole} == want
     monkeypatch.setattr(d, "BLOCK_BYTES", 100)
@@ -81,6 +81,25 @@ def test_blocks_of_items_and_odd_rows(spark, odd, none, monkeypatch):
     assert d.leaks(none, items).count() == 0 and d.leaks(odd, items.where("false")).count() == 0
 
 
+def test_all_windows_are_verified_where_repetitions_do_not_reach_the_recall(monkeypatch):
+    """With one repetition of a sparse sample allowed, every class falls back to verification and nothing is lost."""
+    monkeypatch.setattr(d, "REPETITIONS", 1)
+    d.coins.cache_clear()
+    rng = random.Random(7)
+    items = {k: [f"w{rng.randrange(3000)}" for _ in range(rng.randint(10, 60))] for k in range(40)}
+    index = d.Index([(k, " ".join(w)) for k, w in items.items()])
+    assert set(index.repetitions.values()) == {None}
+    docs = []
+    for w in items.values():
+        own = list(w)
+        for _ in range(d.most_edits(len(w))):
+            own[rng.randrange(len(own))] = "new"
+        docs.append(" ".join(own))
+    got = {(t, index.ids[k]) for t, k, *_ in index.leaks(docs)}
+    d.coins.cache_clear()
+    assert got == {(k, k) for k in items}
+
+
 def test_items_cut_at_their_heads():
     """At word 0 of a document, and right after a whole copy, where all windows start before the passage."""
     rng = random.Random(6)

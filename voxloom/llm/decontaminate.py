@@ -4,16 +4,17 @@ A document leaks an item if some passage of it lies within DIFFERENCE edits (ins
 item. Windows as long as the item are embedded by random walks (CGK): a walk copies the current word at each step and moves on by a coin
 that the word and the step determine, so texts that differ by few edits walk together for most steps, and edit distance becomes Hamming
 distance. A repetition hashes the walk at a few sampled steps; a window whose hash equals the item's in any repetition is a candidate. How
-many repetitions reach RECALL at the largest allowed distance is measured on edited copies of the items themselves. Candidates are
-verified by the edit distance between the item and the best passage around the window.
+many repetitions reach RECALL at the largest allowed distance is measured, for each class of lengths, on edited copies of the items
+themselves; where REPETITIONS of them don't reach it, every window of that class is verified. Candidates are verified by the edit
+distance between the item and the best passage around the window.
 
 Walks start where a window can match at all: an item cut into one more segment than it may have edits leaves one segment whole in
 every passage that matches, so windows are those that align a whole segment with its place. This loses none.
 
 Items are read in blocks of at most BLOCK_BYTES, each held against all documents, so what a task holds is bounded whatever the benchmark.
 
-Defined cases: words are runs of letters and digits, in lower case; null and empty texts have none; items with fewer than LEAST_WORDS words
-are too short to be evidence and match nothing; equal items are found each; repeated rows are reported each; rows without an id are
+Defined cases: words are runs of letters and digits, in lower case; null and empty texts have none, and match nothing; items too short to
+allow an edit match exactly, be it a single word; equal items are found each; repeated rows are reported each; rows without an id are
 reported with a null id; an empty table on either side gives no rows; other columns are not read.
 """
 
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 from voxloom.llm.common import arrow, documents, text_of
 from voxloom.llm.hashing import BASES, mixed, rolling, word_hashes
 
-DIFFERENCE, RECALL, LEAST_WORDS = 0.2, 0.995, 5
-#: Steps of a walk per word, steps that a repetition samples, and most repetitions.
-WALK, SAMPLED, REPETITIONS = 3, 3, 96
+DIFFERENCE, RECALL = 0.2, 0.995
+#: Steps of a walk per word (it leaves the window after about so many), steps that a repetition samples, and most repetitions.
+WALK, SAMPLED, REPETITIONS = 2, 3, 96
+#: Edited copies that a class of lengths is measured on, and how much longer than the shortest its items may be.
+TRIALS, CLASS = 200, 1.25
 BLOCK_BYTES = 32 << 20
 #: Windows embedded at once.
 WINDOWS = 4096
@@ -46,6 +49,10 @@ def hashed_words(text: str) -> np.ndarray:
     return word_hashes([w.encode("utf-8", "surrogatepass") for w in WORD.findall(text.lower())]) | np.uint64(1)  # zero is the padding
 
 
+def length_class(n: int) -> int:
+    return int(math.log(n) / math.log(CLASS))
+
+
 def most_edits(n: int) -> int:
     return int(DIFFERENCE * n)
 
@@ -67,7 +74,7 @@ def walk_keys(words: np.ndarray, repetitions: int) -> np.ndarray:
     padded = np.concatenate([words, np.zeros((len(words), 1), dtype=np.uint64)], axis=1)
     at = np.zeros((len(words), repetitions), dtype=np.int64)
     keys = np.zeros((len(words), repetitions), dtype=np.uint64)
-    for step in range(WALK * n):
+    for step in range(int(np.flatnonzero(sampled[:, :repetitions].any(axis=1))[-1]) + 1):
         now = np.take_along_axis(padded, at, axis=1)
         own = sampled[step, :repetitions]
         if own.any():
@@ -97,12 +104,12 @@ def passage(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
 
 
 class Index:
-    """The items of one block: segments by hash, and each item's keys."""
+    """The items of one block: segments by hash, and each item's keys. repetitions: those of each class of lengths, None where all windows are verified."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], repetitions: dict[int, int | None] | None = None):
         read = [(i, hashed_words(text)) for i, text in items]
-        self.ids = [i for i, h in read if len(h) >= LEAST_WORDS]
-        self.items = [h for _, h in read if len(h) >= LEAST_WORDS]
+        self.ids = [i for i, h in read if len(h)]
+        self.items = [h for _, h in read if len(h)]
         segments: dict[int, list[tuple[int, int, int]]] = {}
         for k, h in enumerate(self.items):
             width = len(h) // (most_edits(len(h)) + 1)
@@ -115,32 +122,41 @@ class Index:
             seen = np.zeros(1 << 20, dtype=bool)
             seen[value >> np.uint64(44)] = True
             self.segments[width] = (seen, value, np.array([x[1] for x in own]), np.array([x[2] for x in own]))
-        self.repetitions = self.needed()
-        self.keys = [walk_keys(h[None, :], self.repetitions)[0] for h in self.items]
+        self.repetitions = self.needed() if repetitions is None else repetitions
+        self.keys = [walk_keys(h[None, :], self.repetitions[length_class(len(h))] or 1)[0] for h in self.items]
 
-    def needed(self) -> int:
-        """Repetitions that reach RECALL for copies of up to 200 items with as many edits as are allowed, from their worst aligned window."""
+    def needed(self) -> dict[int, int | None]:
+        """Repetitions per class of lengths that reach RECALL, over all aligned windows of TRIALS copies with as many edits as are allowed."""
         rng = np.random.default_rng(11)
-        hits = np.zeros((0, REPETITIONS), dtype=bool)
-        for h in self.items[:: max(1, len(self.items) // 200)]:
-            edits = most_edits(len(h))
-            if not edits:
-                continue
-            words = h.tolist()
-            for _ in range(edits):
-                at, kind = int(rng.integers(len(words))), rng.integers(3)
-                words[at : at + (kind != 0)] = [int(rng.integers(1, 2**63))] if kind < 2 else []
-            noise = rng.integers(1, 2**63, 2 * len(h)).tolist()
-            text = np.array(noise[: len(h)] + words + noise[len(h) :], dtype=np.uint64)
-            starts = sorted({s for k, s in self.alignments(text) if np.array_equal(self.items[k], h)})
-            if starts:
-                windows = np.stack([text[s : s + len(h)] for s in starts if 0 <= s <= len(text) - len(h)])
-                hits = np.vstack([hits, (walk_keys(windows, REPETITIONS) == walk_keys(h[None, :], REPETITIONS)).any(axis=0)[None, :]])
-        if not len(hits):
-            return 8
-        reached = np.logical_or.accumulate(hits, axis=1).mean(axis=0)
-        enough = np.flatnonzero(reached >= RECALL)
-        return int(max(8, enough[0] + 1)) if len(enough) else REPETITIONS
+        classes: dict[int, list[np.ndarray]] = {}
+        for h in self.items:
+            classes.setdefault(length_class(len(h)), []).append(h)
+        out: dict[int, int | None] = {}
+        for c, own in sorted(classes.items()):
+            own = [h for h in own if most_edits(len(h))]
+            trials = [(h, w) for t in range(TRIALS * bool(own)) if len(w := self.windows_of_a_copy(h := own[t * len(own) // TRIALS if len(own) > TRIALS else t % len(own)], rng))]
+            hits = np.zeros((len(trials), REPETITIONS), dtype=bool)
+            for n in {len(h) for h, _ in trials}:
+                at = [i for i, (h, _) in enumerate(trials) if len(h) == n]
+                owner = np.repeat(at, [len(trials[i][1]) for i in at])
+                keys = walk_keys(np.stack([trials[i][0] for i in at]), REPETITIONS)
+                same = walk_keys(np.concatenate([trials[i][1] for i in at]), REPETITIONS) == keys[np.searchsorted(at, owner)]
+                np.logical_or.at(hits, owner, same)
+            reached = np.logical_or.accumulate(hits, axis=1).mean(axis=0) if trials else np.ones(1)
+            enough = np.flatnonzero(reached >= RECALL)
+            out[c] = int(enough[0] + 1) if len(enough) else None
+        return out
+
+    def windows_of_a_copy(self, h: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """The aligned windows of a copy of the item with the most edits allowed, between other words."""
+        words = h.tolist()
+        for _ in range(most_edits(len(h))):
+            at, kind = int(rng.integers(len(words))), rng.integers(3)
+            words[at : at + (kind != 0)] = [int(rng.integers(1, 2**63))] if kind < 2 else []
+        noise = rng.integers(1, 2**63, 2 * len(h)).tolist()
+        text = np.array(noise[: len(h)] + words + noise[len(h) :], dtype=np.uint64)
+        starts = sorted({s for k, s in self.alignments(text) if np.array_equal(self.items[k], h) and 0 <= s <= len(text) - len(h)})
+        return np.array([text[s : s + len(h)] for s in starts], dtype=np.uint64)
 
     def alignments(self, h: np.ndarray) -> set[tuple[int, int]]:
         """(item, start of the window) of all windows that align a whole segment."""
@@ -172,7 +188,8 @@ class Index:
                 for row, (t, _, s) in zip(words, block, strict=True):
                     part = hashed[t][max(0, s) : max(0, s + n)]
                     row[max(0, -s) : max(0, -s) + len(part)] = part
-                same = (walk_keys(words, self.repetitions) == np.stack([self.keys[k] for _, k, _ in block])).any(axis=1)
+                repetitions = self.repetitions[length_class(n)]
+                same = (walk_keys(words, repetitions) == np.stack([self.keys[k] for _, k, _ in block])).any(axis=1) if repetitions else np.ones(len(block), dtype=bool)
                 for (t, k, s), candidate in zip(block, same.tolist(), strict=True):
                     if candidate and s >= whole.get((t, k), -math.inf) + n - most_edits(n):
                         edits, first = most_edits(n), max(0, s - most_edits(n))
@@ -230,13 +247,13 @@ def leaky(index: Callable[[], Index]) -> Callable:
 
 
 def shared_index(docs: DataFrame, items: list[tuple[int, str]]) -> Callable[[], Index]:
-    """A function that gives a task the index of the items, built once in it."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+    """A function that gives a task the index of the items, built once in it; its repetitions are measured once, here."""
+    sent = docs.sparkSession.sparkContext.broadcast((items, Index(items).repetitions))
     built: list[Index] = []
 
     def index() -> Index:
         if not built:
-            built.append(Index(sent.value))
+            built.append(Index(*sent.value))
         return built[0]
 
     return index
