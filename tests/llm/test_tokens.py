@@ -56,8 +56,15 @@ def test_histogram_answers_every_limit(spark, sf_dir):
     for x in rows.itertuples():
         assert x.n_docs == (sizes == x.length).sum() and x.docs_at_least == (sizes >= x.length).sum() and x.tokens_at_least == sizes[sizes >= x.length].sum()
         assert x.truncated_tokens == np.minimum(sizes, x.length).sum() and abs(x.share_within - (sizes <= x.length).mean()) < 1e-12
-    got = {x.context: (x.docs_over, x.truncated_tokens) for x in token_counts.truncated_totals(histogram, [1, 512, 10**6]).collect()}
+    got = {x.context: (x.docs_over, x.truncated_tokens) for x in token_counts.truncated_totals(sums, [1, 512, 10**6]).collect()}
     assert got == {k: ((sizes > k).sum(), np.minimum(sizes, k).sum()) for k in (1, 512, 10**6)}
+    every = queries.op9_token_histogram(spark, sf_dir).toPandas().sort_values("length")
+    limits = np.arange(sizes.max() + 1)
+    assert every.length.tolist() == limits.tolist() and (every.total_docs == len(sizes)).all() and (every.total_tokens == sizes.sum()).all()
+    counts = np.bincount(sizes)
+    assert every.n_docs.tolist() == counts.tolist() and every.n_tokens.tolist() == (counts * limits).tolist()
+    assert every.docs_at_least.tolist() == [(sizes >= x).sum() for x in limits] and every.tokens_at_least.tolist() == [sizes[sizes >= x].sum() for x in limits]
+    assert every.truncated_tokens.tolist() == [np.minimum(sizes, x).sum() for x in limits] and np.abs(every.share_within - [(sizes <= x).mean() for x in limits]).max() < 1e-12
     for x in token_counts.length_quantiles(sums, [0.5, 0.9, 1.0]).collect():
         assert x.length == np.sort(sizes)[int(np.ceil(x.share * len(sizes))) - 1]
 
@@ -69,4 +76,4 @@ def test_odd_rows(odd, none):
     assert out.where("doc_id is null").count() > 0
     assert packing.pack(none).count() == 0
     assert token_counts.length_histogram(odd).agg(F.sum("n_docs")).first()[0] == 9
-    assert token_counts.suffix_sums(token_counts.length_histogram(none)).count() == 0
+    assert token_counts.every_limit(token_counts.suffix_sums(token_counts.length_histogram(none))).count() == 0

@@ -77,7 +77,7 @@ def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return token_counts.suffix_sums(token_counts.length_histogram(docs))
+    return token_counts.every_limit(token_counts.suffix_sums(token_counts.length_histogram(docs)))
 
 
 def op10_rabin_karp_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
