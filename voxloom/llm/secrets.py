@@ -38,12 +38,12 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ("assign", "access", "hex", "random")
 
-SHORTEST = 20
+SHORTEST = 16
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}" % SHORTEST)
 #: Bins of the p-value, false discoveries allowed among the flagged, and the least threshold.
 BINS, FDR, LEAST = 50, 0.05, 0.02
 #: Classes of length begin here.
-LENGTHS = (20, 24, 32, 40, 64, 128)
+LENGTHS = (16, 20, 24, 32, 40, 64, 128)
 
 # The alphabets in their own order, and groups of characters that ordinary words use unevenly.
 ALPHABETS = {
