@@ -207,14 +207,30 @@ def test_assignment_is_optimal(shape):
         found = matching.assignment(cost)
         assert sum(cost[i, j] for i, j in found) == best and len({i for i, _ in found}) == len({j for _, j in found}) == min(shape)
     cost = np.array([[1.0, np.inf], [np.inf, np.inf]])
-    assert matching.assignment(cost) == [(0, 0)]
+    with pytest.raises(ValueError):
+        matching.assignment(cost)
+    assert matching.assignment(cost, limit=2.0) == [(0, 0)]
+
+
+def test_assignment_with_a_limit_saves_the_most():
+    cost = np.array([[1000.0, 2, 11], [6, 1000, 1], [5, 12, 1000]])
+    assert matching.assignment(cost, limit=4.99) == [(0, 1), (1, 2)]
+    assert matching.assignment(np.array([[1.0, 10.0], [10.0, np.inf]]), limit=10.0) == [(0, 0)]
+    assert matching.assignment(np.array([[1.0, 2.0], [2.0, 1.0]]), limit=1.0) == [(0, 0), (1, 1)]
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        n, m, limit = *rng.integers(1, 5, 2), float(rng.integers(1, 9))
+        own = rng.integers(0, 12, (n, m)).astype(float)
+        saved = sum(limit - own[r, c] for r, c in matching.assignment(own, limit=limit))
+        best = max(sum(max(0.0, limit - own[r, c]) for r, c in zip(rows, cols, strict=True)) for k in range(min(n, m) + 1) for rows in itertools.combinations(range(n), k) for cols in itertools.permutations(range(m), k))
+        assert saved == pytest.approx(best) and all(own[r, c] <= limit for r, c in matching.assignment(own, limit=limit))
 
 
 def test_assignment_groups_and_limit(spark):
     rows = [(1, 0, 0, 5.0), (1, 0, 1, 1.0), (1, 1, 1, 2.0), (2, 0, 0, 9.0)]
     df = spark.createDataFrame(rows, "g long, row long, col long, cost double")
     got = sorted((x.g, x.row, x.col) for x in matching.linear_assignment(df, limit=5.0).collect())
-    assert got == [(1, 0, 0), (1, 1, 1)]
+    assert got == [(1, 0, 1)]  # saves 4, the two others save 0 and 3
     assert sorted((x.g, x.row, x.col) for x in matching.linear_assignment(df, maximize=True).collect()) == [(1, 0, 0), (1, 1, 1), (2, 0, 0)]
 
 
@@ -397,3 +413,62 @@ def test_reconnected_forest(spark):
     rows = [*chain(2, 0, 1), (10, -1, 3.0, 0.5, 0.0, 1.0), (11, 10, 4.0, 0.5, 0.0, 1.0), (20, -1, 90.0, 0.0, 0.0, 1.0)]
     got = {x.id: x.parent_id for x in tree.reconnected(spark.createDataFrame(rows, TREE), 2.0).collect()}
     assert got[10] == 3 and got[1] == -1 and got[20] == -1
+
+
+def test_long_chains_and_wide_trees_by_tours(spark):
+    """A chain of 20,000 nodes with a leaf on every tenth one: no table of nodes and ancestors, a few joins."""
+    n = 20_000
+    rows = spark.range(n).selectExpr("id", "id - 1 AS parent_id").union(spark.range(0, n, 10).selectExpr(f"id + {n} AS id", "id AS parent_id"))
+    forest = rows.selectExpr("id", "parent_id", "CAST(id AS DOUBLE) AS x", "0D AS y", "0D AS z", "1D AS radius")
+    found = {x.id: x for x in tree.counts(forest).where("id < 12 OR id IN (5000, 19999, 25000)").collect()}
+    assert found[0].descendants == n + n // 10 - 1 and found[5000].descendants == (n - 5001) + (n - 5000) // 10 and found[19999].descendants == 0
+    assert found[5000].ancestors == 5000 and found[25000].ancestors == 5001 and found[0].leaves == n // 10 + 1 and found[19999].leaves == 1
+    places = {x.id: x.place for x in tree.preorder(forest).where("id IN (0, 1, 9, 19999, 20000, 39990)").collect()}
+    assert places[0] == 1 and places[1] == 2 and places[19999] == n and places[20000] == n + n // 10
+    assert tree.subtree(forest, forest.where("id = 19990")).count() == 11
+    assert tree.selection(forest, forest.where("id = 20100"), "upstream").count() == 102
+
+
+def test_saturation_is_exact_in_64_bits_and_with_fractions(spark):
+    from voxloom.functions import saturate
+
+    big = 2**53 + 1
+    row = spark.range(1).select(
+        saturate.saturate_cast(F.lit(big), "int64").alias("a"), saturate.saturate_cast(F.lit(-big), "int64").alias("b"), saturate.saturate_cast(F.lit(2.5), "int8").alias("c"),
+        saturate.saturate_cast(F.lit(float("nan")), "uint8").alias("d"), saturate.saturate_cast(F.lit(float("inf")), "int64").alias("e"), saturate.saturate_cast(F.lit(-3), "uint64").alias("f"),
+        saturate.mul(F.lit(5), F.lit(2.5), "uint8").alias("g"), saturate.div(F.lit(5), F.lit(2.5), "uint8").alias("h"), saturate.add(F.lit(250), F.lit(9.5), "uint8").alias("i"),
+        saturate.sub(F.lit(1), F.lit(3.5), "int8").alias("j"), saturate.div(F.lit(7), F.lit(2), "uint8").alias("k"), saturate.div(F.lit(1.5), F.lit(0), "int16").alias("l"),
+        saturate.mul(F.lit(2**62), F.lit(2), "int64").alias("m"), saturate.add(F.lit(2**63 - 1), F.lit(-1), "int64").alias("n"),
+    ).first()
+    assert list(row) == [big, -big, 3, 0, 2**63 - 1, 0, 13, 2, 255, -3, 3, 2**15 - 1, 2**63 - 1, 2**63 - 2]
+
+
+def test_long_lines_of_distances_by_envelopes():
+    from voxloom.operators import neighborhood
+
+    rng = np.random.default_rng(9)
+    for n in (1, 5, 400):
+        at, f = np.cumsum(rng.random(n) + 0.1), np.where(rng.random(n) < 0.6, np.inf, rng.random(n) * 50)
+        want = np.min((at[:, None] - at[None, :]) ** 2 + f[None, :], axis=1)
+        assert neighborhood.envelope(at, f) == pytest.approx(want)
+
+
+def test_signed_distances(spark):
+    from voxloom.operators import neighborhood
+
+    rows = [(0, x, 1.0 if 2 <= x < 5 else 0.0) for x in range(8)]
+    out = neighborhood.signed_distances(spark.createDataFrame(rows, "image_id long, x long, v double"), axes=("x",))
+    assert [r.v for r in out.orderBy("x").collect()] == [2.0, 1.0, -1.0, -2.0, -1.0, 1.0, 2.0, 3.0]
+
+
+def test_nearest_across_ranges(spark, monkeypatch):
+    from voxloom.operators import joins, ordering
+
+    monkeypatch.setattr(ordering, "ROWS", 3)
+    rng = np.random.default_rng(3)
+    a, b = [(i, float(x)) for i, x in enumerate(rng.integers(0, 60, 25))], [(i, float(x)) for i, x in enumerate(rng.integers(0, 60, 12))]
+    out = joins.nearest(spark.createDataFrame(a, "k long, v double"), spark.createDataFrame(b, "t long, o double"), "k", "t", "v", "o")
+    got = {x.k: (x.nearest, x.gap) for x in out.collect()}
+    for k, v in a:
+        o, t = min(((abs(v - o), o, t) for t, o in b))[1:]
+        assert got[k] == (t, abs(v - o))

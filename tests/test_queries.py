@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from voxloom import queries
+from voxloom import queries, source_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -28,22 +28,26 @@ def plain(x):
     return str(x)
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+core, sql = queries.QUERIES | source_queries.QUERIES, queries.SQL | source_queries.SQL
+
+
+@pytest.mark.parametrize("name", sorted(sql))
 def test_query_equals_sql(spark, sf_dir, db, name):
-    own = queries.QUERIES[name](spark, sf_dir)
+    own = core[name](spark, sf_dir)
     columns = sorted(own.columns)
     got = sorted(tuple(map(plain, x)) for x in own.select(*columns).collect())
-    found = db.execute(f"select * from ({queries.SQL[name]})")
+    found = db.execute(f"select * from ({sql[name]})")
     assert sorted(d[0] for d in found.description) == columns
     at = [[d[0] for d in found.description].index(c) for c in columns]
     want = sorted(tuple(plain(row[i]) for i in at) for row in found.fetchall())
     assert len(got) == len(want)
-    assert [x for x in got if x not in set(want)][:3] == [x for x in want if x not in set(got)][:3] == []
+    own, theirs = set(got), set(want)
+    assert [x for x in got if x not in theirs][:3] == [x for x in want if x not in own][:3] == []
 
 
 def test_queries_without_sql_run(spark, sf_dir):
-    for name in set(queries.QUERIES) - set(queries.SQL):
-        assert queries.QUERIES[name](spark, sf_dir).count() > 0, name
+    for name in set(core) - set(sql):
+        assert core[name](spark, sf_dir).count() > 0, name
 
 
 def test_entry(spark):

@@ -5,6 +5,10 @@ Spark has no unsigned integers, so a voxel type is a name that travels beside a
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,19 +55,30 @@ def saturate_cast(value: Column, kind: str) -> Column:
     check(kind)
     if kind in FLOATS:
         return value.cast(stored(kind))
-    low, high = RANGES[kind]
-    number = value.cast("double")
-    whole = F.round(F.when(F.isnan(number), F.lit(0.0)).otherwise(number))
-    exact = F.when(whole >= float(high), F.lit(str(high)).cast(wide(kind))).when(whole <= float(low), F.lit(str(low)).cast(wide(kind))).otherwise(F.least(F.greatest(whole, F.lit(float(low))), F.lit(float(high) * (1 - 2**-50))).cast(wide(kind)))
-    return F.when(value.isNull(), None).otherwise(exact).cast(stored(kind))
+    low, high = (F.lit(str(x)).cast(wide(kind)) for x in RANGES[kind])
+    whole = F.round(F.when(F.isnan(value), F.lit(0)).otherwise(value))  # of the value's own type, so that 64-bit numbers stay exact
+    return F.when(whole >= high, high).when(whole <= low, low).otherwise(whole.cast(wide(kind))).cast(stored(kind))
+
+
+def fractional(*values: Column) -> Column:
+    """Whether one of the values is of a type with fractions: a constant once the types are known."""
+    kinds = [F.typeof(v) for v in values]
+    return functools.reduce(operator.or_, (k.isin("float", "double") | (k.startswith("decimal") & ~k.endswith(",0)")) for k in kinds))
+
+
+def whole_or(exact: Column, x: Column, y: Column, op: Callable[[Column, Column], Column], kind: str) -> Column:
+    """exact for whole operands; an operand with fractions makes it a computation in doubles, rounded and clamped at the end."""
+    if kind in FLOATS:
+        return exact
+    return F.when(fractional(x, y), saturate_cast(op(x.cast("double"), y.cast("double")), kind)).otherwise(exact)
 
 
 def add(x: Column, y: Column, kind: str) -> Column:
-    return clamp(x.cast(wide(kind)) + y.cast(wide(kind)), kind).cast(stored(kind))
+    return whole_or(clamp(x.cast(wide(kind)) + y.cast(wide(kind)), kind).cast(stored(kind)), x, y, operator.add, kind)
 
 
 def sub(x: Column, y: Column, kind: str) -> Column:
-    return clamp(x.cast(wide(kind)) - y.cast(wide(kind)), kind).cast(stored(kind))
+    return whole_or(clamp(x.cast(wide(kind)) - y.cast(wide(kind)), kind).cast(stored(kind)), x, y, operator.sub, kind)
 
 
 def mul(x: Column, y: Column, kind: str) -> Column:
@@ -77,7 +92,7 @@ def mul(x: Column, y: Column, kind: str) -> Column:
     exact = a * b if width == "bigint" else F.try_multiply(a, b)
     product = exact.cast("decimal(38,0)") if wide(kind) != "bigint" else exact
     inside = F.when(product.isNotNull(), F.least(F.greatest(product, F.lit(str(low)).cast("decimal(38,0)")), F.lit(str(high)).cast("decimal(38,0)")).cast(wide(kind)))
-    return F.when(x.isNull() | y.isNull(), None).otherwise(F.coalesce(inside, beyond)).cast(stored(kind))
+    return whole_or(F.when(x.isNull() | y.isNull(), None).otherwise(F.coalesce(inside, beyond)).cast(stored(kind)), x, y, operator.mul, kind)
 
 
 def div(x: Column, y: Column, kind: str) -> Column:
@@ -89,7 +104,9 @@ def div(x: Column, y: Column, kind: str) -> Column:
     safe = F.when(b == 0, F.lit(1).cast(wide(kind))).otherwise(b)
     quotient = truncated(a, safe, wide(kind))
     over_zero = F.when(a == 0, F.lit(0).cast(wide(kind))).when(a > 0, high).otherwise(low)
-    return F.when(b == 0, over_zero).otherwise(clamp(quotient, kind)).cast(stored(kind))
+    exact = F.when(b == 0, over_zero).otherwise(clamp(quotient, kind)).cast(stored(kind))
+    bound = F.when(x == 0, F.lit(0.0)).when(x > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    return whole_or(exact, x, y, lambda p, q: F.when(q == 0, bound).otherwise(F.try_divide(p, q)), kind)
 
 
 def truncated(a: Column, b: Column, kind: str) -> Column:

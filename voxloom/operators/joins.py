@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import geometry
+from voxloom.operators.ordering import numbered, ranged
 
 
 def cells(low: Column, high: Column, cell: float) -> Column:
@@ -63,8 +64,19 @@ def nearest(left: DataFrame, right: DataFrame, key: str, target: str, value: str
     probe = left.select(key, *by, F.col(value).alias("_v"), F.lit(None).cast(right.schema[target].dataType).alias("_t"))
     keys = right.select(F.lit(None).cast(left.schema[key].dataType).alias(key), *by, F.col(other).alias("_v"), F.col(target).alias("_t"))
     at = F.when(F.col("_t").isNotNull(), F.struct("_v", "_t"))
-    upto, onward = (Window.partitionBy(*by).orderBy(*order).rowsBetween(*frame) for order, frame in (((F.col("_v"), F.col("_t").desc_nulls_last()), (Window.unboundedPreceding, 0)), ((F.col("_v"), F.col("_t").asc_nulls_first()), (0, Window.unboundedFollowing))))
-    both = probe.unionByName(keys).withColumn("_p", F.last(at, True).over(upto)).withColumn("_n", F.first(at, True).over(onward)).where(F.col(key).isNotNull())
+    both = probe.unionByName(keys)
+    if not by:
+        both, by = ranged(both, [F.col("_v")]), ["_part"]
+    forward, backward = Window.partitionBy(*by).orderBy(F.col("_v"), F.col("_t").desc_nulls_last()), Window.partitionBy(*by).orderBy(F.col("_v"), F.col("_t").asc_nulls_first())
+    upto, onward = forward.rowsBetween(Window.unboundedPreceding, 0), backward.rowsBetween(0, Window.unboundedFollowing)
+    both = both.withColumn("_p", F.last(at, True).over(upto)).withColumn("_n", F.first(at, True).over(onward))
+    if by == ["_part"]:  # what lies beyond a range: the last key before it and the first after it, a row per range
+        both = both.withColumn("_i", F.row_number().over(forward)).withColumn("_j", F.row_number().over(backward))
+        ends = both.groupBy("_part").agg(F.max_by("_p", "_i").alias("_hi"), F.min_by("_n", "_j").alias("_lo"))
+        line = Window.orderBy("_part")
+        ends = ends.select("_part", F.last("_hi", True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_hi"), F.first("_lo", True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_lo"))
+        both = both.join(ends, "_part").withColumn("_p", F.coalesce("_p", "_hi")).withColumn("_n", F.coalesce("_n", "_lo"))
+    both = both.where(F.col(key).isNotNull())
     before, after = F.col("_v") - F.col("_p._v"), F.col("_n._v") - F.col("_v")
     first = F.col("_n").isNull() | (before <= after)
     return left.join(both.select(key, F.when(first, F.col("_p._t")).otherwise(F.col("_n._t")).alias("nearest"), F.when(first, before).otherwise(after).alias("gap")), key)
@@ -177,7 +189,7 @@ def search(table: DataFrame, columns: Sequence[str], text: str) -> DataFrame:
 
 def zip_trees(a: DataFrame, b: DataFrame, order: str, most: float = 1.0) -> DataFrame:
     """Nodes of two trees paired by their place in the order; a pair further apart than most is an error."""
-    place = lambda t, p: t.select(F.row_number().over(Window.orderBy(order)).alias("place"), *(F.col(c).alias(f"{p}_{c}") for c in t.columns))  # noqa: E731  trees of one object: bounded
+    place = lambda t, p: numbered(t, [F.col(order)], "place").select("place", *(F.col(c).alias(f"{p}_{c}") for c in t.columns))
     both = place(a, "a").join(place(b, "b"), "place", "full")
     apart = geometry.distance([F.col(f"a_{x}") for x in "xyz"], [F.col(f"b_{x}") for x in "xyz"])
     return both.withColumn("apart", F.coalesce(apart, F.lit(float("inf")))).withColumn("apart", F.when(F.col("apart") > most, F.raise_error(F.lit("trees differ")).cast("double")).otherwise(F.col("apart")))

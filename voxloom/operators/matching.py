@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +15,16 @@ from voxloom.operators.graph import minimum_spanning_forest
 from voxloom.operators.neighborhood import correlation_at
 
 
-def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Row and column of the cheapest complete matching of a small matrix (Hungarian method with potentials); infinite costs are no links."""
+def assignment(cost: np.ndarray, limit: float | None = None) -> list[tuple[int, int]]:
+    """Row and column of the cheapest matching of a small matrix (Hungarian method with potentials); infinite costs are no links.
+
+    Without a limit the matching is complete on the shorter side, and an error where links don't allow one. With a limit each link saves
+    the limit and costs its cost: the matching that saves most, so links dearer than the limit (one as dear counts) are never taken.
+    """
     cost = np.asarray(cost, dtype=float)
+    if limit is not None:
+        spare = np.minimum(np.where(np.isfinite(cost), cost, np.inf) - np.nextafter(limit, np.inf), 0.0)
+        return [(r, c) for r, c in assignment(spare) if spare[r, c] < 0]
     if cost.shape[0] > cost.shape[1]:
         return sorted((r, c) for c, r in assignment(cost.T))
     n, m = cost.shape
@@ -44,23 +52,34 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
         while j0:
             match[j0] = match[way[j0]]
             j0 = way[j0]
-    return sorted((int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j] and np.isfinite(cost[match[j] - 1, j - 1]))
+    found = sorted((int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j])
+    if not all(np.isfinite(cost[r, c]) for r, c in found):
+        raise ValueError("the links allow no complete matching")
+    return found
 
 
 def linear_assignment(edges: DataFrame, group: str = "g", maximize: bool = False, limit: float | None = None) -> DataFrame:
-    """group, row, col, cost of the best one-to-one matching of each group of candidate links (group, row, col, cost); a link that costs more than limit (inclusive) is none. A group is one matrix in a task."""
-    if limit is not None:
-        edges = edges.where(F.col("cost") >= limit if maximize else F.col("cost") <= limit)
-
-    def solve(own: pd.DataFrame) -> pd.DataFrame:
-        rows, r = np.unique(own["row"], return_inverse=True)
-        cols, c = np.unique(own["col"], return_inverse=True)
-        matrix = np.full((len(rows), len(cols)), np.inf)
-        np.minimum.at(matrix, (r, c), -own["cost"].to_numpy() if maximize else own["cost"].to_numpy())
-        found = assignment(matrix)
-        return pd.DataFrame({group: own[group].iloc[0], "row": [rows[i] for i, _ in found], "col": [cols[j] for _, j in found], "cost": [-matrix[i, j] if maximize else matrix[i, j] for i, j in found]})
-
-    return edges.select(group, "row", "col", F.col("cost").cast("double").alias("cost")).groupBy(group).applyInPandas(solve, f"{group} long, row long, col long, cost double")
+    """group, row, col, cost of the best one-to-one matching of each group of candidate links (group, row, col, cost); limit: see assignment().
+
+    A group is one matrix in a task; a task takes many groups at once.
+    """
+    sign = -1.0 if maximize else 1.0
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for g, links in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                row, col, cost = (links.values.field(k).to_numpy() for k in range(3))
+                rows, r = np.unique(row, return_inverse=True)
+                cols, c = np.unique(col, return_inverse=True)
+                matrix = np.full((len(rows), len(cols)), np.inf)
+                np.minimum.at(matrix, (r, c), sign * cost)
+                out += [(g, int(rows[i]), int(cols[j]), sign * matrix[i, j]) for i, j in assignment(matrix, None if limit is None else sign * limit)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], [group, "row", "col", "cost"])
+
+    link = F.struct(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("cost").cast("double").alias("cost"))
+    whole = edges.groupBy(F.col(group).cast("bigint").alias(group)).agg(F.collect_list(link).alias("links"))
+    return whole.mapInArrow(solve, f"{group} long, row long, col long, cost double")
 
 
 def distance_to(vector: str, centre: Sequence[float], how: str):  # noqa: ANN201

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,26 +171,68 @@ def majority(voxels: DataFrame, connectivity: int, dimensions: int, least: int)
 
 
 def squared_distances(voxels: DataFrame, spacing: Mapping[str, float] | None = None, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
-    """Squared Euclidean distance of every voxel to the nearest one that is 0, exactly: one pass of lower envelopes per axis, a task a line. Without such a voxel: infinity."""
+    """Squared Euclidean distance of every voxel to the nearest one that is 0, exactly: one pass of lower envelopes per axis over whole lines. Without such a voxel: infinity."""
     spacing = spacing or {}
     out = voxels.withColumn("v", F.when(F.col("v") == 0, 0.0).otherwise(float("inf")))
     for axis in axes:
         rest = lines(out, axis)
-        schema = ", ".join(f"{k} long" for k in [*rest, axis]) + ", v double"
-        out = out.select(*rest, axis, "v").groupBy(*rest).applyInPandas(lower_envelope(axis, float(spacing.get(axis, 1.0)), [*rest, axis, "v"]), schema)
+        line = F.sort_array(F.collect_list(F.struct(F.col(axis).cast("bigint").alias("at"), "v"))).alias("_line")
+        schema = ", ".join(f"{k} long" for k in rest) + ", _line array<struct<at:long,v:double>>"
+        whole = out.groupBy(*(F.col(k).cast("bigint").alias(k) for k in rest)).agg(line)
+        out = whole.mapInArrow(lower_envelopes(float(spacing.get(axis, 1.0))), schema).select(*rest, F.inline("_line")).select(*rest, F.col("at").alias(axis), "v")
     return out
 
 
-def lower_envelope(axis: str, step: float, columns: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The least of squared gap plus value over a line."""
+#: Lines up to this long are compared point by point, many at once; longer ones by their envelope of parabolas.
+SHORT_LINE = 128
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        at, f = own[axis].to_numpy() * step, own["v"].to_numpy()
-        return own.assign(v=np.min((at[:, None] - at[None, :]) ** 2 + f[None, :], axis=1))[columns]
+
+def lower_envelopes(step: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The least of squared gap plus value over each line; many lines a batch, one in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            edges, flat = lists.offsets.to_numpy(), lists.values
+            at, f = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            out = np.empty(len(f))
+            for a, b in zip(edges, edges[1:], strict=False):
+                own, value = at[a:b] * step, f[a:b]
+                out[a:b] = np.min((own[:, None] - own[None, :]) ** 2 + value[None, :], axis=1) if b - a <= SHORT_LINE else envelope(own, value)
+            done = pa.ListArray.from_arrays(lists.offsets, pa.StructArray.from_arrays([pa.array(at), pa.array(out)], ["at", "v"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], done], batch.schema.names)
 
     return run
 
 
+def envelope(at: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """The same for one long line, in a single pass: the parabolas that are lowest somewhere, and where each begins to be."""
+    own = np.flatnonzero(np.isfinite(f))
+    if not len(own):
+        return np.full(len(f), np.inf)
+    lowest, begins = [int(own[0])], [-np.inf]
+    for k in own[1:].tolist():
+        while True:
+            j = lowest[-1]
+            meets = ((f[k] + at[k] ** 2) - (f[j] + at[j] ** 2)) / (2 * (at[k] - at[j]))
+            if meets > begins[-1]:
+                break
+            lowest.pop()
+            begins.pop()
+        lowest.append(k)
+        begins.append(meets)
+    chosen = np.array(lowest)[np.searchsorted(np.array(begins), at, side="right") - 1]
+    return (at - at[chosen]) ** 2 + f[chosen]
+
+
+def signed_distances(voxels: DataFrame, spacing: Mapping[str, float] | None = None, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """Distance of every voxel to the nearest one of the other side: negative inside (v other than 0), positive outside; infinite without another side."""
+    inside = squared_distances(voxels, spacing, axes).withColumnRenamed("v", "_in")
+    outside = squared_distances(voxels.withColumn("v", (F.col("v") == 0).cast("double")), spacing, axes).withColumnRenamed("v", "_out")
+    keys = [k for k in KEYS if k in voxels.columns]
+    return inside.join(outside, keys).select(*keys, (F.sqrt("_out") - F.sqrt("_in")).alias("v"))
+
+
 def correlation_at(a: DataFrame, b: DataFrame, shifts: Sequence[tuple[int, int, int]], least: int = 2) -> DataFrame:
     """dz, dy, dx, n, ncc: normalised cross-correlation of b moved by each offset against a, over the n voxels where they overlap."""
     moved = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"d{k}") for k, v in zip("zyx", d, strict=True))) for d in shifts))).alias("d")

@@ -1,15 +1,16 @@
 """Forests of nodes (id, parent_id, x, y, z, radius): walks, counts, branches, edits. Roots have parent -1.
 
-Walks to the root double their length each round, so a chain of n nodes takes log n joins.
+Walks to the root and tours around a tree double their length each round, so a chain of n nodes takes log n joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import geometry
 from voxloom.operators.joins import reparented
+from voxloom.operators.ordering import numbered
 from voxloom.storage import written
 
 ROOT, BRANCH, LEAF, OTHER = 1, 2, 3, 0
@@ -51,7 +52,7 @@ def depths(tree: DataFrame) -> DataFrame:
 
 
 def closure(tree: DataFrame) -> DataFrame:
-    """id, ancestor, steps of every node and each ancestor, itself included; as many rows as the depths add up to."""
+    """id, ancestor, steps of every node and each ancestor, itself included; as many rows as the depths add up to, so for shallow forests. subtree(), counts() and selection() need no such table."""
     known = written(tree.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("steps")), "closure")
     reach = written(tree.where("parent_id <> -1").select("id", F.col("parent_id").alias("ancestor")), "reach")
     step = 1
@@ -64,34 +65,64 @@ def closure(tree: DataFrame) -> DataFrame:
 
 
 def subtree(tree: DataFrame, ids: DataFrame) -> DataFrame:
-    """The nodes below (and at) the ids."""
-    return tree.join(closure(tree).join(ids.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id").distinct(), "id", "left_semi")
+    """The nodes below (and at) the ids: those whose walk up to the first of them doesn't end at another root."""
+    marks = ids.select("id", F.lit(True).alias("_mark")).distinct()
+    heads = walks(tree.join(marks, "id", "left"), "coalesce(_mark, false)").select("id", F.col("head").alias("_head"))
+    return tree.join(heads.join(marks.withColumnRenamed("id", "_head"), "_head", "left_semi").select("id"), "id", "left_semi")
+
+
+def tour(tree: DataFrame, **weights: Column) -> DataFrame:
+    """id, root, depth, place (depth-first in its tree, children by id, from 1), size (nodes below, itself included), and of each weight the sum over those.
+
+    Every node is entered and left once on the way around its tree. Each step of the way learns what lies ahead of it, twice as far each
+    round, so a chain of n nodes takes log n joins of two rows a node, whatever the tree's depth.
+    """
+    names = ["size", *weights]
+    siblings = Window.partitionBy("parent_id").orderBy("id")
+    rows = tree.select("id", "parent_id", F.lit(1).cast("bigint").alias("size"), *(w.alias(n) for n, w in weights.items()))
+    rows = rows.withColumn("_sibling", F.when(F.col("parent_id") != -1, F.lead("id").over(siblings)))
+    first = tree.where("parent_id <> -1").groupBy(F.col("parent_id").alias("id")).agg(F.min("id").alias("_child"))
+    rows = rows.join(first, "id", "left")
+    into = F.struct((F.col("id") * 2).alias("step"), F.coalesce(F.col("_child") * 2, F.col("id") * 2 + 1).alias("next"), F.lit(-1).alias("rise"), *names)
+    out = F.coalesce(F.col("_sibling") * 2, F.when(F.col("parent_id") != -1, F.col("parent_id") * 2 + 1))
+    leave = F.struct((F.col("id") * 2 + 1).alias("step"), out.alias("next"), F.lit(1).alias("rise"), *((F.col(n) * 0).alias(n) for n in names))
+    ahead = rows.select(F.inline(F.array(into, leave))).withColumn("last", F.coalesce("next", "step"))
+    sums = ["rise", *names]
+    ahead = written(ahead.select("step", "next", "last", F.col("rise").cast("bigint").alias("rise"), *names), "tour")
+    while True:
+        on = ahead.select(F.col("step").alias("next"), F.col("next").alias("_next"), F.col("last").alias("_last"), *(F.col(n).alias(f"_{n}") for n in sums))
+        more = [(F.col(n) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in sums]
+        ahead = written(ahead.join(on, "next", "left").select("step", F.col("_next").alias("next"), F.coalesce("_last", "last").alias("last"), *more), "tour")
+        if ahead.where("next IS NOT NULL").isEmpty():
+            break
+    entered = F.col("step") % 2 == 0
+    pick = lambda n, at: F.max(F.when(at, F.col(n)))
+    found = ahead.groupBy(F.shiftright("step", 1).alias("id")).agg(
+        F.shiftright(F.max("last"), 1).alias("root"), pick("rise", entered).alias("depth"), pick("size", entered).alias("_ahead"), *((pick(n, entered) - pick(n, ~entered)).alias(n) for n in names)
+    )
+    whole = found.where("id = root").select("root", F.col("_ahead").alias("_whole"))
+    return found.join(whole, "root").select("id", "root", "depth", (F.col("_whole") - F.col("_ahead") + 1).alias("place"), *names)
 
 
 def counts(tree: DataFrame) -> DataFrame:
-    """id, children, descendants, ancestors, leaves below."""
-    up = closure(tree)
-    below = up.where("steps > 0").groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("descendants"))
-    above = up.groupBy("id").agg((F.count("*") - 1).alias("ancestors"))
-    degree = with_degree(tree).select("id", "children")
-    leaves = up.join(degree.where("children = 0").select("id"), "id", "left_semi").groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("leaves"))
-    zero = F.lit(0).cast("bigint")
-    return degree.join(below, "id", "left").join(above, "id").join(leaves, "id", "left").select("id", "children", F.coalesce("descendants", zero).alias("descendants"), "ancestors", F.coalesce("leaves", zero).alias("leaves"))
+    """id, children, descendants, ancestors, leaves below (a leaf is below itself)."""
+    degree = with_degree(tree)
+    found = tour(degree, leaves=(F.col("children") == 0).cast("bigint"))
+    return degree.select("id", "children").join(found, "id").select("id", "children", (F.col("size") - 1).alias("descendants"), F.col("depth").alias("ancestors"), "leaves")
 
 
 def preorder(tree: DataFrame) -> DataFrame:
-    """id, place: depth-first order, children by id, from 1. The order is that of the paths from the root, which sort as arrays."""
-    path = closure(tree).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("steps")).alias("s"), "ancestor"))), lambda x: x["ancestor"]).alias("path"))
-    return path.select("id", F.row_number().over(Window.orderBy("path")).cast("bigint").alias("place"))
+    """id, place: depth-first order, roots and children by id, from 1."""
+    found = tour(tree).select("id", "root", F.col("place").alias("_place"))
+    return numbered(found, [F.col("root"), F.col("_place")], "place").select("id", "place")
 
 
 def breadth_first_ids(tree: DataFrame) -> DataFrame:
-    """id, new_id, new_parent: nodes numbered from 1 by depth, then by parent's number and id."""
-    level = depths(tree).select("id", "depth")
-    path = closure(tree).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("steps")).alias("s"), "ancestor"))), lambda x: x["ancestor"]).alias("path"))
-    numbered = level.join(path, "id").select("id", F.row_number().over(Window.orderBy("depth", "path")).cast("bigint").alias("new_id"))
-    parent = numbered.select(F.col("id").alias("parent_id"), F.col("new_id").alias("new_parent"))
-    return tree.select("id", "parent_id").join(numbered, "id").join(parent, "parent_id", "left").select("id", "new_id", F.coalesce("new_parent", F.lit(-1).cast("bigint")).alias("new_parent"))
+    """id, new_id, new_parent: nodes numbered from 1 by depth, then by parent's number and id, which is the depth-first order of a depth."""
+    order = numbered(tour(tree).select("id", "root", "depth", "place"), [F.col("depth"), F.col("root"), F.col("place")], "new_id").select("id", "new_id")
+    found = written(order, "numbers")
+    parent = found.select(F.col("id").alias("parent_id"), F.col("new_id").alias("new_parent"))
+    return tree.select("id", "parent_id").join(found, "id").join(parent, "parent_id", "left").select("id", "new_id", F.coalesce("new_parent", F.lit(-1).cast("bigint")).alias("new_parent"))
 
 
 def branches(tree: DataFrame) -> DataFrame:
@@ -221,7 +252,8 @@ def selection(tree: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     if how == "downstream":
         return subtree(tree, ids).select("id")
     if how == "upstream":
-        return closure(tree).join(ids.select("id"), "id", "left_semi").select(F.col("ancestor").alias("id")).distinct()
+        chosen = tree.join(ids.select("id", F.lit(1).cast("bigint").alias("_chosen")).distinct(), "id", "left")
+        return tour(chosen, chosen=F.coalesce("_chosen", F.lit(0).cast("bigint"))).where("chosen > 0").select("id")
     if how == "neighbours":
         edge = tree.where("parent_id <> -1").select(F.col("id").alias("a"), F.col("parent_id").alias("b"))
         both = edge.union(edge.select("b", "a"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from voxloom import mapping
 from voxloom.functions import geometry, saturate, text
 from voxloom.functions.units import unit_factor
-from voxloom.operators import aggregate, graph, joins, matching, mesh, neighborhood, region, sampling, threshold, tree, voxel
+from voxloom.operators import aggregate, graph, joins, matching, mesh, neighborhood, ordering, region, sampling, threshold, tree, voxel
 from voxloom.plans import composites
 from voxloom.storage import shared_dir
 from voxloom.streaming import progressive
@@ -211,11 +211,15 @@ def m08_image_image(spark, sf):
     return plane(voxel.image_op(own, voxel.flip(own, SIZE, ["x"]), "+")).withColumn("v", F.col("v").cast("bigint"))
 
 
-@query(f"WITH {VOX} SELECT a.label, CAST(a.n = b.n AS BIGINT) AS same FROM (SELECT label, count(*) AS n FROM vox GROUP BY label) a JOIN (SELECT label, count(*) AS n FROM vox GROUP BY label) b USING (label)")
+M09 = "(SELECT image_id, y, x, v FROM vox) , o AS (SELECT image_id, y, x, CASE WHEN k = 1 AND image_id = 7 AND y = 3 AND x = 4 THEN v + 1 ELSE v END AS v, k FROM vox CROSS JOIN (SELECT unnest([0, 1]) AS k)), t AS (SELECT image_id, y, 7 - x AS x, v, 2 AS k FROM vox)"
+
+
+@query(f"WITH {VOX}, s AS {M09}, u AS (SELECT * FROM o UNION ALL SELECT image_id, y, x, v, k FROM t) SELECT CAST(k AS BIGINT) AS k, CAST((SELECT count(*) FROM ((SELECT image_id, y, x, v FROM u WHERE u.k = g.k EXCEPT SELECT * FROM s) UNION ALL (SELECT * FROM s EXCEPT SELECT image_id, y, x, v FROM u WHERE u.k = g.k))) = 0 AS BIGINT) AS same FROM (SELECT unnest([0, 1, 2]) AS k) g")
 def m09_image_equality(spark, sf):
+    """The images against themselves, against a copy with one other voxel, and against their mirror images."""
     own = mapping.images(spark, sf)
-    same = voxel.equal(own, voxel.flip(voxel.flip(own, SIZE, ["x"]), SIZE, ["x"])) and not voxel.equal(own, own.withColumn("v", F.col("v") + 1))
-    return own.select(F.col("label").cast("bigint").alias("label")).distinct().withColumn("same", F.lit(int(same)).cast("bigint"))
+    other = own.withColumn("v", F.when(F.expr("image_id = 7 AND y = 3 AND x = 4"), F.col("v") + 1).otherwise(F.col("v")))
+    return spark.createDataFrame([(k, int(voxel.equal(own, x))) for k, x in enumerate((own, other, voxel.flip(own, SIZE, ["x"])))], "k long, same long")
 
 
 @query("SELECT p_partkey, round(CAST(p_size AS DOUBLE) * CAST(25.4 AS DOUBLE), 6) AS mm, round(CAST(p_size AS DOUBLE) * CAST(0.0254 AS DOUBLE), 6) AS m FROM part")
@@ -227,7 +231,7 @@ def m10_units(spark, sf):
 @query("SELECT c_custkey, row_number() OVER (ORDER BY n, c_custkey) AS place, n AS last_number FROM (SELECT c_custkey, CAST(regexp_extract(c_name, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS n FROM customer)")
 def m11_natural_sort(spark, sf):
     rows = mapping.table(spark, sf, "customer").select("c_custkey", text.last_integer(F.col("c_name")).alias("last_number"), F.regexp_replace("c_name", "#0*", "#").alias("_n"))
-    return rows.select("c_custkey", F.row_number().over(Window.orderBy(text.natural_key(F.col("_n")), "c_custkey")).cast("bigint").alias("place"), "last_number")
+    return ordering.numbered(rows.withColumn("_k", text.natural_key(F.col("_n"))), [F.col("_k"), F.col("c_custkey")], "place").select("c_custkey", "place", "last_number")
 
 
 @query("SELECT p_partkey, TRY_CAST(p_brand AS DOUBLE) AS brand, TRY_CAST(CAST(p_size AS VARCHAR) AS DOUBLE) AS size FROM part")
@@ -558,8 +562,7 @@ def o06_thickest(spark, sf):
 @query("SELECT event_id FROM (SELECT event_id, sum(value) OVER (ORDER BY ts DESC, event_id DESC) AS held FROM events) WHERE held > 5000")
 def o07_lru_eviction(spark, sf):
     events = mapping.table(spark, sf, "events")
-    newest = Window.orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)  # entries of one cache
-    return events.withColumn("held", F.sum("value").over(newest)).where("held > 5000").select("event_id")
+    return ordering.running(events, [F.desc("ts"), F.desc("event_id")], F.col("value"), "held").where("held > 5000").select("event_id")
 
 
 @query(f"WITH {VOX} SELECT image_id, CAST(t AS BIGINT) AS t, y, x, v FROM (SELECT image_id, 0 AS t, y, x, v FROM vox UNION ALL SELECT image_id, 1, y, 7 - x, v FROM vox UNION ALL SELECT image_id, 2, x, y, v FROM vox)")
@@ -699,11 +702,12 @@ def w10_fill_holes(spark, sf):
     return plane(threshold.fill_holes(own, SIZE)).withColumn("v", F.col("v").cast("bigint"))
 
 
-@query(None)
+# a line has one supplier, so of those that share one the cheapest is matched
+@query("SELECT l_orderkey AS g, arg_min(CAST((l_partkey * 16 + l_linenumber) * 16 + l_suppkey % 9 AS BIGINT), (round(CAST(l_extendedprice AS DOUBLE), 2), (l_partkey * 16 + l_linenumber) * 16 + l_suppkey % 9)) AS row, CAST(l_suppkey % 9 AS BIGINT) AS col, min(round(CAST(l_extendedprice AS DOUBLE), 2)) AS cost FROM lineitem GROUP BY 1, 3")
 def j19_assignment(spark, sf):
     rows = mapping.table(spark, sf, "lineitem")
-    return matching.linear_assignment(rows.select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").cast("bigint").alias("row"), (F.col("l_suppkey") % 9).alias("col"), F.round("l_extendedprice", 2).alias("cost")))
-
+    links = rows.select(F.col("l_orderkey").alias("g"), ((F.col("l_partkey") * 16 + F.col("l_linenumber")) * 16 + F.col("l_suppkey") % 9).alias("row"), (F.col("l_suppkey") % 9).alias("col"), F.round(F.col("l_extendedprice").cast("double"), 2).alias("cost"))
+    return matching.linear_assignment(links, limit=1e9).select("g", "row", F.col("col").cast("bigint").alias("col"), "cost")
 
 
 @query("WITH c AS (SELECT vec_id AS k, embedding AS e FROM embeddings WHERE vec_id < 5), d AS (SELECT v.vec_id, c.k, list_sum(list_transform(list_zip(v.embedding, c.e), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2]))) AS gap FROM embeddings v CROSS JOIN c) SELECT vec_id, arg_min(k, (round(gap, 9), k)) AS cluster, round(min(gap), 6) AS gap FROM d GROUP BY vec_id")
@@ -804,7 +808,8 @@ def g14_detect_puncta(spark, sf):
 
 @query(f"WITH RECURSIVE {TREE}, {UP} SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey + 100 IN (SELECT id FROM up WHERE ancestor = 2)")
 def j18_region_members(spark, sf):
-    inside = tree.closure(mapping.tree(spark, sf)).where("ancestor = 2").select((F.col("id") - 100).alias("c_nationkey"))
+    own = mapping.tree(spark, sf)
+    inside = tree.subtree(own, own.where("id = 2")).select((F.col("id") - 100).alias("c_nationkey"))
     return mapping.table(spark, sf, "customer").join(inside, "c_nationkey", "left_semi").select("c_custkey", "c_acctbal")
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where it is set, otherwise (a local test session) a temporary folder."""
+    """spark.checkpoint.dir where it is set, otherwise (in a local session only) a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxloom-"))
