@@ -472,3 +472,49 @@ def test_nearest_across_ranges(spark, monkeypatch):
     for k, v in a:
         o, t = min(((abs(v - o), o, t) for t, o in b))[1:]
         assert got[k] == (t, abs(v - o))
+
+
+def test_nearest_on_tree_widens_and_takes_ids_as_keys(spark):
+    from voxloom.operators import joins
+
+    tree = spark.createDataFrame([(1, -1, 0.0, 0.0, 0.0, 1.0), (2, 1, 10.0, 0.0, 0.0, 1.0), (3, 1, 0.0, 10.0, 0.0, 1.0)], "id long, parent_id long, x double, y double, z double, radius double")
+    points = spark.createDataFrame([(1, 5.0, 2.0, 0.0), (2, 0.0, 500.0, 0.0), (3, None, 0.0, 0.0), (4, 0.0, 0.0, 0.0)], "id long, x double, y double, z double")
+    found = {r["_key"]: r for r in joins.nearest_on_tree(points, "id", joins.segments(tree), 1.0).collect()}
+    assert set(found) == {1, 2, 4}
+    assert (found[1].id, found[1].distance, found[1].px, found[1].share) == (2, 2.0, 5.0, 0.5)
+    assert (found[2].id, found[2].distance, found[2].share) == (3, 490.0, 0.0)
+    assert found[4].id == 1  # all three touch it
+    assert joins.nearest_on_tree(points, "id", joins.segments(tree.where("false")), 1.0).count() == 0
+    assert [r.id for r in joins.subtract_tree(tree, tree.where("id = 1"), 4.0).orderBy("id").collect()] == [2, 3]
+
+
+def test_points_as_wide_as_their_gap_meet_a_branch(spark):
+    from voxloom.operators import joins
+
+    tree = spark.createDataFrame([(1, -1, 0.0, 0.0, 0.0, 1.0), (2, 1, 10.0, 0.0, 0.0, 1.0)], "id long, parent_id long, x double, y double, z double, radius double")
+    points = spark.createDataFrame([(7, 5.0, 9.0, 0.0, 8.0), (8, 5.0, 12.0, 0.0, 8.0)], "id long, x double, y double, z double, radius double")
+    assert [(r.id, r.distance) for r in joins.assign_to_branches(points.withColumnRenamed("id", "spot"), "spot", joins.segments(tree), 1.0, 1.0).collect()] == [(2, 8.0)]
+
+
+def test_rerooted_and_merged_soma(spark):
+    from voxloom.operators import tree
+
+    rows = [(1, -1, 1), (2, 1, 1), (3, 2, 3), (4, 2, 1), (5, 4, 3), (6, 3, 1)]
+    own = spark.createDataFrame([(i, p, float(i), 0.0, 0.0, 1.0, t) for i, p, t in rows], "id long, parent_id long, x double, y double, z double, radius double, type int")
+    parents = lambda t: {r.id: r.parent_id for r in t.collect()}
+    assert parents(tree.merge_soma(own)) == {1: -1, 3: 1, 5: 1, 6: 3}
+    assert parents(tree.set_as_root(own, 5)) == {1: 2, 2: 4, 3: 2, 4: 5, 5: -1, 6: 3}
+    assert parents(tree.set_as_root(own, 99)) == {i: p for i, p, _ in rows}
+    gone = spark.createDataFrame([(1,), (2,), (4,)], "id long")
+    assert parents(tree.erase_nodes(own, gone)) == {3: -1, 5: -1, 6: 3}
+
+
+def test_colour_map_ends(spark):
+    from pyspark.sql import functions as F
+
+    from voxloom.functions import colours
+
+    keys = [(1.0, (1, 2, 3, 4), (0, 0, 0, 0)), (3.0, (101, 0, 0, 255), (9, 8, 7, 6))]
+    rows = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (3.0,), (3.5,), (None,)], "v double").select(colours.mapped(F.col("v"), keys).alias("c")).collect()
+    assert [tuple(r.c) if r.c else None for r in rows] == [(1, 2, 3, 4), (1, 2, 3, 4), (50, 0, 0, 127), (101, 0, 0, 255), (9, 8, 7, 6), None]
+    assert tuple(spark.range(1).select(colours.mapped(F.lit(1.0), []).alias("c")).first().c) == (0, 0, 0, 0)

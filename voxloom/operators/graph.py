@@ -61,6 +61,22 @@ def voxel_components(voxels: DataFrame, size: dict[str, int], connectivity: int
     return own.drop("label").join(heads, [*groups, "_first"]).withColumnRenamed("_label", "label").drop("_first", "_s", "id")
 
 
+def large_objects(labelled: DataFrame, least: int) -> DataFrame:
+    """The voxels of objects of at least so many, numbered anew in each image from the largest (ties: the earlier label)."""
+    groups = [k for k in KEYS if k in labelled.columns and k not in ("z", "y", "x")]
+    sizes = labelled.groupBy(*groups, "label").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    order = Window.partitionBy(*groups).orderBy(F.col("_n").desc(), "label")
+    return labelled.join(sizes.select(*groups, "label", F.row_number().over(order).cast("bigint").alias("_rank")), [*groups, "label"]).drop("label").withColumnRenamed("_rank", "label")
+
+
+def seeded_objects(labelled: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The voxels of objects that hold a seed (keys of a voxel, seed), labelled by their smallest seed."""
+    groups = [k for k in KEYS if k in labelled.columns and k not in ("z", "y", "x")]
+    keys = [k for k in KEYS if k in labelled.columns]
+    found = labelled.join(seeds.select(*keys, "seed"), keys).groupBy(*groups, "label").agg(F.min("seed").alias("seed"))
+    return labelled.join(found, [*groups, "label"]).drop("label").withColumnRenamed("seed", "label")
+
+
 def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
     """s, d, w of a spanning forest of least weight (ties: the smallest nodes), by Boruvka rounds: every component takes its lightest edge out.
 
@@ -81,19 +97,18 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
     return edges.where("false").select("s", "d", "w") if chosen is None else chosen.distinct()
 
 
-def shortest_distances(edges: DataFrame, source: int, rounds: int = 10_000) -> DataFrame:
+def shortest_distances(edges: DataFrame, source: int) -> DataFrame:
     """id, distance, previous: single-source shortest paths over an undirected graph (s, d, w >= 0), relaxed from the frontier that last improved."""
     both = written(edges.select("s", "d", "w").union(edges.select("d", "s", "w")), "graph")
     known = both.sparkSession.createDataFrame([(source, 0.0, None)], "id long, distance double, previous long")
     frontier = known
-    for _ in range(rounds):
+    while True:
         reached = frontier.join(both, frontier["id"] == both["s"]).select(F.col("d").alias("id"), (F.col("distance") + F.col("w")).alias("distance"), F.col("s").alias("previous"))
         best = reached.groupBy("id").agg(F.min(F.struct("distance", "previous")).alias("n"))
         frontier = written(best.join(known.select("id", F.col("distance").alias("old")), "id", "left").where("old IS NULL OR n.distance < old").select("id", "n.distance", "n.previous"), "frontier")
         if frontier.isEmpty():
-            break
+            return known
         known = written(known.join(frontier.select("id"), "id", "left_anti").unionByName(frontier), "known")
-    return known
 
 
 # Edge weights between neighbouring voxels of values a and b at a distance.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import geometry
 from voxloom.operators.ordering import numbered, ranged
+from voxloom.storage import written
 
 
 def cells(low: Column, high: Column, cell: float) -> Column:
@@ -105,20 +106,61 @@ def point(prefix: str = "") -> list[Column]:
     return [F.col(f"{prefix}{x}") for x in "xyz"]
 
 
+def pieces(tubes: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
+    """A row per piece of about a cell's length of each tube, with the piece's box (_low_x, _high_x, ...), grown by the larger radius and margin."""
+    n = F.greatest(F.lit(1), F.ceil(geometry.distance(point("a"), point("b")) / cell)).cast("int")
+    rows = tubes.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    wide = F.greatest("ar", "br") + (margin + cell * 1e-6)  # and the rounding of the pieces' ends
+    for x in "xyz":
+        from_, to = (F.col(f"a{x}") + k / F.col("_n") * (F.col(f"b{x}") - F.col(f"a{x}")) for k in (F.col("_k") - 1, F.col("_k")))
+        rows = rows.withColumn(f"_low_{x}", F.least(from_, to) - wide).withColumn(f"_high_{x}", F.greatest(from_, to) + wide)
+    return rows.drop("_n", "_k")
+
+
 def tube_candidates(points: DataFrame, tubes: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
-    """points with the tubes whose bounding box, grown by margin, shares their cell."""
-    own, other = points, tubes
+    """points with the tubes (by id) that come within margin of their cell, each pair once. A long thin tube lies in the cells along it, not in all of its box."""
+    own, at = points, pieces(tubes, cell, margin)
     for x in "xyz":
         own = own.withColumn(f"_{x}", F.floor(F.col(x) / cell))
-        low, high = F.least(F.col(f"a{x}") - F.col("ar"), F.col(f"b{x}") - F.col("br")), F.greatest(F.col(f"a{x}") + F.col("ar"), F.col(f"b{x}") + F.col("br"))
-        other = other.withColumn(f"_{x}", F.explode(cells(low - margin, high + margin, cell)))
-    return own.join(other, ["_x", "_y", "_z"]).drop("_x", "_y", "_z")
+        at = at.withColumn(f"_{x}", F.explode(cells(F.col(f"_low_{x}"), F.col(f"_high_{x}"), cell))).drop(f"_low_{x}", f"_high_{x}")
+    return own.join(at.dropDuplicates(["id", "_x", "_y", "_z"]), ["_x", "_y", "_z"]).drop("_x", "_y", "_z")
+
+
+def finite(columns: Sequence[str]) -> Column:
+    """Whether all are there and finite."""
+    return functools.reduce(operator.and_, (F.abs(F.col(c)) < float("inf") for c in columns))
+
+
+def nearest_on_tree(points: DataFrame, key: str, tubes: DataFrame, cell: float, digits: int = 6) -> DataFrame:
+    """_key (of points), id, share, distance, px, py, pz: the point of the tubes' axes nearest to each point (ties to so many digits: the smallest id).
+
+    share is 0 at the node id, 1 at its parent. Points look as far as a cell first; those that find nothing look twice as far each round,
+    in cells twice as large. Points or tubes without finite coordinates take no part; without tubes there are no rows.
+    """
+    ends = [f"{k}{x}" for k in "ab" for x in "xyz"]
+    axes = written(tubes.select("id", *ends, F.lit(0.0).alias("ar"), F.lit(0.0).alias("br")).where(finite(ends)), "axes")
+    left = points.select(F.col(key).alias("_key"), *"xyz").where(finite("xyz"))
+    share = F.least(F.greatest(geometry.segment_share(point(), point("a"), point("b")), F.lit(0.0)), F.lit(1.0))
+    if axes.isEmpty():
+        left = left.where("false")
+    found = None
+    while True:
+        near = tube_candidates(left, axes, cell, cell).withColumn("share", share)
+        near = near.withColumns({f"p{x}": F.col(f"a{x}") + F.col("share") * (F.col(f"b{x}") - F.col(f"a{x}")) for x in "xyz"})
+        near = near.withColumn("distance", geometry.distance(point(), point("p"))).where(F.col("distance") <= cell)
+        best = near.groupBy("_key").agg(F.min(F.struct(F.round("distance", digits).alias("_d"), "id", "share", "distance", "px", "py", "pz")).alias("m"))
+        done = written(best.select("_key", "m.id", "m.share", "m.distance", "m.px", "m.py", "m.pz"), "nearest")
+        found = done if found is None else found.union(done)
+        left = written(left.join(done.select("_key"), "_key", "left_anti"), "farther")
+        if left.isEmpty():
+            return found
+        cell *= 2
 
 
 def in_tubes(points: DataFrame, key: str, tubes: DataFrame, cell: float) -> DataFrame:
     """The points that lie in some tube, each once."""
     hit = geometry.in_tube(point(), point("a"), point("b"), F.col("ar"), F.col("br"))
-    inside = tube_candidates(points, tubes, cell).where(hit).select(key).distinct()
+    inside = tube_candidates(points.select(F.col(key).alias("_key"), *"xyz"), tubes, cell).where(hit).select(F.col("_key").alias(key)).distinct()
     return points.join(inside, key, "left_semi")
 
 
@@ -137,9 +179,11 @@ def reparented(kept: DataFrame) -> DataFrame:
 
 def assign_to_branches(points: DataFrame, key: str, tubes: DataFrame, most: float, cell: float) -> DataFrame:
     """key, id, distance: the tube nearest to each point by frustum distance, within most plus the point's radius (ties: the smallest id)."""
-    near = tube_candidates(points, tubes.where("parent_id <> -1"), cell, most).withColumn("distance", geometry.frustum_distance(point(), point("a"), point("b"), F.col("ar"), F.col("br")))
+    own = points.select(F.col(key).alias("_key"), *"xyz", "radius")
+    reach = most + max(points.agg(F.max("radius")).first()[0] or 0.0, 0.0)
+    near = tube_candidates(own, tubes.where("parent_id <> -1"), cell, reach).withColumn("distance", geometry.frustum_distance(point(), point("a"), point("b"), F.col("ar"), F.col("br")))
     cut = near.where(F.col("distance") < most + F.col("radius"))
-    return cut.groupBy(key).agg(F.min(F.struct("distance", "id")).alias("m"), F.count("*").alias("in_range")).select(key, "m.id", "m.distance", "in_range")
+    return cut.groupBy("_key").agg(F.min(F.struct("distance", "id")).alias("m"), F.count("*").alias("in_range")).select(F.col("_key").alias(key), "m.id", "m.distance", "in_range")
 
 
 def ambiguous(costs: DataFrame, key: str, cost: str, factor: float) -> DataFrame:
@@ -176,6 +220,12 @@ def interpolated(rows: DataFrame, time: str, easing: str = "linear") -> Column:
     return F.when(F.col("t0").isNull(), F.col("v1")).when(F.col("t1").isNull() | (gap < 1e-4), F.col("v0")).otherwise(F.col("v0") + share * (F.col("v1") - F.col("v0")))
 
 
+def related(annotations: DataFrame, relation: str, ids: DataFrame) -> DataFrame:
+    """id of an object and the annotations whose list of related objects (column relation) names it, each once."""
+    links = annotations.withColumn("object_id", F.explode(F.array_distinct(relation))).drop(relation)
+    return links.join(ids.select(F.col("id").alias("object_id")).distinct(), "object_id", "left_semi")
+
+
 def properties(rows: DataFrame, key: str, table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """rows with the named properties of their id (null for an unknown one). Spark picks the join from the table's size."""
     return rows.join(table.select(F.col("id").alias(key), *columns), key, "left")

@@ -32,6 +32,16 @@ def block_sum(voxels: DataFrame, size: Mapping[str, int], block: Mapping[str, in
     return out
 
 
+def block_sum_part(voxels: DataFrame, size: Mapping[str, int], block: Mapping[str, int], box: Mapping[str, tuple[int, int]]) -> DataFrame:
+    """block_sum within a box, coordinates from its corner; only voxels that its windows meet are read."""
+    for axis, (start, end) in box.items():
+        voxels = voxels.where((F.col(axis) > start - block.get(axis, 1)) & (F.col(axis) < end))
+    out = block_sum(voxels, size, block)
+    for axis, (start, end) in box.items():
+        out = out.where((F.col(axis) >= start) & (F.col(axis) < end)).withColumn(axis, F.col(axis) - start)
+    return out
+
+
 def mean_smooth(series: DataFrame, width: int, order: str, by: Sequence[str], value: str = "v") -> DataFrame:
     """Mean over the window [i - left, i + right], right = width div 2, left = width - right - 1, cut at the ends; width 0 or less copies."""
     if width <= 0:

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import geometry
-from voxloom.operators.joins import reparented
-from voxloom.operators.ordering import numbered
+from voxloom.operators.joins import nearest_on_tree, pieces, reparented, segments
+from voxloom.operators.ordering import numbered, running
 from voxloom.storage import written
 
 ROOT, BRANCH, LEAF, OTHER = 1, 2, 3, 0
@@ -52,7 +52,7 @@ def depths(tree: DataFrame) -> DataFrame:
 
 
 def closure(tree: DataFrame) -> DataFrame:
-    """id, ancestor, steps of every node and each ancestor, itself included; as many rows as the depths add up to, so for shallow forests. subtree(), counts() and selection() need no such table."""
+    """id, ancestor, steps of every node and each ancestor, itself included; as many rows as the depths add up to, so for shallow forests. No other operator needs such a table."""
     known = written(tree.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("steps")), "closure")
     reach = written(tree.where("parent_id <> -1").select("id", F.col("parent_id").alias("ancestor")), "reach")
     step = 1
@@ -173,30 +173,33 @@ def delete_nodes(tree: DataFrame, ids: DataFrame) -> DataFrame:
 def erase_nodes(tree: DataFrame, ids: DataFrame) -> DataFrame:
     """Without the nodes; their children move to the nearest ancestor that stays."""
     gone = ids.select("id", F.lit(True).alias("_gone")).distinct()
-    marked = tree.join(gone, "id", "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
-    up = closure(tree).join(gone.select(F.col("id").alias("ancestor"), F.lit(True).alias("_g")), "ancestor", "left").where("steps > 0 AND _g IS NULL").groupBy("id").agg(F.min_by("ancestor", "steps").alias("_parent"))
-    return marked.where("NOT _gone").join(up, "id", "left").withColumn("parent_id", F.coalesce("_parent", F.lit(-1))).select(*tree.columns)
+    marked = written(tree.join(gone, "id", "left").withColumn("_gone", F.coalesce("_gone", F.lit(False))), "marked")
+    stays = walks(marked, "NOT _gone").join(marked.where("NOT _gone").select(F.col("id").alias("head")), "head", "left_semi")
+    up = stays.select(F.col("id").alias("parent_id"), F.col("head").alias("_parent"))
+    return marked.where("NOT _gone").join(up, "parent_id", "left").withColumn("parent_id", F.coalesce("_parent", F.lit(-1))).select(*tree.columns)
 
 
 def erase_subtrees(tree: DataFrame, ids: DataFrame) -> DataFrame:
     return tree.join(subtree(tree, ids).select("id"), "id", "left_anti")
 
 
+def rerooted(tree: DataFrame, tops: DataFrame) -> DataFrame:
+    """Every tree hung up at its node among the tops (id; at most one a tree): the parents on that node's path to the root are turned round."""
+    path = tree.join(selection(tree, tops, "upstream"), "id", "left_semi")
+    below = path.where("parent_id <> -1").select(F.col("parent_id").alias("id"), F.col("id").alias("_new"))
+    turned = written(path.select("id").join(below, "id", "left").select("id", F.coalesce("_new", F.lit(-1)).alias("_new")), "turned")
+    return tree.join(turned, "id", "left").withColumn("parent_id", F.coalesce("_new", "parent_id")).select(*tree.columns)
+
+
 def set_as_root(tree: DataFrame, node: int) -> DataFrame:
-    """The tree of the node hung up at it: the parents on its path to the root are turned round."""
-    path = closure(tree).where(F.col("id") == node).select(F.col("ancestor").alias("id"), "steps")
-    turned = path.withColumn("_new", F.coalesce(F.lag("id").over(Window.orderBy("steps")), F.lit(-1)))  # one path
-    return tree.join(turned.select("id", "_new"), "id", "left").withColumn("parent_id", F.coalesce("_new", "parent_id")).select(*tree.columns)
+    return rerooted(tree, tree.where(F.col("id") == node).select("id"))
 
 
 def label_soma(tree: DataFrame, least_radius: float, soma: int = 1, other: int = 0) -> DataFrame:
     """Trees hung up at their thickest node are labelled: a node is soma if it is the root, or its parent is and 3 * radius >= the largest radius. Trees thinner than least_radius have none."""
     rooted = tree.join(depths(tree).select("id", "root"), "id")
     best = thickest(rooted, "root").select(F.col("root"), F.col("id").alias("_top"), F.col("radius").alias("_most"))
-    rows = rooted.join(best, "root")
-    path = closure(tree).join(best.select(F.col("_top").alias("id")), "id", "left_semi")
-    turned = path.select(F.col("ancestor").alias("id"), F.coalesce(F.lag("ancestor").over(Window.partitionBy("id").orderBy("steps")), F.lit(-1)).alias("_new"))
-    hung = rows.join(turned, "id", "left").withColumn("parent_id", F.coalesce("_new", "parent_id")).drop("_new")
+    hung = rerooted(rooted.join(best, "root"), best.select(F.col("_top").alias("id")))
     wide = (F.col("parent_id") == -1) | (F.col("radius") * 3 >= F.col("_most"))
     thin = hung.select(*tree.columns, "_most", (~wide).alias("_thin"))
     # a node is soma if no node on its way to the root, itself included, is thin
@@ -205,6 +208,68 @@ def label_soma(tree: DataFrame, least_radius: float, soma: int = 1, other: int =
     return thin.join(kinds, "id").withColumn("type", F.when(F.col("_soma") & (F.col("_most") >= least_radius), soma).otherwise(other)).drop("_thin", "_soma", "_most")
 
 
+def merge_soma(tree: DataFrame, soma: int = 1) -> DataFrame:
+    """tree (with type) whose soma roots take in the soma nodes that hang together with them; the children of those move to the root."""
+    heads = walks(tree, f"type <> {soma}").select("id", F.col("head").alias("_head"))
+    roots = tree.where((F.col("parent_id") == -1) & (F.col("type") == soma)).select(F.col("id").alias("_head"))
+    taken = written(heads.join(roots, "_head", "left_semi"), "soma")
+    rest = tree.join(taken.where("id <> _head").select("id"), "id", "left_anti")
+    up = taken.select(F.col("id").alias("parent_id"), "_head")
+    return rest.join(up, "parent_id", "left").withColumn("parent_id", F.coalesce("_head", "parent_id")).select(*tree.columns)
+
+
+def on_branches(points: DataFrame, key: str, tree: DataFrame, cell: float) -> DataFrame:
+    """_key (of points), id, branch_id, share, distance, dist_to_branch_start, dist_to_root: where the point of the tree nearest to each point lies on its branch.
+
+    share is 0 at the node id and 1 at its parent. A tree of one node is the sphere around it. Points without coordinates have no row.
+    """
+    near = nearest_on_tree(points, key, segments(tree), cell)
+    at = near.join(branches(tree), "id")
+    back = F.col("share") * F.col("dist_to_parent")
+    return at.select("_key", "id", "branch_id", "share", "distance", (F.col("dist_to_branch_start") - back).alias("dist_to_branch_start"), (F.col("dist_to_root") - back).alias("dist_to_root"))
+
+
+def layer_features(tree: DataFrame, margin: float) -> DataFrame:
+    """id, z, n: how many edges (node to parent; a root's parent lies at z = 0) reach into z - margin to z + margin.
+
+    Those are the edges that begin by z + margin without those that end before z - margin, so two running sums over distinct heights
+    answer all nodes and no edge meets a node.
+    """
+    parent = tree.select(F.col("id").alias("parent_id"), F.col("z").alias("_pz"))
+    edges = tree.join(parent, "parent_id", "left").select("z", F.coalesce("_pz", F.lit(0.0)).alias("_pz"))
+    spans = written(edges.select("z", F.least("z", "_pz").alias("low"), F.greatest("z", "_pz").alias("high")), "spans")
+    heights = spans.select("z").distinct()
+
+    def upto(end: str, shift: float, first: int) -> DataFrame:
+        ends = spans.groupBy(F.col(end).alias("at")).agg(F.count("*").alias("_n")).select("at", F.lit(0).alias("asks"), "_n", F.lit(None).cast("double").alias("z"))
+        asks = heights.select((F.col("z") + shift).alias("at"), F.lit(first).alias("asks"), F.lit(0).cast("bigint").alias("_n"), "z")
+        return running(ends.union(asks), [F.col("at"), F.col("asks"), F.col("z")], F.col("_n"), "upto").where("z IS NOT NULL").select("z", F.col("upto").alias(end))
+
+    begun, ended = upto("low", margin, 1), upto("high", -margin, -1)
+    counts = begun.join(ended, "z").select("z", (F.col("low") - F.col("high")).alias("n"))
+    return tree.select("id", "z").join(counts, "z").select("id", "z", "n")
+
+
+def layer_similarity(z1: Column, n1: Column, z2: Column, n2: Column, scale: float, base: float) -> Column:
+    """How alike two layer features are: more for thick layers, for like counts and for near heights."""
+    low, high = F.least(n1, n2), F.greatest(n1, n2)
+    return F.sqrt(low) * low / high / (F.abs(z1 - z2) / scale + base)
+
+
+def label_volume(tree: DataFrame, cell: float) -> DataFrame:
+    """z, y, x, label of the voxels whose centres (whole coordinates) lie in a tube of the tree: the smallest id of those that hold it.
+
+    A tube is cut into pieces of about a cell's length, and only the voxels of their boxes are tried.
+    """
+    tubes = segments(tree).where((F.col("ar") > 0) | (F.col("br") > 0))
+    boxes = pieces(tubes, cell)
+    for a in "xyz":
+        low, high = F.ceil(F.col(f"_low_{a}")), F.floor(F.col(f"_high_{a}"))
+        boxes = boxes.withColumn(a, F.explode(F.when(low <= high, F.sequence(low, high))))
+    hit = geometry.in_tube([F.col(a).cast("double") for a in "xyz"], *([F.col(f"{k}{a}") for a in "xyz"] for k in "ab"), F.col("ar"), F.col("br"))
+    return boxes.where(hit).groupBy("z", "y", "x").agg(F.min("id").alias("label"))
+
+
 def turns(tree: DataFrame) -> DataFrame:
     """id of the nodes with one child where the way turns by a right angle or more."""
     kinds = with_degree(tree)

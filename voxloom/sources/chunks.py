@@ -61,6 +61,23 @@ def read_region(spark: SparkSession, path: str, level: int, box: Box) -> DataFra
     return crop(to_voxels(read(spark, path, level, box)), box)
 
 
+def read_block(spark: SparkSession, path: str, level: int, index: int, counts: Mapping[str, int]) -> DataFrame:
+    """The chunks of one index (x fastest) in a grid of so many chunks an axis: comparisons on the chunk numbers, which prune row groups."""
+    if not 0 <= index < counts["z"] * counts["y"] * counts["x"]:
+        raise ValueError(f"no chunk {index}")
+    at = {"cx": index % counts["x"], "cy": index // counts["x"] % counts["y"], "cz": index // (counts["x"] * counts["y"])}
+    chunks = read(spark, path, level)
+    for name, number in at.items():
+        chunks = chunks.where(F.col(name) == number)
+    return chunks
+
+
+def thumbnail(voxels: DataFrame, size: Mapping[str, int], most: int) -> DataFrame:
+    """The images' mean blocks in y and x, of one side such that neither axis keeps more than most."""
+    block = max(1, -(-max(size["y"], size["x"]) // most))
+    return block_downsample(voxels, {"y": block, "x": block}, "mean")
+
+
 def read_sequence(spark: SparkSession, paths: list[str], axis: str, fill: str = "min") -> DataFrame:
     """Images of several files one behind the other on an axis, in natural order of the names; smaller ones are padded with their own least (or greatest) value.
 
