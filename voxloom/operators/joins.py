@@ -145,9 +145,9 @@ def nearest_on_tree(points: DataFrame, key: str, tubes: DataFrame, cell: float,
         left = left.where("false")
     found = None
     while True:
-        near = tube_candidates(left, axes, cell, cell).withColumn("share", share)
+        near = tube_candidates(left, axes, cell, cell + 10.0**-digits).withColumn("share", share)
         near = near.withColumns({f"p{x}": F.col(f"a{x}") + F.col("share") * (F.col(f"b{x}") - F.col(f"a{x}")) for x in "xyz"})
-        near = near.withColumn("distance", geometry.distance(point(), point("p"))).where(F.col("distance") <= cell)
+        near = near.withColumn("distance", geometry.distance(point(), point("p"))).where(F.round("distance", digits) <= cell)
         best = near.groupBy("_key").agg(F.min(F.struct(F.round("distance", digits).alias("_d"), "id", "share", "distance", "px", "py", "pz")).alias("m"))
         done = written(best.select("_key", "m.id", "m.share", "m.distance", "m.px", "m.py", "m.pz"), "nearest")
         found = done if found is None else found.union(done)
@@ -181,7 +181,9 @@ def assign_to_branches(points: DataFrame, key: str, tubes: DataFrame, most: floa
     """key, id, distance: the tube nearest to each point by frustum distance, within most plus the point's radius (ties: the smallest id)."""
     own = points.select(F.col(key).alias("_key"), *"xyz", "radius")
     reach = most + max(points.agg(F.max("radius")).first()[0] or 0.0, 0.0)
-    near = tube_candidates(own, tubes.where("parent_id <> -1"), cell, reach).withColumn("distance", geometry.frustum_distance(point(), point("a"), point("b"), F.col("ar"), F.col("br")))
+    apart = geometry.frustum_distance(point(), point("a"), point("b"), F.col("ar"), F.col("br"))
+    near = tube_candidates(own, tubes.where("parent_id <> -1"), cell, reach)
+    near = near.select("_key", "id", "radius", F.explode(F.array(apart)).alias("distance"))  # as a plain column it would be worked out again in the join's condition
     cut = near.where(F.col("distance") < most + F.col("radius"))
     return cut.groupBy("_key").agg(F.min(F.struct("distance", "id")).alias("m"), F.count("*").alias("in_range")).select(F.col("_key").alias(key), "m.id", "m.distance", "in_range")
 

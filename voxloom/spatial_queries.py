@@ -118,10 +118,10 @@ AXIS = f"c AS (SELECT p.*, e.*, least(greatest({SHARE}, 0), 1) AS t FROM p CROSS
 SPOTS = f"p AS (SELECT DISTINCT x, y, z FROM (WITH {PTS} SELECT * FROM pts))"
 
 
-@query(f"WITH {TREE}, {TUBES}, {SPOTS}, {AXIS} SELECT x, y, z, arg_min(id, (round(d, 6), id)) AS id, round(min(d), 5) AS distance FROM d GROUP BY 1, 2, 3")
+@query(f"WITH {TREE}, {TUBES}, {SPOTS}, {AXIS} SELECT x, y, z, arg_min(id, (round(d, 6), id)) AS id, round(min(d), 4) AS distance FROM d GROUP BY 1, 2, 3")
 def j11_nearest_on_tree(spark, sf):
     out = joins.nearest_on_tree(spots(spark, sf), "key", joins.segments(mapping.tree(spark, sf)), 2.0)
-    return out.select("_key.*", "id", F.round("distance", 5).alias("distance"))
+    return out.select("_key.*", "id", F.round("distance", 4).alias("distance"))
 
 
 @query(f"WITH RECURSIVE {CHAIN}, {ALONG}, s AS (SELECT c.id, c.parent_id, c.x ax, c.y ay, c.z az, coalesce(p.x, c.x) bx, coalesce(p.y, c.y) AS \"by\", coalesce(p.z, c.z) bz FROM chain c LEFT JOIN chain p ON c.parent_id = p.id), p AS (SELECT s_suppkey AS key, CAST(s_acctbal / 20 AS DOUBLE) AS x, CAST(s_suppkey % 90 AS DOUBLE) AS y, CAST(s_nationkey % 9 AS DOUBLE) AS z FROM supplier), q AS (SELECT p.*, s.*, least(greatest({SHARE}, 0), 1) AS t FROM p CROSS JOIN s), d AS (SELECT *, sqrt((x-(ax+t*(bx-ax)))*(x-(ax+t*(bx-ax))) + (y-(ay+t*(\"by\"-ay)))*(y-(ay+t*(\"by\"-ay))) + (z-(az+t*(bz-az)))*(z-(az+t*(bz-az)))) AS d FROM q), m AS (SELECT key, arg_min(id, (round(d, 6), id)) AS id, arg_min(t, (round(d, 6), id)) AS t FROM d GROUP BY 1) SELECT m.key, b.id, b.branch_id, round(b.start - t * b.edge, 4) AS dist_to_branch_start, round(b.total - t * b.edge, 4) AS dist_to_root FROM m JOIN b ON b.id = m.id")
@@ -133,14 +133,15 @@ def t11_point_on_branch(spark, sf):
 
 
 SQUARE = "(x-ax)*(x-ax) + (y-ay)*(y-ay) + (z-az)*(z-az)"
-FRUSTUM = f"CASE WHEN s < 0 THEN sqrt({SQUARE}) - ar WHEN s > 1 THEN sqrt((x-bx)*(x-bx) + (y-\"by\")*(y-\"by\") + (z-bz)*(z-bz)) - br ELSE sqrt(greatest({SQUARE} - s * s * ((bx-ax)*(bx-ax) + (\"by\"-ay)*(\"by\"-ay) + (bz-az)*(bz-az)), 0)) - ((1 - s) * ar + s * br) END"
+AWAY, LENGTH = "((x-ax)*(bx-ax) + (y-ay)*(\"by\"-ay) + (z-az)*(bz-az))", "((bx-ax)*(bx-ax) + (\"by\"-ay)*(\"by\"-ay) + (bz-az)*(bz-az))"
+FRUSTUM = f"CASE WHEN s < 0 THEN sqrt({SQUARE}) - ar WHEN s > 1 THEN sqrt((x-bx)*(x-bx) + (y-\"by\")*(y-\"by\") + (z-bz)*(z-bz)) - br ELSE sqrt(greatest({SQUARE} - coalesce({AWAY} * {AWAY} / nullif({LENGTH}, 0), 0), 0)) - ((1 - s) * ar + s * br) END"
 
 
-@query(f"WITH {TREE}, {TUBES}, {SPOTS}, s AS (SELECT p.*, e.*, {SHARE} AS s FROM p CROSS JOIN e WHERE e.parent_id <> -1), d AS (SELECT *, {FRUSTUM} AS d FROM s) SELECT x, y, z, round(min(d), 5) AS distance, count(*) AS in_range FROM d WHERE d < 2.03 GROUP BY 1, 2, 3")
+@query(f"WITH {TREE}, {TUBES}, {SPOTS}, s AS (SELECT p.*, e.*, {SHARE} AS s FROM p CROSS JOIN e WHERE e.parent_id <> -1), d AS (SELECT *, {FRUSTUM} AS d FROM s) SELECT x, y, z, round(min(d), 4) AS distance, count(*) AS in_range FROM d WHERE d < 2.03 GROUP BY 1, 2, 3")
 def j07_assign_puncta(spark, sf):
     points = spots(spark, sf).withColumn("radius", F.lit(1.03))
     out = joins.assign_to_branches(points, "key", joins.segments(mapping.tree(spark, sf)), 1.0, 6.0)
-    return out.select("key.*", F.round("distance", 5).alias("distance"), "in_range")
+    return out.select("key.*", F.round("distance", 4).alias("distance"), "in_range")
 
 
 OTHER = SMALL.replace("tree AS", "other AS")
