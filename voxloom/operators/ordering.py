@@ -15,7 +15,7 @@ ROWS = 500_000
 
 def ranged(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     """rows, written, with _part: ascending ranges of the order. Rows that are equal in it share a range."""
-    parts = rows.count() // ROWS + 1
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS + 1)
     return written(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
 
 
