@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import conversations, decontaminate, licenses, order_minhash, packing, prob_minhash, quality, secrets, sharding, substrings, token_counts
+from voxloom.llm import collocations, conversations, decontaminate, licenses, order_minhash, packing, prob_minhash, quality, secrets, sharding, substrings, token_counts
 from voxloom.llm.common import documents, table, text_of
 
 
@@ -107,9 +107,42 @@ def op12_lattice_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_apriori_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), placed AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f FROM placed, range(1, 4) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f) AS n FROM grams WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 10
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, cut, x.f AS l, y.f AS r, (1000000 * c.a * c.a) // (x.f * y.f) AS score
+  FROM candidates c JOIN range(1, 3) t(cut) ON cut < c.k
+  JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ') JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), around AS (
+  SELECT lang, inner_phrase AS phrase, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS inner_phrase FROM candidates WHERE k = 3) GROUP BY ALL
+), kept AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase AND b.k = 2
+  WHERE o.a IS NULL OR 100 * o.a < 50 * b.a
+)
+SELECT k.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM kept k JOIN totals t ON t.lang = k.lang WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_prob_minhash_near_duplicates": OP4_SQL, "op10_rabin_karp_passages": OP10_SQL}
+    return {"op4_prob_minhash_near_duplicates": OP4_SQL, "op10_rabin_karp_passages": OP10_SQL, "op13_apriori_collocations": OP13_SQL}
