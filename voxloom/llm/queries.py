@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import collocations, conversations, decontaminate, licenses, order_minhash, packing, prob_minhash, quality, secrets, sharding, substrings, token_counts
+from voxloom.llm import collocations, conversations, decontaminate, licenses, order_minhash, packing, pages, prob_minhash, quality, secrets, sharding, substrings, token_counts
 from voxloom.llm.common import documents, table, text_of
 
 
@@ -103,6 +103,10 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
 """
 
 
+def op11_minimum_cut_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op12_lattice_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(table(spark, sf_dir, "conversations"))
 
