@@ -114,3 +114,22 @@ def test_odd_rows(odd, none):
     got = {x.doc_id: (x.unit_id, x.class_id) for x in out}
     assert got[1] == got[2] == (1, 1) and got[3] == got[4] == (3, 3) and got[5] == (5, 5) and got[None] == (None, None)
     assert p.near_duplicates(none).count() == 0
+
+
+def near(rng, text):
+    words = text.split()
+    words[rng.randrange(len(words))] = "changed"
+    return " ".join(words)
+
+
+def test_texts_under_one_doc_id_lose_no_link(spark):
+    rng = random.Random(5)
+    a, b, c = prose(rng, 120), prose(rng, 120), prose(rng, 120)
+    rows = [(1, a), (7, near(rng, a)), (7, b), (9, near(rng, b)), (7, b), (12, c), (None, near(rng, c)), (12, c), (None, a)]
+    for parts in (1, 5):
+        random.Random(parts).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted((str(x.doc_id), x.class_id) for x in p.near_duplicates(df).collect())
+        assert got == sorted([("1", 1), ("7", 1), ("7", 1), ("7", 1), ("9", 1), ("12", 12), ("12", 12), ("None", None), ("None", None)])
+    kept = sorted(((str(x.doc_id), x.text) for x in p.representatives(df).collect()))
+    assert kept == sorted([("1", a), ("7", b), ("12", c), *((str(i), t) for i, t in rows if i is None)])

@@ -12,7 +12,7 @@ the sets of shingles, computed exactly, is at least THRESHOLD; at plain 0.8 the
 registers a band and 32 bands such a pair is missed with probability 1.5e-6 at most (5e-8 where the weights are equal). Classes are the
 connected components of the links.
 
-Equal texts form one unit, whose smallest doc_id stands for it, so copies meet no band. Buckets of up to SMALL units are compared in full.
+Equal texts form one unit, so copies meet no band; a unit has a number of its own, as rows of different texts may share a doc_id. Buckets of up to SMALL units are compared in full.
 In a larger one each unit is compared with its centre, the unit that meets most others over all bands; a unit that this leaves outside
 the centre's class is compared with all other classes of its bucket, in blocks of bounded size whose members are told apart by long
 sketches of one bit a register first; a pair that shares several bands counts in the first. No bucket is dropped or cut, none is gathered
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import arrow, documents, looked_up, written
+from voxloom.llm.common import arrow, documents, looked_up, text_of, written
 from voxloom.llm.hashing import BASES, mixed, rolling, word_hashes, words_of
 from voxloom.operators.graph import components
 
@@ -101,7 +101,7 @@ def signed(texts: list[str], words: int = WORDS, weight: str = "root") -> tuple[
 
 
 def sign(docs: DataFrame, words: int = WORDS, weight: str = "root") -> DataFrame:
-    """doc_id, unit (hash of the text), size (distinct shingles) and the signature's bands of every document; none where a text has no words."""
+    """doc_id, unit (hash of the text, in docs), size (distinct shingles) and the signature's bands of every document; none where a text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,18 +118,18 @@ def sign(docs: DataFrame, words: int = WORDS, weight: str = "root") -> DataFrame
                 rows = [(ids[a + k], units[a + k], sizes[k], keys[k] if sizes[k] else None) for k in range(b - a)]
                 yield arrow(rows, [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())], ["doc_id", "unit", "size", "bands"])
 
-    return docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("unit"), "text").mapInArrow(run, "doc_id long, unit binary, size long, bands array<long>")
+    return docs.select("doc_id", "unit", "text").mapInArrow(run, "doc_id long, unit binary, size long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, shingles (array<long>) of each row."""
+    """id, shingles (array<long>) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, shingles(text, words)[0].view(np.int64)) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield arrow(rows, [pa.int64(), pa.list_(pa.int64())], ["doc_id", "shingles"])
+            yield arrow(rows, [pa.int64(), pa.list_(pa.int64())], ["id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
 def alike(a: Column, b: Column, threshold: float) -> Column:
@@ -139,7 +139,7 @@ def alike(a: Column, b: Column, threshold: float) -> Column:
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """a, b, similarity of the pairs (a, b) whose sets of shingles have at least that Jaccard similarity."""
-    both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b")
+    both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
     shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
     return shared.select("a", "b", (F.col("shared") / (F.col("n") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
@@ -168,7 +168,7 @@ def sketches(sets: DataFrame) -> DataFrame:
                 bits = np.packbits((mixed(who) & np.uint64(1)).astype(bool), axis=1)
                 yield arrow([(i, row.tobytes()) for i, row in zip(ids[a : a + 64], bits, strict=True)], [pa.int64(), pa.binary()], ["id", "sketch"])
 
-    return sets.select("doc_id", "shingles").mapInArrow(run, "id long, sketch binary")
+    return sets.select("id", "shingles").mapInArrow(run, "id long, sketch binary")
 
 
 def later_pairs(members: DataFrame, labels: DataFrame, bands: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -177,7 +177,7 @@ def later_pairs(members: DataFrame, labels: DataFrame, bands: DataFrame, sets: D
     classes = large.groupBy("key", "own").agg(F.count("*").alias("m"))
     mixed_buckets = classes.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("m", "own"))["own"].alias("main")).where("classes > 1").drop("classes")
     rows = written(large.join(mixed_buckets, "key").withColumn("outside", F.col("own") != F.col("main")), "mixed")
-    marks = written(sketches(sets.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")).join(bands, "id"), "sketches")
+    marks = written(sketches(sets.join(rows.select("id").distinct(), "id", "left_semi")).join(bands, "id"), "sketches")
     # units get a block by their place within one of 64 parts of their bucket, so that numbering a large bucket is no single task either
     order = Window.partitionBy("key", "outside", "part").orderBy("id")
     blocked = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("block", F.floor((F.row_number().over(order) - 1) / F.greatest(F.lit(1), F.lit(BLOCK // 64))))
@@ -202,26 +202,52 @@ def later_pairs(members: DataFrame, labels: DataFrame, bands: DataFrame, sets: D
     return left.groupBy("key", "i", "j").cogroup(right.groupBy("key2", "i2", "j2")).applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, weight: str = "root") -> DataFrame:
-    """doc_id, unit_id (the smallest doc_id with the same text) and class_id (the smallest doc_id of the class) of every row.
+def text_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, weight: str = "root") -> DataFrame:
+    """A row per row of docs: doc_id, unit (hash of the text), id (number of the unit), unit_id (the smallest doc_id with that text), label (the smallest id of the unit's class).
 
-    Rows that share a doc_id are units by their texts, and their classes are one. A row without doc_id takes no part: unit_id and class_id are null.
+    Classes are of texts alone, whatever doc_ids they share. A text that only rows without doc_id have takes no part: its id, unit_id and label are null.
     """
-    docs = documents(docs)
+    docs = documents(docs).withColumn("unit", F.unhex(F.sha2("text", 256)))
     marks = written(sign(docs, words, weight), "signatures")
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "size", "bands"))).alias("least")
-    units = written(marks.groupBy("unit").agg(least, F.count("*").alias("n")).select("unit", "n", "least.*").withColumnRenamed("doc_id", "unit_id"), "distinct")
-    owners = units.where("bands IS NOT NULL").select(F.col("unit_id").alias("doc_id"), "size", "bands")
-    banded = owners.select(F.col("doc_id").alias("id"), "size", F.explode("bands").alias("key")).dropDuplicates(["id", "key"])
+    units = marks.groupBy("unit").agg(least, F.count("*").alias("n")).select("unit", "n", "least.*").withColumnRenamed("doc_id", "unit_id")
+    units = written(units.withColumn("id", F.when(F.col("unit_id").isNotNull(), F.monotonically_increasing_id())), "distinct")  # numbered as written
+    owners = units.where("bands IS NOT NULL").select("id", "size", "bands")
+    banded = owners.select("id", "size", F.explode(F.array_distinct("bands")).alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(banded.join(shared, "key"), "members")
-    chosen = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.join(chosen, "doc_id"), words).dropDuplicates(["doc_id"]), "sets")
+    chosen = units.join(members.select("id").distinct(), "id").select("unit", F.col("unit_id").alias("doc_id"), "id")
+    sets = written(shingle_sets(docs.join(chosen, ["unit", "doc_id"]), words).dropDuplicates(["id"]), "sets")
     links = written(verified(first_pairs(members, threshold), sets, threshold), "links")
     labels = written(components(links), "labels")
-    more = verified(later_pairs(members, labels, owners.select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]), sets, threshold), sets, threshold)
+    more = verified(later_pairs(members, labels, owners.select("id", "bands"), sets, threshold), sets, threshold)
     labels = components(links.union(more).select("a", "b"))
-    classes = units.select("unit", "n", "unit_id").join(labels.withColumnRenamed("id", "unit_id"), "unit_id", "left")
-    rows = looked_up(marks.select("doc_id", "unit"), written(classes.select("unit", "n", "unit_id", F.coalesce("label", "unit_id").alias("class_id")), "classes"), ["unit"])
-    own = F.col("doc_id").isNotNull()
-    return rows.select("doc_id", F.when(own, F.col("unit_id")).alias("unit_id"), F.when(own, F.col("class_id")).alias("class_id"))
+    classes = units.select("unit", "n", "id", "unit_id").join(labels, "id", "left").select("unit", "n", "id", "unit_id", F.coalesce("label", "id").alias("label"))
+    return looked_up(marks.select("doc_id", "unit"), written(classes, "classes"), ["unit"])
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, weight: str = "root") -> DataFrame:
+    """doc_id, unit_id (the smallest doc_id with the same text) and class_id (the smallest doc_id of the class) of every row.
+
+    Rows that share a doc_id are units by their texts, and their classes are one. A row without doc_id takes no part: unit_id and class_id are null.
+    """
+    rows = written(text_classes(docs, words, threshold, weight), "rows")
+    own = rows.where("doc_id IS NOT NULL")
+    tied = own.groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("doc_id", "a")  # several classes under one doc_id
+    ties = own.join(tied, "doc_id").where("label > a").select("a", F.col("label").alias("b")).distinct()
+    joined = components(ties).select(F.col("id").alias("label"), F.col("label").alias("class"))
+    numbers = own.groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(joined, "label", "left").withColumn("class", F.coalesce("class", "label"))
+    numbers = written(numbers, "numbers")
+    firsts = numbers.groupBy("class").agg(F.min("least").alias("class_id"))
+    out = looked_up(rows, written(numbers.join(firsts, "class").select("label", "n", "class_id"), "firsts"), ["label"])
+    named = F.col("doc_id").isNotNull()
+    return out.select("doc_id", F.when(named, F.col("unit_id")).alias("unit_id"), F.when(named, F.col("class_id")).alias("class_id"))
+
+
+def representatives(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are left when each class of texts keeps one: a row of its smallest doc_id (ties: the smallest hash of the text). Rows without doc_id stay."""
+    rows = text_classes(docs, words, threshold).where("doc_id IS NOT NULL")
+    kept = rows.groupBy("label").agg(F.min(F.struct("doc_id", "unit")).alias("k")).select(F.col("k.doc_id").alias("_doc_id"), F.col("k.unit").alias("_unit"))
+    marked = docs.withColumns({"_doc_id": F.col("doc_id").cast("long"), "_unit": F.unhex(F.sha2(text_of(docs), 256))})
+    chosen = marked.join(written(kept, "kept"), ["_doc_id", "_unit"], "left_semi").dropDuplicates(["_doc_id", "_unit"])
+    return chosen.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
