@@ -6,7 +6,7 @@ last return those columns. Rows without a doc_id pass through all stages; a null
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm import decontaminate, packing, prob_minhash, quality, secrets
@@ -24,13 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each class of near copies; one row of those that share it."""
-    classes = prob_minhash.near_duplicates(docs)
-    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    chosen = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("text")
-    chosen = chosen.withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row")
-    return chosen.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each class of near copies, that of the smallest doc_id. Texts are judged, not ids: different texts under one doc_id all stay."""
+    return prob_minhash.representatives(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
