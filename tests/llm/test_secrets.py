@@ -83,6 +83,68 @@ def test_keys_joined_to_a_base_span_are_masked():
     assert secrets.uncovered(2, 20, [(0, 4, 0), (6, 9, 1), (8, 12, 2), (30, 40, 0)]) == [(4, 6), (12, 20)]
 
 
+def test_keys_behind_names_and_paths_are_masked():
+    """Every pair of joiners, before and after the key, and keys that hold joiners of their own alphabet."""
+    rng = random.Random(8)
+    least = np.full((len(secrets.ALPHABETS), len(secrets.LENGTHS)), secrets.PRIOR)
+    seen = 0
+    for name in ("base62", "base64", "base64url", "base36"):
+        for _ in range(15):
+            key = "".join(rng.choices(secrets.ALPHABETS[name], k=40)).strip("+/_-")
+            if secrets.randomness(key, name) < 0.2:
+                continue
+            for one in "+/_-":
+                for two in "+/_-":
+                    text = f"in my{one}app{two}{key}{one}v2 here"
+                    if name in ("base62", "base36"):
+                        assert key not in secrets.redacted(text, secrets.spans_of(text, least), "*"), text
+                        seen += 1
+            if name == "base64":  # the joiners of the other alphabet
+                text = f"prod_db-{key}_x here"
+                assert key not in secrets.redacted(text, secrets.spans_of(text, least), "*"), text
+            if name == "base64url":
+                text = f"prod/db+{key}/x here"
+                assert key not in secrets.redacted(text, secrets.spans_of(text, least), "*"), text
+    assert seen > 200
+    for text in ("my_app/" + "kT9" * 3, "x" * 40 + "_-_" + "y" * 40):
+        assert secrets.spans_of(text, least) == []
+
+
+def test_fewer_tokens_never_loosen_a_threshold():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        n = rng.poisson(rng.choice([0, 1, 5, 50]), secrets.BINS) + 0.0
+        n[: rng.integers(1, 30)] += rng.choice([0, 3, 100])
+        found = [float(secrets.thresholds_of((n * c)[None])[0]) for c in (1e-3, 0.01, 0.1, 0.3, 1, 3, 10, 100)]
+        assert found == sorted(found, reverse=True), (n, found)
+    none, low, high = np.zeros(secrets.BINS), np.zeros(secrets.BINS), np.zeros(secrets.BINS)
+    low[1], high[40] = 2, 1
+    assert [secrets.thresholds_of(x[None])[0] >= secrets.PRIOR for x in (none, low, high)] == [True] * 3
+    low[8] = 2  # at p = 0.16, above the prior, and nothing random beside it
+    assert secrets.thresholds_of(low[None])[0] > 0.16
+
+
+def test_false_discoveries_of_a_seeded_corpus(spark):
+    """Random keys among paths, identifiers and names with numbers, alone and joined; what is flagged beyond the keys."""
+    rng = random.Random(10)
+    words = "get application context from request handler user local library python package module version config default service account manager internal external session".split()
+    name = lambda: rng.choice(["_", "-", "/", ""]).join(rng.choice([str.lower, str.capitalize])(w) for w in rng.choices(words, k=rng.randint(3, 6))) + str(rng.randint(0, 99))
+    rows, planted = [], 0
+    for i in range(1500):
+        text = f"{name()} and {name()}"
+        if i % 5 == 0:
+            key = "".join(rng.choices(secrets.ALPHABETS[rng.choice(["base62", "base36"])], k=rng.choice([24, 40])))
+            planted += 1
+            text = f"{text} use {rng.choice(['', 'srv/', 'my_app/'])}<{key}>".replace("<", "").replace(">", "") + " now"
+            rows.append((i, text, key))
+        else:
+            rows.append((i, text, None))
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, key string")).collect()
+    spans = [(x, *map(int, s.split(":")[1:])) for x in got for s in x.spans.split(",") if s]
+    true = sum(bool(x.key) and x.key in x.text[a:b] for x, a, b in spans)
+    assert true > 0.8 * planted and len(spans) - true <= 2 * secrets.FDR * len(spans), (planted, true, len(spans))
+
+
 def test_odd_rows(odd, none):
     rows = secrets.scan(odd, mask="*").collect()
     assert len(rows) == 9 and {x.spans for x in rows if x.doc_id in (1, 2, 5)} == {""}

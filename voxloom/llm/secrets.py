@@ -1,15 +1,17 @@
 """Secret scan: three fixed patterns, and a battery of randomness tests over every other long token.
 
-A candidate is a maximal run of at least SHORTEST characters of the base64 and URL alphabets that mixes letters with digits or cases; of a
-run that a pattern covers in part, also each piece that no pattern covers, so that a key joined to another secret is judged alone. Its
-encoding is inferred from its characters. Were it drawn uniformly from that alphabet, three statistics would have known laws: the counts
+A candidate is a maximal run of at least SHORTEST characters of the base64 and URL alphabets that mixes letters with digits or cases; also
+each piece of a run that no pattern covers, and each piece between joiners, be they those of one alphabet (`_` and `-`, or `+` and `/`) or all,
+so that a key joined to a path, a name or another secret is judged alone. Its encoding is inferred from its characters. Were it drawn uniformly from that alphabet, three statistics would have known laws: the counts
 of groups of the alphabet (chi-squared), the runs above and below the alphabet's middle (Wald-Wolfowitz) and the lag-one serial
 correlation. Fisher's method joins the three p-values. Random keys spread evenly over (0, 1); words, paths and names crowd near 0.
 
 What is flagged is what passes a threshold, and the threshold controls false discoveries: per encoding and class of length, the
-candidates of the whole corpus with a p-value over one half tell how many truly random ones there are, and the smallest threshold is
-taken whose excess over their share stays within FDR. Short tokens carry less evidence, and so their classes get stricter thresholds.
-Only those counts (encodings x lengths x BINS) reach the driver.
+candidates of the whole corpus with a p-value over one half tell how many truly random ones there are, and what passes beyond their share is
+false. A threshold lower than PRIOR is taken only where a lower bound on their number keeps the false within FDR; otherwise PRIOR holds, or
+what is higher and needed for FDR by the plain estimate. So with less evidence a threshold is never looser: with none it is PRIOR, by which
+nine random keys of ten are flagged. Short tokens carry less evidence, and so their classes get stricter thresholds. Only those counts
+(encodings x lengths x BINS) reach the driver.
 
 Defined cases: a null or empty text has no spans; equal texts have equal spans; offsets are code points, end exclusive; texts are scanned
 whole; an empty table gives no rows and the thresholds of no evidence; columns of the names added are replaced.
@@ -22,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, takewhile
 
 import numpy as np
 import pandas as pd
@@ -40,8 +43,10 @@ KINDS = ("assign", "access", "hex", "random")
 
 SHORTEST = 16
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}" % SHORTEST)
-#: Bins of the p-value, false discoveries allowed among the flagged, and the least threshold.
-BINS, FDR, LEAST = 50, 0.05, 0.02
+#: What joins names: all of it, and what is no character of the other alphabet.
+JOINERS = (re.compile(r"[^_-]+"), re.compile(r"[^+/]+"), re.compile(r"[^+/_-]+"))
+#: Bins of the p-value, false discoveries allowed among the flagged, the least threshold, and the threshold without evidence.
+BINS, FDR, LEAST, PRIOR = 50, 0.05, 0.02, 0.1
 #: Classes of length begin here.
 LENGTHS = (16, 20, 24, 32, 40, 64, 128)
 
@@ -120,17 +125,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + [(*m.span(), 2) for m in HEX.finditer(text)]
 
 
-def candidates(text: str) -> list[tuple[int, int, int, int, float]]:
-    """(start, end, encoding, class of length, p) of every token that the battery can judge; a whole token before its pieces."""
+def candidates(text: str) -> list[tuple[int, int, int, int, float, int]]:
+    """(start, end, encoding, class of length, p, start of the run) of every token that the battery can judge; a token before its pieces."""
     out = []
     runs = [m.span() for m in TOKEN.finditer(text)]
     base = base_spans(text) if runs else []
     for a, b in runs:
-        for x, y in dict.fromkeys([(a, b), *uncovered(a, b, base)]):
+        wide = [(a, b), *uncovered(a, b, base)]
+        pieces = [(x + m.start(), x + m.end()) for x, y in wide for joiners in JOINERS for m in joiners.finditer(text[x:y])]
+        for x, y in dict.fromkeys(wide + pieces):
             token = text[a:b] if (x, y) == (a, b) else text[x:y].strip("+/_-")  # what joins a piece to the next is no part of a key
             if len(token) >= SHORTEST and (encoding := inferred(token)):
                 length = int(np.searchsorted(LENGTHS, len(token), side="right")) - 1
-                out.append((x, y, list(ALPHABETS).index(encoding), length, randomness(token, encoding)))
+                out.append((x, y, list(ALPHABETS).index(encoding), length, randomness(token, encoding), a))
     return out
 
 
@@ -144,18 +151,22 @@ def uncovered(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[in
     return [(x, y) for x, y in [*out, (a, b)] if x < y]
 
 
+def least_allowed(n: np.ndarray, random: float, nothing: float) -> float:
+    """The least threshold over which at most FDR of what passes is beyond the share of so many random tokens; 1 if none is. nothing: that share where nothing passes."""
+    passing, edges = n[::-1].cumsum()[::-1], np.arange(BINS) / BINS
+    false = np.where(passing > 0, np.maximum(0, passing - random * (1 - edges)) / np.maximum(passing, 1e-9), nothing)
+    allowed = np.flatnonzero((false <= FDR) & (edges >= LEAST))
+    return float(edges[allowed[0]]) if len(allowed) else 1.0
+
+
 def thresholds_of(counts: np.ndarray) -> np.ndarray:
     """Least p-value that is flagged, from counts by bin of the p-value (ascending); last axis: bins."""
     out = np.empty(counts.shape[:-1])
     for at in np.ndindex(*out.shape):
         n = counts[at].astype(float)
-        random = 2 * n[BINS // 2 :].sum()
-        random += 2 * math.sqrt(random + 1)  # upper bound: few candidates say little
-        passing = n[::-1].cumsum()[::-1]
-        edges = np.arange(BINS) / BINS
-        false = np.maximum(0, passing - random * (1 - edges)) / np.maximum(passing, 1)
-        allowed = np.flatnonzero((false <= FDR) & (edges >= LEAST))
-        out[at] = edges[allowed[0]] if len(allowed) else 1.0
+        high = n[BINS // 2 :].sum()
+        sure = least_allowed(n, 2 * max(0.0, high - math.sqrt(high)), 1.0)
+        out[at] = sure if sure < PRIOR else max(PRIOR, least_allowed(n, 2 * high, 0.0))
     return out
 
 
@@ -164,7 +175,7 @@ def thresholds(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = {(e, k, min(BINS - 1, int(p * BINS)), hashlib.blake2b(text[a:b].encode(), digest_size=12).digest()) for text in batch["text"] for a, b, e, k, p in candidates(text)}
+            rows = {(e, k, min(BINS - 1, int(p * BINS)), hashlib.blake2b(text[a:b].encode(), digest_size=12).digest()) for text in batch["text"] for a, b, e, k, p, _ in candidates(text)}
             yield pd.DataFrame(sorted(rows), columns=["encoding", "length", "bin", "token"]).astype({x: "int64" for x in ("encoding", "length", "bin")})
 
     counts = np.zeros((len(ALPHABETS), len(LENGTHS), BINS))
@@ -175,11 +186,12 @@ def thresholds(docs: DataFrame) -> np.ndarray:
 
 
 def spans_of(text: str, least: np.ndarray) -> list[tuple[int, int, int]]:
-    """All spans (start, end, kind) by start and kind; a random token inside a base span is that span, a piece inside a random token that token."""
+    """All spans (start, end, kind) by start and kind; a random token inside a base span is that span, a piece inside random tokens is those."""
     base = base_spans(text)
     more: list[tuple[int, int, int]] = []
-    for a, b, e, k, p in candidates(text):
-        if p >= least[e, k] and not any(x <= a and b <= y for x, y, _ in base + more[-1:]):
+    for a, b, e, k, p, run in candidates(text):
+        own = takewhile(lambda x: x[0] >= run, reversed(more))  # noqa: B023: tokens of this run
+        if p >= least[e, k] and not any(x <= a and b <= y for x, y, _ in chain(base, own)):
             more.append((a, b, 3))
     return sorted(base + more, key=lambda x: (x[0], x[2], x[1]))
 
