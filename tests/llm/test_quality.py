@@ -1,4 +1,7 @@
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -128,6 +131,43 @@ def test_the_sample_is_bounded_by_rows_and_characters(spark, monkeypatch):
     assert 5 < len(seen[0]) and sum(map(len, seen[0])) <= 900 and max(map(len, seen[0])) <= 100 and len(seen[1]) == 5
 
 
+def test_pieces_of_a_long_text_score_as_the_whole(monkeypatch):
+    rng = np.random.default_rng(9)
+    words = ["word", "Other", "12", "!!", "#a|b", "Ä", "x.", ""]
+    text = "\n".join(" ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(3000))
+    field = quality.Field(rng.normal(size=quality.FEATURES), 1 + rng.random(quality.FEATURES), rng.normal(size=3 * quality.FEATURES + 1), rng.normal(size=(2, 2)), 0.7, 0.1)
+    want = {t: quality.score(field, [t])[0] for t in (text, text.replace("\n", " "), "\n" * 2999, "a\n")}
+    whole = quality.line_features([text])
+    monkeypatch.setattr(quality, "BLOCK_LINES", 170)
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 3000)
+    monkeypatch.setattr(quality, "PAIR_LINES", 40)
+    monkeypatch.setattr(quality, "PAIR_BYTES", 110)
+    x, sizes = zip(*quality.line_pieces(text.encode()), strict=True)
+    assert len(x) >= 18 and np.concatenate(x) == pytest.approx(whole[0]) and (np.concatenate(sizes) == whole[1]).all()
+    for t, score in want.items():
+        assert quality.score(field, [t])[0] == pytest.approx(score, abs=1e-9)
+    good, between = 5 * rng.normal(size=1000), rng.normal(size=(2, 2))
+    for n in (1, 2, 170, 171, 172, 341, 1000):
+        assert quality.long_marginals(good[:n], between) == pytest.approx(quality.marginals(good[:n], np.array([n]), between)[0], abs=1e-9)
+    assert [len(b) for b in quality.blocks(["a\n" * 100] * 3 + ["b" * 2000] * 2 + ["\n" * 500])] == [1, 1, 2, 1, 1]
+
+
+def test_millions_of_lines_fit_in_memory():
+    code = """
+import resource
+import numpy as np
+from voxloom.llm import quality
+field = quality.Field(np.zeros(quality.FEATURES), np.ones(quality.FEATURES), np.full(3 * quality.FEATURES + 1, 0.01), np.zeros((2, 2)), 1.0, 0.0)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for text in ("\\n" * 5_000_000, "a\\n" * 2_000_000, "word " * 2_000_000):
+    assert 0 < quality.score(field, [text])[0] < 1
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, cwd=Path(__file__).parents[2])
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 800_000  # kilobytes
+
+
 def test_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, 1, 0), (5, 0, 0), (4, None, None), (None, 1, 0), (6, 0, 1), (5, 0, 0)], "doc_id long, quality int, toxic int")
     out = quality.classify(odd, labels).collect()
