@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from voxloom.llm import queries, sharding
+from voxloom.llm.common import written
 
 
 def test_sizes_slots_and_determinism(spark, sf_dir):
@@ -49,6 +50,25 @@ def test_large_populations_have_the_same_law(monkeypatch):
     assert abs(np.mean(mine) - np.mean(theirs)) < 0.5 and abs(np.std(mine) - np.std(theirs)) < 0.3
 
 
+def test_rows_without_ids_spread_and_are_dealt_alike_again(spark, monkeypatch):
+    """Half of all rows lack an id; some are equal in all columns. Partitions stay even, and a second computation from other partitions deals each row to its place."""
+    rows = spark.range(20_000).selectExpr("if(id < 10000, null, id) AS doc_id", "16 + if(id < 3000, 1, id % 997) AS size", "if(id < 3000, 7, id * 31) AS text_crc32")
+    keys = ["doc_id", "size", "text_crc32"]
+    seen = []
+    monkeypatch.setattr(sharding, "written", lambda df, name: seen.append((name, written(df, name))) or seen[-1][1])
+    out = [sharding.shuffle_into_shards(rows.repartition(n), keys, shards=7, seed=3).toPandas() for n in (3, 8)]
+    apart = next(df for name, df in seen if name == "told-apart")
+    assert apart.select(*keys, "_copy").distinct().count() == 20_000 and apart.where("_copy > 0").count() == 3000
+    of = [c for k in [*keys, "_copy"] for c in (F.col(k).isNull(), F.col(k))]
+    counts = apart.groupBy(F.pmod(sharding.random_key(3, 0, of), F.lit(8))).count().toPandas()["count"]
+    assert len(counts) == 8 and counts.max() < 1.1 * counts.min()
+    first, again = (x.sort_values([*keys, "shard", "slot"]).fillna(-1).values.tolist() for x in out)
+    assert first == again
+    for x in out:
+        sizes = x.groupby("shard").size()
+        assert sizes.max() - sizes.min() <= 1 and all(sorted(g.slot) == list(range(len(g))) for _, g in x.groupby("shard"))
+
+
 def test_odd_rows(odd, none):
     out = sharding.shuffle_into_shards(odd, ["doc_id"], shards=4)
     assert sorted(x["count"] for x in out.groupBy("shard").count().collect()) == [2, 2, 2, 3]

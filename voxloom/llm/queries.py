@@ -56,7 +56,7 @@ SELECT d.doc_id, u.unit_id, c.class_id FROM documents d JOIN units u ON u.text =
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(table(spark, sf_dir, "documents"))
     rows = docs.select("doc_id", (F.octet_length("text") + 16).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    dealt = sharding.shuffle_into_shards(rows, ["doc_id"], shards=40, seed=20)
+    dealt = sharding.shuffle_into_shards(rows, ["doc_id", "size", "text_crc32"], shards=40, seed=20)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -9,10 +9,12 @@ Two things keep this parallel at any size. The matrix is never built in one plac
 over the partitions, where each node's draw is seeded by the node, so all tasks that pass it draw the same. And shards consist of cells of
 known size, which are dealt to and permuted on their own, so that no task holds a whole shard; a cell's first slot follows from its number.
 
-Keys and seeds alone decide the result: a lost task is computed again to the same rows.
+Keys and seeds alone decide the result. Rows of equal keys are told apart by an occurrence number, given out once: rows are written with a
+number each, and those whose keys repeat are counted through in that order, by ranges, so that a third of all rows may share their keys. A
+lost task reads what was written and deals the same rows to the same cells.
 
-Defined cases: null keys and repeated rows are rows like any other (equal rows lie in places of their own, in no defined order among
-themselves); fewer rows than shards leave shards empty; an empty table gives no rows; columns of the names added are replaced.
+Defined cases: null keys and repeated rows are rows like any other (rows of equal keys lie in places of their own, which of them where is
+decided by the order in which they were first read); fewer rows than shards leave shards empty; an empty table gives no rows; columns of the names added are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxloom.llm.common import looked_up, written
+from voxloom.operators.ordering import numbered
+
 #: Rows that a partition and a cell aim at, and the most of either: the driver keeps a number per partition, each task one per cell.
 PARTITION_ROWS, CELL_ROWS, MOST_PARTITIONS, MOST_CELLS = 4000, 2000, 16_384, 65_536
 #: Populations from here on are beyond NumPy's sampler.
@@ -75,10 +80,25 @@ def random_key(seed: int, salt: int, keys: list[Column]) -> Column:
     return F.xxhash64(F.lit(seed * 16 + salt), *keys)
 
 
+def told_apart(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows, written, with _copy: 0, or for rows of equal keys their occurrence number from 1."""
+    of = [c for k in keys for c in (F.col(k).isNull(), F.col(k))]
+    own = written(rows.withColumns({"_same": F.xxhash64(*of), "_row": F.monotonically_increasing_id()}), "rows")
+    repeated = written(own.groupBy("_same").agg(F.count("*").alias("n")).where("n > 1").withColumn("_repeated", F.lit(True)), "repeated")
+    if repeated.isEmpty():
+        return own.withColumn("_copy", F.lit(0).cast("long")).drop("_same", "_row")
+    marked = looked_up(own.select("_same", "_row"), repeated, ["_same"]).where("_repeated").drop("_repeated")
+    placed = written(numbered(marked, [F.col("_same"), F.col("_row")], "_place"), "places")
+    firsts = written(placed.groupBy("_same").agg(F.min("_place").alias("_first"), F.count("*").alias("n")), "firsts")
+    copies = looked_up(placed, firsts, ["_same"]).select("_row", (F.col("_place") - F.col("_first") + 1).alias("_copy"))
+    return own.join(copies, "_row", "left").withColumn("_copy", F.coalesce("_copy", F.lit(0))).drop("_same", "_row")
+
+
 def shuffle_into_shards(rows: DataFrame, keys: list[str], shards: int = 40, seed: int = 0) -> DataFrame:
     """rows with shard (0 to shards - 1) and slot (place in the shard, gapless from 0). keys name the columns that tell rows apart."""
-    rows = rows.drop("shard", "slot")
-    of = [rows[k] for k in keys]
+    rows = written(told_apart(rows.drop("shard", "slot"), keys), "told-apart")
+    keys = [*keys, "_copy"]
+    of = [c for k in keys for c in (rows[k].isNull(), rows[k])]
     total = rows.count()
     partitions = int(min(MOST_PARTITIONS, max(8, total // PARTITION_ROWS)))
     per_shard = int(max(1, min(MOST_CELLS // shards, total // (shards * CELL_ROWS))))
@@ -87,7 +107,7 @@ def shuffle_into_shards(rows: DataFrame, keys: list[str], shards: int = 40, seed
     for p, n in rows.groupBy(part.alias("part")).count().collect():  # at most MOST_PARTITIONS numbers
         counts[p] = n
     room = np.concatenate([shard_sizes(int(n), per_shard) for n in shard_sizes(total, shards)]).astype(np.int64)
-    dealt = rows.withColumns({"_part": part, "_key": random_key(seed, 1, of)}).repartition(partitions, "_part").sortWithinPartitions("_part", "_key")
+    dealt = rows.withColumns({"_part": part, "_key": random_key(seed, 1, of)}).repartition(partitions, "_part").sortWithinPartitions("_part", "_key", *keys)
     schema = dealt.drop("_key").schema.add("_cell", T.IntegerType())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,10 +129,10 @@ def shuffle_into_shards(rows: DataFrame, keys: list[str], shards: int = 40, seed
     size = F.lit(total // shards) + (F.col("shard") < total % shards).cast("long")
     cell = F.col("_cell") % per_shard
     first = cell * F.expr(f"_size div {per_shard}") + F.least(cell, F.col("_size") % per_shard)
-    order = Window.partitionBy("_cell").orderBy(random_key(seed, 2, [F.col(k) for k in keys]), *keys)
+    order = Window.partitionBy("_cell").orderBy(random_key(seed, 2, [c for k in keys for c in (F.col(k).isNull(), F.col(k))]), *keys)
     return (
         out.withColumn("shard", F.expr(f"_cell div {per_shard}").cast("int"))
         .withColumn("_size", size)
         .withColumn("slot", (first + F.row_number().over(order) - 1).cast("long"))
-        .drop("_cell", "_size", "_part")
+        .drop("_cell", "_size", "_part", "_copy")
     )
