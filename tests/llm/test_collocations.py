@@ -58,7 +58,8 @@ def test_equals_plain_count_and_sql(spark, monkeypatch):
     with duckdb.connect() as db:
         documents = df.select("text", "lang").toPandas()  # noqa: F841
         assert sorted(db.execute(f"SELECT {', '.join(COLUMNS)} FROM ({OP13_SQL})").fetchall()) == want
-    monkeypatch.setattr(C, "BLOCK", 50)  # texts in many overlapping blocks
+    monkeypatch.setattr(C, "PIECE", 50)  # texts in many overlapping pieces and blocks
+    monkeypatch.setattr(C, "TOKENS", 30)
     monkeypatch.setattr(C, "BITMAP_BITS", 64)
     assert found(df) == want
 
@@ -69,28 +70,33 @@ def test_other_lengths_and_limits(spark, longest):
     assert found(frame(spark, rows), least=3, longest=longest, top=25) == plain(rows, 3, longest, 25)
 
 
-def test_blocks_of_a_text_count_each_phrase_once():
+def test_blocks_of_a_text_count_each_phrase_once(monkeypatch):
     rng = random.Random(3)
     text = "".join(rng.choice("ab. \t") for _ in range(3000)).encode()
-    whole = C.tokens_of(text)
     every = C.Bitmap.__new__(C.Bitmap)
     every.holds = lambda h: h == h
-    for k in (1, 2, 3):
-        want, got = Counter(), Counter()
-        for p, n in C.count_phrases("", whole, k, [every] * 2):
-            want[p] += n
-        for own in C.pieces_of(text, k, 40):
-            for p, n in C.count_phrases("", own, k, [every] * 2):
-                got[p] += n
-        assert got == want
 
+    def counts(pieces, k):
+        block = C.Block()
+        for tokens in pieces:
+            block.add(tokens)
+        out = Counter()
+        for phrases, n in C.count_phrases("", block, k, [every] * 3):
+            for p, x in zip(phrases.to_pylist(), n.tolist(), strict=True):
+                out[p] += x
+        return out
+
+    monkeypatch.setattr(C, "PIECE", 40)
+    for k in (1, 2, 3, 4):
+        assert counts(C.pieces_of(text, k), k) == counts([C.tokens_of(text)], k) != {}
+    words = [str(i).encode() for i in range(50_000)] * 2  # four numbers of so many words pass 64 bits
+    got = counts([words], 4)
+    assert len(got) == 50_000 and got[b"0 1 2 3"] == 2 and got[b"49999 0 1 2"] == 1 and sum(got.values()) == 99_997
 
-def test_bitmap_holds_every_phrase(spark):
-    level = spark.createDataFrame([("en", f"w{i}", 1) for i in range(3000)], C.LEVEL)
-    import numpy as np
 
-    own = np.array([C.hash_of("en", f"w{i}".encode()) for i in range(3000)], dtype=np.uint64)
-    other = np.array([C.hash_of("de", f"w{i}".encode()) for i in range(3000)], dtype=np.uint64)
+def test_bitmap_holds_every_phrase(spark):
+    level = spark.createDataFrame([("en", f"w{i} x", 1) for i in range(3000)], C.LEVEL)
+    own, other = (C.phrase_hashes(lang, [f"w{i} x".encode() for i in range(3000)]) for lang in ("en", "de"))
     for bits in (64, 1 << 20):
         held = C.bitmap(level, bits)
         assert held.size <= bits and held.holds(own).all()

@@ -6,8 +6,8 @@ with at most BITMAP_BITS bits, whatever the corpus: a frequent phrase is always
 counted in vain, as counts go by the words themselves and LEAST is applied to them. Its slots are worked out by Spark; the driver gets at
 most BITMAP_BITS / 64 of them.
 
-Each task counts phrases in blocks of whole texts before the shuffle (a text longer than BLOCK is a run of blocks that overlap by the words
-of a phrase), so a word or phrase in a third of all texts is a few rows per task. Tables of the levels are joined to
+Each task counts phrases in blocks of TOKENS tokens before the shuffle (a text longer than PIECE bytes is read in pieces that overlap by the
+words of a phrase), so a word or phrase in a third of all texts is a few rows per task. Tables of the levels are joined to
 score each cut of a candidate; hot keys of those joins, such as a word that begins a great many phrases, go to all tasks.
 
 Scores are floor(PARTS * a * a / (l * r)) in whole decimals of 38 digits, exact for counts below 10^15; the lowest-scoring cut counts.
@@ -20,19 +20,25 @@ are not read.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import documents, looked_up, written
+from voxloom.llm.hashing import BASES, mixed
 
 LEAST, LONGEST, TOP, PARTS = 10, 3, 2000, 1_000_000
-#: Bytes of text that a task counts at once, and the most bits of a bitmap.
-BLOCK, BITMAP_BITS = 8_000_000, 1 << 28
+#: Tokens that a task counts at once, bytes of a text that it reads at once, and the most bits of a bitmap.
+TOKENS, PIECE, BITMAP_BITS = 1_500_000, 1_000_000, 1 << 28
+#: Rows that a task hands on at once.
+ROWS = 100_000
 #: Characters that end a piece, and the byte (in no UTF-8 text) that stands for them.
 ENDS, END = b".,;:!?\n\x0b\x0c\r", b"\xff"
 TABLE = bytes.maketrans(ENDS + b"\t", END * len(ENDS) + b" ")
@@ -46,8 +52,19 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.lower().translate(TABLE).replace(END, b" \xff ").split()
 
 
-def hash_of(lang: str, phrase: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(phrase, xxhash.xxh3_64_intdigest(lang.encode()))
+def word_hashes(lang: str, words: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(xxhash.xxh3_64_intdigest(lang.encode()))), dtype=np.uint64)
+
+
+def longer(hashes: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Hashes of phrases, each with a word more."""
+    return mixed(hashes * np.uint64(BASES[0]) + following)
+
+
+def phrase_hashes(lang: str, phrases: list[bytes]) -> np.ndarray:
+    """Hashes of phrases of one length."""
+    words = [word_hashes(lang, x) for x in zip(*(p.split(b" ") for p in phrases), strict=True)]
+    return reduce(longer, words)
 
 
 class Bitmap:
@@ -67,8 +84,11 @@ def hashed(level: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [hash_of(lang, phrase.encode("utf-8", "surrogatepass")) for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(own, dtype=np.uint64).view(np.int64))], ["h"])
+            by: dict[str, list[bytes]] = defaultdict(list)
+            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by[lang].append(phrase.encode("utf-8", "surrogatepass"))
+            for lang, phrases in by.items():
+                yield pa.RecordBatch.from_arrays([pa.array(phrase_hashes(lang, phrases).view(np.int64))], ["h"])
 
     return level.select("lang", "phrase").mapInArrow(run, "h long")
 
@@ -84,42 +104,52 @@ def bitmap(level: DataFrame, bits: int = BITMAP_BITS) -> Bitmap:
     return Bitmap(rows.column(0).to_numpy(), rows.column(1).to_numpy(), size)
 
 
-def count_phrases(lang: str, tokens: list[bytes], k: int, frequent: list[Bitmap]) -> Iterator[tuple[bytes, int]]:
-    """Phrases of k words among tokens whose parts are in the bitmaps of the levels before, each with how often it stands there."""
-    vocabulary: dict[bytes, int] = defaultdict()
-    vocabulary.default_factory = vocabulary.__len__
-    vocabulary[END]  # id 0
-    ids = np.fromiter(map(vocabulary.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-    names = list(vocabulary)
-    if k == 1:
-        n = np.bincount(ids, minlength=len(names))
-        yield from ((w, int(c)) for w, c in zip(names[1:], n[1:], strict=True))
-        return
-    hashes = np.fromiter((hash_of(lang, w) for w in names), dtype=np.uint64, count=len(names))
-    fine = frequent[0].holds(hashes)
-    fine[0] = False
-    ok = fine[ids]  # by place: whether a frequent phrase (a word, first) starts there
-    code, spelled = ids, names
-    for size in range(2, k + 1):
-        at = np.flatnonzero(ok[: len(ids) - size + 1] & ok[1 : len(ids) - size + 2]) if len(ids) >= size else np.zeros(0, dtype=np.int64)
-        keys, inverse, n = np.unique(code[at] * len(names) + ids[at + size - 1], return_inverse=True, return_counts=True)
-        spelled = [spelled[key // len(names)] + b" " + names[key % len(names)] for key in keys.tolist()]
-        if size == k:
-            yield from zip(spelled, n.tolist(), strict=True)
-            return
-        held = frequent[size - 1].holds(np.fromiter((hash_of(lang, w) for w in spelled), dtype=np.uint64, count=len(spelled)))
-        code, ok = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=bool)
-        code[at], ok[at] = inverse, held[inverse]
-
-
-def pieces_of(text: bytes, k: int, size: int = BLOCK) -> Iterator[list[bytes]]:
-    """tokens_of(text) by stretches of about size bytes, each with the k - 1 tokens before it after a mark that keeps its own words apart."""
-    if len(text) <= size:
-        yield tokens_of(text)
-        return
+class Block:
+    """Tokens of texts of one language, as numbers."""
+
+    def __init__(self) -> None:
+        self.vocabulary: dict[bytes, int] = defaultdict()
+        self.vocabulary.default_factory = self.vocabulary.__len__
+        self.parts: list[np.ndarray] = []
+
+    def add(self, tokens: list[bytes]) -> int:
+        """Takes tokens after an END of their own; how many they are."""
+        numbers = map(self.vocabulary.__getitem__, chain((END,), tokens))
+        self.parts.append(np.fromiter(numbers, dtype=np.int64, count=len(tokens) + 1))
+        return len(tokens) + 1
+
+
+def count_phrases(lang: str, block: Block, k: int, frequent: list[Bitmap]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Phrases of k words in a block whose parts are in the bitmaps of the levels before, and how often each stands there, by up to ROWS phrases."""
+    vocabulary, ids = block.vocabulary, np.concatenate(block.parts)
+    names, size = pa.array(vocabulary, pa.binary()), len(vocabulary)
+    at = np.flatnonzero(ids)
+    if k > 1:
+        words = word_hashes(lang, vocabulary)
+        h, fine = words[ids], (frequent[0].holds(words) & (np.arange(size) > 0))[ids]  # by place: of the phrase that starts there, a word at first
+        for more in range(1, k):
+            at = np.flatnonzero(fine[: len(ids) - more] & fine[1 : len(ids) - more + 1]) if len(ids) > more else at[:0]
+            if more < k - 1:
+                h[at], fine[:] = longer(h[at], words[ids[at + more]]), False
+                fine[at] = frequent[more].holds(h[at])
+        del h, fine
+    code = reduce(lambda code, j: code * size + ids[at + j], range(1, k), ids[at])
+    if size**k < 1 << 63:
+        keys, n = np.unique(code, return_counts=True)
+        spelled = [keys // size**j % size for j in range(k - 1, -1, -1)]
+    else:
+        _, first, n = np.unique(np.stack([ids[at + j] for j in range(k)], axis=1), axis=0, return_index=True, return_counts=True)
+        spelled = [ids[at[first] + j] for j in range(k)]
+    for a in range(0, len(n), ROWS):
+        part = [names.take(pa.array(x[a : a + ROWS])) for x in spelled]
+        yield (pc.binary_join_element_wise(*part, b" ") if k > 1 else part[0]), n[a : a + ROWS]
+
+
+def pieces_of(text: bytes, k: int) -> Iterator[list[bytes]]:
+    """tokens_of(text) by stretches of about PIECE bytes, each with the k - 1 tokens before it, so that every phrase of k words is whole in one."""
     a, tail = 0, []
     while a < len(text):
-        b = min(len(text), a + size)
+        b = min(len(text), a + PIECE)
         while b < len(text) and text[b] not in b" \t" + ENDS:
             b += 1
         own = tokens_of(text[a:b])
@@ -136,31 +166,22 @@ def level_counts(docs: DataFrame, k: int, frequent: list[Bitmap], least: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [x.value for x in shared]
 
-        def counted(lang: str, tokens: list[bytes]) -> Iterator[pa.RecordBatch]:
-            rows = list(count_phrases(lang, tokens, k, sets))
-            for a in range(0, len(rows), 100_000):
-                part = rows[a : a + 100_000]
-                phrases = pa.array([x[0] for x in part], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), phrases, pa.array([x[1] for x in part], pa.int64())], ["lang", "phrase", "n"])
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, block in blocks.items():
+                for phrases, n in count_phrases(lang, block, k, sets):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(n), dtype=np.int64))), phrases.cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "phrase", "n"])
+            blocks.clear()
 
-        held: dict[str, list[bytes]] = defaultdict(list)
+        blocks: dict[str, Block] = defaultdict(Block)
         size = 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                if len(data) > BLOCK:
-                    for tokens in pieces_of(data, k):
-                        yield from counted(lang, tokens)
-                    continue
-                held[lang].append(data)
-                size += len(data)
-                if size >= BLOCK:
-                    for own, texts in held.items():
-                        yield from counted(own, tokens_of(b"\n".join(texts)))
-                    held.clear()
-                    size = 0
-        for own, texts in held.items():
-            yield from counted(own, tokens_of(b"\n".join(texts)))
+            for lang, text in zip(*batch.columns, strict=True):
+                for tokens in pieces_of(text.as_py().encode("utf-8", "surrogatepass"), k):
+                    size += blocks[lang.as_py()].add(tokens)
+                    if size >= TOKENS:
+                        yield from counted()
+                        size = 0
+        yield from counted()
 
     return docs.mapInArrow(run, LEVEL).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
