@@ -57,7 +57,11 @@ def frustum_distance(p: Point, a: Point, b: Point, ra: Column, rb: Column) -> Co
 
 def in_tube(p: Point, a: Point, b: Point, ra: Column, rb: Column) -> Column:
     """Whether p lies in the tapered tube, a sphere where the segment has no length; a tube of radius 0 there holds nothing."""
-    share = F.least(F.greatest(segment_share(p, a, b), F.lit(0.0)), F.lit(1.0))
+    return at_tube(p, a, b, ra, rb, F.least(F.greatest(segment_share(p, a, b), F.lit(0.0)), F.lit(1.0)))
+
+
+def at_tube(p: Point, a: Point, b: Point, ra: Column, rb: Column, share: Column) -> Column:
+    """in_tube() where the clamped share of p's projection is known."""
     centre = [x + share * (y - x) for x, y in zip(a, b, strict=True)]
     radius = ra + share * (rb - ra)
     away = minus(p, centre)

@@ -1,12 +1,14 @@
 """Spatial and ordered joins: boxes, nearest neighbours, tubes, branches, key frames, properties.
 
 A distance or overlap predicate becomes an equi-join on grid cells with the exact test behind it, so a join shuffles by cell; cells of
-about the search radius keep candidates few. A crowded cell is a skewed join key, which adaptive execution splits.
+about the search radius keep candidates few. Where points crowd in a cell, they are dealt to parts of it, and what they are held against is
+repeated for each part.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import operator
 from collections.abc import Mapping, Sequence
 
@@ -18,7 +20,11 @@ from voxloom.operators.ordering import numbered, ranged
 from voxloom.storage import written
 
 
-def cells(low: Column, high: Column, cell: float) -> Column:
+#: Points of a cell that stay together: what they meet is repeated once for so many, which is little beside their pairs.
+CROWD = 100
+
+
+def cells(low: Column, high: Column, cell: float | Column) -> Column:
     """All cells that the closed interval meets."""
     return F.sequence(F.floor(low / cell), F.floor(high / cell))
 
@@ -68,14 +74,14 @@ def nearest(left: DataFrame, right: DataFrame, key: str, target: str, value: str
     both = probe.unionByName(keys)
     if not by:
         both, by = ranged(both, [F.col("_v")]), ["_part"]
-    forward, backward = Window.partitionBy(*by).orderBy(F.col("_v"), F.col("_t").desc_nulls_last()), Window.partitionBy(*by).orderBy(F.col("_v"), F.col("_t").asc_nulls_first())
-    upto, onward = forward.rowsBetween(Window.unboundedPreceding, 0), backward.rowsBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("_p", F.last(at, True).over(upto)).withColumn("_n", F.first(at, True).over(onward))
+    # two orders, the second downward: frames that only grow at their end are worked out in one pass
+    forward, backward = Window.partitionBy(*by).orderBy(F.col("_v"), F.col("_t").desc_nulls_last()), Window.partitionBy(*by).orderBy(F.col("_v").desc(), F.col("_t").desc_nulls_last())
+    both = both.withColumns({name: F.last(at, True).over(order.rowsBetween(Window.unboundedPreceding, 0)) for name, order in (("_p", forward), ("_n", backward))})
     if by == ["_part"]:  # what lies beyond a range: the last key before it and the first after it, a row per range
         both = both.withColumn("_i", F.row_number().over(forward)).withColumn("_j", F.row_number().over(backward))
-        ends = both.groupBy("_part").agg(F.max_by("_p", "_i").alias("_hi"), F.min_by("_n", "_j").alias("_lo"))
-        line = Window.orderBy("_part")
-        ends = ends.select("_part", F.last("_hi", True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_hi"), F.first("_lo", True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_lo"))
+        ends = both.groupBy("_part").agg(F.max_by("_p", "_i").alias("_hi"), F.max_by("_n", "_j").alias("_lo"))
+        up, down = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("_part"), F.col("_part").desc()))
+        ends = ends.select("_part", F.last("_hi", True).over(up).alias("_hi"), F.last("_lo", True).over(down).alias("_lo"))
         both = both.join(ends, "_part").withColumn("_p", F.coalesce("_p", "_hi")).withColumn("_n", F.coalesce("_n", "_lo"))
     both = both.where(F.col(key).isNotNull())
     before, after = F.col("_v") - F.col("_p._v"), F.col("_n._v") - F.col("_v")
@@ -106,7 +112,7 @@ def point(prefix: str = "") -> list[Column]:
     return [F.col(f"{prefix}{x}") for x in "xyz"]
 
 
-def pieces(tubes: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
+def pieces(tubes: DataFrame, cell: float | Column, margin: float | Column = 0.0) -> DataFrame:
     """A row per piece of about a cell's length of each tube, with the piece's box (_low_x, _high_x, ...), grown by the larger radius and margin."""
     n = F.greatest(F.lit(1), F.ceil(geometry.distance(point("a"), point("b")) / cell)).cast("int")
     rows = tubes.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
@@ -117,13 +123,80 @@ def pieces(tubes: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
     return rows.drop("_n", "_k")
 
 
+def met(points: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join of both on their cells (keys). A cell of more than CROWD points is split into parts of about so many.
+
+    Few rows may meet in many pairs, so the rows are dealt to all the session's shuffle partitions, however small they are.
+    """
+    crowded = points.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD).select(*keys, F.ceil(F.col("_n") / CROWD).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = points.join(crowded, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*points.columns), parts).cast("int")).drop("_parts")
+    right = others.join(crowded, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(tasks, *keys, "_part").join(right.repartition(tasks, *keys, "_part"), [*keys, "_part"]).drop("_part")
+
+
+CELL = ["_x", "_y", "_z"]
+
+
 def tube_candidates(points: DataFrame, tubes: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
     """points with the tubes (by id) that come within margin of their cell, each pair once. A long thin tube lies in the cells along it, not in all of its box."""
     own, at = points, pieces(tubes, cell, margin)
     for x in "xyz":
         own = own.withColumn(f"_{x}", F.floor(F.col(x) / cell))
         at = at.withColumn(f"_{x}", F.explode(cells(F.col(f"_low_{x}"), F.col(f"_high_{x}"), cell))).drop(f"_low_{x}", f"_high_{x}")
-    return own.join(at.dropDuplicates(["id", "_x", "_y", "_z"]), ["_x", "_y", "_z"]).drop("_x", "_y", "_z")
+    used = own.select(*CELL).distinct()
+    return met(own, at.join(used, CELL, "left_semi").dropDuplicates(["id", *CELL]), CELL).drop(*CELL)
+
+
+def level_of(length: Column, cell: float) -> Column:
+    """The least level whose cells, of cell * 2^level, are as long."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(cell)) / cell))).cast("int")
+
+
+def size_of(level: str, cell: float) -> Column:
+    return F.lit(cell) * F.pow(F.lit(2.0), F.col(level))
+
+
+def reached(points: DataFrame, tubes: DataFrame, cell: float) -> DataFrame:
+    """points (with _reach) with the tubes (by id) that may come so near, each pair once.
+
+    A point lies in one cell, of a size not under its reach; a tube lies in the cells near it, in each size that some point needs.
+    """
+    own = points.withColumn("_level", level_of(F.col("_reach"), cell))
+    levels = [r[0] for r in own.select("_level").distinct().collect()]  # at most one per power of two
+    at = tubes.withColumn("_level", F.explode(F.array(*map(F.lit, levels)) if levels else F.expr("cast(array() as array<int>)")))
+    sizes = size_of("_level", cell)
+    at = pieces(at, sizes, sizes)
+    for x in "xyz":
+        own = own.withColumn(f"_{x}", F.floor(F.col(x) / sizes))
+        at = at.withColumn(f"_{x}", F.explode(cells(F.col(f"_low_{x}"), F.col(f"_high_{x}"), sizes))).drop(f"_low_{x}", f"_high_{x}")
+    keys = ["_level", *CELL]
+    used = own.select(*keys).distinct()
+    return met(own, at.join(used, keys, "left_semi").dropDuplicates(["id", *keys]), keys).drop(*keys)
+
+
+def some_distance(points: DataFrame, axes: DataFrame, cell: float, top: int) -> DataFrame:
+    """points with _reach: the distance to a place of the axes that is not much further than the nearest, found in cells of all sizes up to level top.
+
+    Each used cell of a size keeps one place and shows it to its neighbours.
+    """
+    n = F.greatest(F.lit(1), F.ceil(geometry.distance(point("a"), point("b")) / cell)).cast("int")
+    marks = axes.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    marks = marks.select(*((F.col(f"a{x}") + F.col("_k") / F.col("_n") * (F.col(f"b{x}") - F.col(f"a{x}"))).alias(f"m{x}") for x in "xyz"))
+    sizes, every = size_of("_level", cell), F.explode(F.sequence(F.lit(0), F.lit(top)))
+    marks = marks.withColumn("_level", every).withColumns({f"_{x}": F.floor(F.col(f"m{x}") / sizes) for x in "xyz"})
+    marks = marks.groupBy("_level", *CELL).agg(F.min(F.struct("mx", "my", "mz")).alias("_m")).select("_level", *CELL, "_m.*")
+    for x in CELL:
+        marks = marks.withColumn(x, F.explode(F.array(*(F.col(x) + k for k in (-1, 0, 1)))))
+    own = points.withColumn("_level", every).withColumns({f"_{x}": F.floor(F.col(x) / sizes) for x in "xyz"})
+    near = met(own, marks, ["_level", *CELL]).groupBy("_key").agg(F.min(geometry.distance(point(), point("m"))).alias("_reach"))
+    return points.join(near, "_key")
+
+
+def once(value: Column) -> Column:
+    """value, worked out once for each row: a filter on a plain column would become the join's condition, and work out each use anew."""
+    return F.explode(F.array(value))
 
 
 def finite(columns: Sequence[str]) -> Column:
@@ -134,33 +207,30 @@ def finite(columns: Sequence[str]) -> Column:
 def nearest_on_tree(points: DataFrame, key: str, tubes: DataFrame, cell: float, digits: int = 6) -> DataFrame:
     """_key (of points), id, share, distance, px, py, pz: the point of the tubes' axes nearest to each point (ties to so many digits: the smallest id).
 
-    share is 0 at the node id, 1 at its parent. Points look as far as a cell first; those that find nothing look twice as far each round,
-    in cells twice as large. Points or tubes without finite coordinates take no part; without tubes there are no rows.
+    share is 0 at the node id, 1 at its parent. A coarse pass finds how far each point need look at most, and one exact pass looks so far.
+    Points or tubes without finite coordinates take no part; without tubes there are no rows.
     """
     ends = [f"{k}{x}" for k in "ab" for x in "xyz"]
     axes = written(tubes.select("id", *ends, F.lit(0.0).alias("ar"), F.lit(0.0).alias("br")).where(finite(ends)), "axes")
-    left = points.select(F.col(key).alias("_key"), *"xyz").where(finite("xyz"))
+    left = written(points.select(F.col(key).alias("_key"), *"xyz").where(finite("xyz")), "points")
+    far = [F.max(F.greatest(*(F.abs(F.col(c)) for c in columns))).alias("far") for columns in (ends, ["x", "y", "z"])]
+    furthest = [side.agg(f).first()[0] or 0.0 for side, f in ((axes, far[0]), (left, far[1]))]
+    top = max(1, math.ceil(math.log2(max(2 * max(furthest), cell) / cell)) + 1)
+    bounded = some_distance(left, axes, cell, top).withColumn("_reach", F.col("_reach") * (1 + 1e-9) + 2 * 10.0**-digits)
     share = F.least(F.greatest(geometry.segment_share(point(), point("a"), point("b")), F.lit(0.0)), F.lit(1.0))
-    if axes.isEmpty():
-        left = left.where("false")
-    found = None
-    while True:
-        near = tube_candidates(left, axes, cell, cell + 10.0**-digits).withColumn("share", share)
-        near = near.withColumns({f"p{x}": F.col(f"a{x}") + F.col("share") * (F.col(f"b{x}") - F.col(f"a{x}")) for x in "xyz"})
-        near = near.withColumn("distance", geometry.distance(point(), point("p"))).where(F.round("distance", digits) <= cell)
-        best = near.groupBy("_key").agg(F.min(F.struct(F.round("distance", digits).alias("_d"), "id", "share", "distance", "px", "py", "pz")).alias("m"))
-        done = written(best.select("_key", "m.id", "m.share", "m.distance", "m.px", "m.py", "m.pz"), "nearest")
-        found = done if found is None else found.union(done)
-        left = written(left.join(done.select("_key"), "_key", "left_anti"), "farther")
-        if left.isEmpty():
-            return found
-        cell *= 2
+    near = reached(written(bounded, "reach"), axes, cell).withColumn("share", once(share))
+    near = near.withColumns({f"p{x}": F.col(f"a{x}") + F.col("share") * (F.col(f"b{x}") - F.col(f"a{x}")) for x in "xyz"})
+    near = near.withColumn("distance", geometry.distance(point(), point("p"))).where(F.col("distance") <= F.col("_reach"))
+    best = near.groupBy("_key").agg(F.min(F.struct(F.round("distance", digits).alias("_d"), "id", "share", "distance", "px", "py", "pz")).alias("m"))
+    return best.select("_key", "m.id", "m.share", "m.distance", "m.px", "m.py", "m.pz")
 
 
 def in_tubes(points: DataFrame, key: str, tubes: DataFrame, cell: float) -> DataFrame:
     """The points that lie in some tube, each once."""
-    hit = geometry.in_tube(point(), point("a"), point("b"), F.col("ar"), F.col("br"))
-    inside = tube_candidates(points.select(F.col(key).alias("_key"), *"xyz"), tubes, cell).where(hit).select(F.col("_key").alias(key)).distinct()
+    share = F.least(F.greatest(geometry.segment_share(point(), point("a"), point("b")), F.lit(0.0)), F.lit(1.0))
+    hit = geometry.at_tube(point(), point("a"), point("b"), F.col("ar"), F.col("br"), F.col("_share"))
+    near = tube_candidates(points.select(F.col(key).alias("_key"), *"xyz"), tubes, cell).withColumn("_share", once(share))
+    inside = near.where(hit).select(F.col("_key").alias(key)).distinct()
     return points.join(inside, key, "left_semi")
 
 
@@ -177,15 +247,14 @@ def reparented(kept: DataFrame) -> DataFrame:
     return kept.join(alive, "parent_id", "left").withColumn("parent_id", F.when(F.col("_alive"), F.col("parent_id")).otherwise(F.lit(-1))).select(*kept.columns)
 
 
-def assign_to_branches(points: DataFrame, key: str, tubes: DataFrame, most: float, cell: float) -> DataFrame:
-    """key, id, distance: the tube nearest to each point by frustum distance, within most plus the point's radius (ties: the smallest id)."""
-    own = points.select(F.col(key).alias("_key"), *"xyz", "radius")
-    reach = most + max(points.agg(F.max("radius")).first()[0] or 0.0, 0.0)
+def assign_to_branches(points: DataFrame, key: str, tubes: DataFrame, most: float, cell: float, digits: int = 6) -> DataFrame:
+    """key, id, distance: the tube nearest to each point by frustum distance, within most plus the point's radius (ties to so many digits: the smallest id), and how many tubes are in range."""
+    own = written(points.select(F.col(key).alias("_key"), *"xyz", "radius").withColumn("_reach", most + F.col("radius")).where(finite(["x", "y", "z", "_reach"]) & (F.col("_reach") > 0)), "points")
     apart = geometry.frustum_distance(point(), point("a"), point("b"), F.col("ar"), F.col("br"))
-    near = tube_candidates(own, tubes.where("parent_id <> -1"), cell, reach)
-    near = near.select("_key", "id", "radius", F.explode(F.array(apart)).alias("distance"))  # as a plain column it would be worked out again in the join's condition
-    cut = near.where(F.col("distance") < most + F.col("radius"))
-    return cut.groupBy("_key").agg(F.min(F.struct("distance", "id")).alias("m"), F.count("*").alias("in_range")).select(F.col("_key").alias(key), "m.id", "m.distance", "in_range")
+    near = reached(own, tubes.where("parent_id <> -1"), cell)
+    near = near.select("_key", "id", "_reach", once(apart).alias("distance"))
+    cut = near.where(F.col("distance") < F.col("_reach"))
+    return cut.groupBy("_key").agg(F.min(F.struct(F.round("distance", digits).alias("_d"), "id", "distance")).alias("m"), F.count("*").alias("in_range")).select(F.col("_key").alias(key), "m.id", "m.distance", "in_range")
 
 
 def ambiguous(costs: DataFrame, key: str, cost: str, factor: float) -> DataFrame:
@@ -199,9 +268,9 @@ def as_of(probes: DataFrame, keys: DataFrame, by: Sequence[str], time: str, valu
     rows = probes.select(*by, F.col(time).alias("_t"), *(F.col(c).alias(f"_p_{c}") for c in probes.columns if c not in (*by, time)), F.lit(1).alias("_probe"), F.lit(None).cast("double").alias("_v"))
     known = keys.select(*by, F.col(time).alias("_t"), F.lit(0).alias("_probe"), F.col(value).cast("double").alias("_v"))
     key = F.when(F.col("_probe") == 0, F.struct("_t", "_v"))
-    order = Window.partitionBy(*by).orderBy("_t", "_probe")
+    upward, downward = Window.partitionBy(*by).orderBy("_t", "_probe", "_v"), Window.partitionBy(*by).orderBy(F.col("_t").desc(), F.col("_probe").desc(), F.col("_v").desc())
     both = rows.unionByName(known, allowMissingColumns=True)
-    both = both.withColumn("_a", F.last(key, True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(key, True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    both = both.withColumn("_a", F.last(key, True).over(upward.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.last(key, True).over(downward.rowsBetween(Window.unboundedPreceding, -1)))
     found = both.where("_probe = 1")
     return found.select(*by, F.col("_t").alias(time), *(F.col(f"_p_{c}").alias(c) for c in probes.columns if c not in (*by, time)), F.col("_a._t").alias("t0"), F.col("_a._v").alias("v0"), F.col("_b._t").alias("t1"), F.col("_b._v").alias("v1"))
 

@@ -137,11 +137,11 @@ AWAY, LENGTH = "((x-ax)*(bx-ax) + (y-ay)*(\"by\"-ay) + (z-az)*(bz-az))", "((bx-a
 FRUSTUM = f"CASE WHEN s < 0 THEN sqrt({SQUARE}) - ar WHEN s > 1 THEN sqrt((x-bx)*(x-bx) + (y-\"by\")*(y-\"by\") + (z-bz)*(z-bz)) - br ELSE sqrt(greatest({SQUARE} - coalesce({AWAY} * {AWAY} / nullif({LENGTH}, 0), 0), 0)) - ((1 - s) * ar + s * br) END"
 
 
-@query(f"WITH {TREE}, {TUBES}, {SPOTS}, s AS (SELECT p.*, e.*, {SHARE} AS s FROM p CROSS JOIN e WHERE e.parent_id <> -1), d AS (SELECT *, {FRUSTUM} AS d FROM s) SELECT x, y, z, round(min(d), 4) AS distance, count(*) AS in_range FROM d WHERE d < 2.03 GROUP BY 1, 2, 3")
+@query(f"WITH {TREE}, {TUBES}, {SPOTS}, s AS (SELECT p.*, e.*, {SHARE} AS s FROM p CROSS JOIN e WHERE e.parent_id <> -1), d AS (SELECT *, {FRUSTUM} AS d FROM s) SELECT x, y, z, arg_min(id, (round(d, 6), id)) AS id, round(min(d), 4) AS distance, count(*) AS in_range FROM d WHERE d < 2.03 GROUP BY 1, 2, 3")
 def j07_assign_puncta(spark, sf):
     points = spots(spark, sf).withColumn("radius", F.lit(1.03))
     out = joins.assign_to_branches(points, "key", joins.segments(mapping.tree(spark, sf)), 1.0, 6.0)
-    return out.select("key.*", F.round("distance", 4).alias("distance"), "in_range")
+    return out.select("key.*", "id", F.round("distance", 4).alias("distance"), "in_range")
 
 
 OTHER = SMALL.replace("tree AS", "other AS")
