@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from voxloom import queries, source_queries, spatial_queries
+from voxloom import detection_queries, queries, source_queries, spatial_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -28,7 +28,7 @@ def plain(x):
     return str(x)
 
 
-core, sql = ({**getattr(queries, x), **getattr(source_queries, x), **getattr(spatial_queries, x)} for x in ("QUERIES", "SQL"))
+core, sql = ({**getattr(queries, x), **getattr(source_queries, x), **getattr(spatial_queries, x), **getattr(detection_queries, x)} for x in ("QUERIES", "SQL"))
 
 
 @pytest.mark.parametrize("name", sorted(sql))

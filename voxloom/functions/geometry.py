@@ -1,7 +1,9 @@
-"""Distances, affine maps, tapered tubes and triangles as Column expressions over points (x, y, z)."""
+"""Distances, affine maps, tapered tubes, triangles and ellipses as Column expressions over points (x, y, z)."""
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -91,3 +93,40 @@ def morton(values: Sequence[Column], bits: Sequence[int]) -> Column:
                 out = out.bitwiseOR(F.shiftleft(bit, at))
                 at += 1
     return out
+
+
+def confidence_radius(share: float) -> float:
+    """Radius, in standard deviations, of the plane ellipse that holds a share of a normal distribution."""
+    return math.sqrt(-2 * math.log(1 - share))
+
+
+def ellipse_overlap(one: Sequence[Column], other: Sequence[Column], radius: float, lines: int = 256) -> Column:
+    """Larger share of either ellipse (x, y, var x, cov, var y; so many standard deviations) that lies in the other; 1 where one holds the other's centre.
+
+    The common area is a sum of so many lines. An ellipse without area shares nothing but its centre.
+    """
+
+    def held(p: Sequence[Column], e: Sequence[Column]) -> Column:
+        dx, dy, det = p[0] - e[0], p[1] - e[1], e[2] * e[4] - e[3] * e[3]
+        return (det > 0) & (e[4] * dx * dx - 2 * e[3] * dx * dy + e[2] * dy * dy <= radius * radius * det)
+
+    def line(e: Sequence[Column], y: Column) -> tuple[Column, Column]:
+        dy = y - e[1]
+        middle = e[0] + e[3] / e[4] * dy
+        half = F.sqrt(F.greatest((e[2] - e[3] * e[3] / e[4]) * (radius * radius - dy * dy / e[4]), F.lit(0.0)))
+        return middle - half, middle + half
+
+    def area(e: Sequence[Column]) -> Column:
+        return math.pi * radius * radius * F.sqrt(e[2] * e[4] - e[3] * e[3])
+
+    low = F.greatest(*(e[1] - radius * F.sqrt(e[4]) for e in (one, other)))
+    high = F.least(*(e[1] + radius * F.sqrt(e[4]) for e in (one, other)))
+
+    def width(k: Column) -> Column:
+        (a, b), (c, d) = (line(e, low + (k + 0.5) * (high - low) / lines) for e in (one, other))
+        return F.greatest(F.least(b, d) - F.greatest(a, c), F.lit(0.0))
+
+    common = F.aggregate(F.sequence(F.lit(0), F.lit(lines - 1)), F.lit(0.0), lambda total, k: total + width(k)) * (high - low) / lines
+    flat = functools.reduce(lambda a, b: a | b, (e[2] * e[4] - e[3] * e[3] <= 0 for e in (one, other)))
+    share = F.when(flat | (high <= low), F.lit(0.0)).otherwise(F.least(F.lit(1.0), common / F.least(area(one), area(other))))
+    return F.when(held(one, other) | held(other, one), F.lit(1.0)).otherwise(share)

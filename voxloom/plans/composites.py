@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.operators import aggregate, graph, matching
+from voxloom.operators import aggregate, graph, matching, watershed
 
 
-def detect_puncta(voxels: DataFrame, size: dict[str, int], limit: float, least: int = 1, connectivity: int = 0) -> DataFrame:
-    """image_id, t, c, label and the statistics of every component above limit with at least so many voxels."""
-    labelled = graph.voxel_components(voxels, size, connectivity, F.col("v") > limit)
+def detect_puncta(voxels: DataFrame, size: dict[str, int], limit: float, least: int = 1, connectivity: int = 0, depth: float | None = None) -> DataFrame:
+    """image_id, t, c, label and the statistics of every component above limit with at least so many voxels; with a depth, of every part that a watershed cuts them into."""
+    front = F.col("v") > limit
+    labelled = graph.voxel_components(voxels, size, connectivity, front) if depth is None else watershed.basins(voxels, size, connectivity, depth, front)
     return aggregate.puncta(labelled, ["image_id", "t", "c", "label"]).where(F.col("vol_size") >= least)
 
 
