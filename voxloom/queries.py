@@ -680,7 +680,12 @@ def g06_triangle(spark, sf):
     return threshold.automatic(mapping.images(spark, sf), "triangle", by=["image_id"])
 
 
-@query(None)
+NEXT = """u AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM vox GROUP BY 1),
+  nx AS (SELECT image_id, now, CAST(floor((coalesce(avg(v) FILTER (WHERE v <= now), (any_value(lo) + now) / 2) + coalesce(avg(v) FILTER (WHERE v > now), (now + any_value(hi)) / 2)) / 2) AS BIGINT) AS later FROM vox JOIN u USING (image_id) CROSS JOIN range(256) t(now) WHERE now BETWEEN lo AND hi GROUP BY 1, 2),
+  r AS (SELECT image_id, (lo + hi) // 2 AS now, CAST([] AS BIGINT[]) AS seen FROM u UNION ALL SELECT r.image_id, later, list_append(seen, r.now) FROM r JOIN nx ON nx.image_id = r.image_id AND nx.now = r.now WHERE NOT list_contains(seen, r.now))"""
+
+
+@query(f"WITH RECURSIVE {VOX}, {NEXT} SELECT image_id, now AS threshold FROM r WHERE list_contains(seen, now)")
 def g08_two_centroids(spark, sf):
     return threshold.automatic(mapping.images(spark, sf), "two_centroids", by=["image_id"])
 
@@ -696,7 +701,7 @@ def g12_subtract_background(spark, sf):
     return plane(threshold.subtract_background(mapping.images(spark, sf), rounds=1))
 
 
-@query(None)
+@query(f"WITH RECURSIVE {VOX}, b AS (SELECT image_id, y, x, v > 115 AS held FROM vox), o AS (SELECT image_id, y, x FROM b WHERE NOT held AND (y IN (0, 7) OR x IN (0, 7)) UNION SELECT b.image_id, b.y, b.x FROM o JOIN b ON b.image_id = o.image_id AND abs(b.y - o.y) + abs(b.x - o.x) = 1 WHERE NOT b.held) SELECT b.image_id, b.y, b.x, CAST(o.image_id IS NULL AS BIGINT) AS v FROM b LEFT JOIN o USING (image_id, y, x)")
 def w10_fill_holes(spark, sf):
     own = voxel.binarized(mapping.images(spark, sf).drop("label"), F.col("v") > 115)
     return plane(threshold.fill_holes(own, SIZE)).withColumn("v", F.col("v").cast("bigint"))
@@ -717,14 +722,19 @@ def k01_nearest_centre(spark, sf):
     return matching.nearest_centre(rows, "embedding", centres).select("vec_id", "cluster", F.round("gap", 6).alias("gap"))
 
 
-@query(None)
+GAPS = "SELECT v.vec_id, c.k, list_sum(list_transform(list_zip(v.embedding, c.e), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2]))) AS gap FROM embeddings v CROSS JOIN c{0} c"
+MEANS = "SELECT k, list(s ORDER BY d) AS e FROM (SELECT k, d, avg(CAST(embedding[d] AS DOUBLE)) AS s FROM a{0} JOIN embeddings USING (vec_id) CROSS JOIN range(1, 65) t(d) GROUP BY 1, 2) GROUP BY 1"
+ROUNDS = ", ".join(f"a{i} AS MATERIALIZED (SELECT vec_id, arg_min(k, (round(gap, 9), k)) AS k FROM ({GAPS.format(i)}) GROUP BY 1), c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN ({MEANS.format(i)}) m USING (k))" for i in range(5))
+
+
+@query(f"WITH c0 AS (SELECT vec_id AS k, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id < 5), {ROUNDS} SELECT vec_id, arg_min(k, (round(gap, 9), k)) AS cluster FROM ({GAPS.format(5)}) GROUP BY 1")
 def k01_kmeans(spark, sf):
     rows = mapping.table(spark, sf, "embeddings").select("vec_id", "embedding")
     centres = [x.embedding for x in rows.where("vec_id < 5").orderBy("vec_id").collect()]
     return matching.nearest_centre(rows, "embedding", matching.k_means(rows, "embedding", centres, rounds=5)).select("vec_id", "cluster")
 
 
-@query(None)
+@query(f"WITH {VOX}, a AS (SELECT image_id * 8 + y AS y, x, v FROM vox), b AS (SELECT y - 1 AS y, x + 2 AS x, v FROM a), c AS (SELECT dy, dx, count(*) AS n, corr(CAST(a.v AS DOUBLE), CAST(b.v AS DOUBLE)) AS ncc FROM b CROSS JOIN range(-3, 4) s(dy) CROSS JOIN range(-3, 4) t(dx) JOIN a ON a.y = b.y + dy AND a.x = b.x + dx GROUP BY 1, 2 HAVING count(*) >= 20) SELECT dy, dx, n, round(ncc, 6) AS ncc FROM c ORDER BY ncc DESC, dy, dx LIMIT 1")
 def q01_best_offset(spark, sf):
     a = mapping.images(spark, sf).withColumn("y", F.col("image_id") * 8 + F.col("y"))  # all images, one below the other
     return matching.best_offset(a, a.withColumns({"y": F.col("y") - 1, "x": F.col("x") + 2}), (0, 3, 3), 20).select("dy", "dx", "n", F.round("ncc", 6).alias("ncc"))

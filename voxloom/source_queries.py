@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom import mapping
+from voxloom.functions import hashing
 from voxloom.queries import PTS, TREE, VOX, Query
-from voxloom.sources import chunks, readers, text
+from voxloom.sources import chunks, precomputed, readers, text
 from voxloom.storage import shared_dir
 
 QUERIES: dict[str, Query] = {}
@@ -164,3 +165,47 @@ def s24_worklist(spark, sf):
     own = mapping.table(spark, sf, "part").select(F.col("p_partkey").alias("job"), F.lit("x").alias("unused"), F.concat(F.lit("  "), "p_brand").alias("folder"))
     own.write.csv(path, header=True, ignoreLeadingWhiteSpace=False)
     return text.worklist(spark, path, ["job", "folder"])
+
+
+def murmur_sql(number: str) -> str:
+    """The same hash in steps on numbers below 2^63."""
+    times = lambda a, by: f"(({a}) * {by & 0xFFFF} + ({a}) * {by >> 16} % 65536 * 65536) % 4294967296"
+    turned = lambda a, by: f"((({a}) << {by}) + (({a}) >> {32 - by})) % 4294967296"
+    steps, at = [f"s0 AS (SELECT id, CAST({number} AS HUGEINT) & 4294967295 AS a, CAST({number} AS HUGEINT) >> 32 AS b, CAST(0 AS HUGEINT) AS c FROM events)"], 0
+
+    def step(a: str, b: str, c: str = "c") -> None:
+        nonlocal at
+        at += 1
+        steps.append(f"s{at} AS (SELECT id, {a} AS a, {b} AS b, {c} AS c FROM s{at - 1})")
+
+    step(times("a", 0x239B961B), times("b", 0xAB0E9789))
+    step(turned("a", 15), turned("b", 16))
+    step(times("a", 0xAB0E9789), times("b", 0x38B34AE5))
+    step("xor(a, 8)", "xor(b, 8)")
+    step("(a + b + 16) % 4294967296", "b")
+    step("a", "(a + b) % 4294967296", "(a + 8) % 4294967296")
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        step(*(f"xor({k}, {k} >> {shift})" for k in "abc"))
+        step(*(times(k, by) for k in "abc"))
+    step(*(f"xor({k}, {k} >> 16)" for k in "abc"))
+    step("(a + b + c + c) % 4294967296", "b")
+    step("a", "(a + b) % 4294967296")
+    return ", ".join(steps) + f" SELECT id, CAST(a AS BIGINT) AS low, CAST(b AS BIGINT) AS high FROM s{at}"
+
+
+@query("WITH " + murmur_sql("id * 1000003").replace("FROM events)", "FROM (SELECT event_id AS id FROM events))", 1))
+def m13_murmur(spark, sf):
+    h = hashing.murmur3_128(F.col("id") * 1000003)
+    rows = mapping.table(spark, sf, "events").select(F.col("event_id").alias("id"))
+    return rows.select("id", h.bitwiseAND(F.lit((1 << 32) - 1)).alias("low"), F.shiftrightunsigned(h, 32).alias("high"))
+
+
+@query(f"WITH {VOX} SELECT image_id AS z, y, x, v FROM vox WHERE image_id >= 10 AND image_id < 75 AND y >= 2 AND x < 6")
+def s19_sharded_box(spark, sf):
+    """All images as the planes of one volume, written in shards; then a box of it."""
+    planes = images(spark, sf).withColumns({"z": F.col("image_id"), "image_id": F.lit(0)})
+    depth = int(planes.agg(F.max("z")).first()[0]) + 1
+    volume = precomputed.Volume({"z": depth, "y": 8, "x": 8}, {"z": 16, "y": 4, "x": 4}, "uint8", precomputed.Sharding())
+    path = scratch(spark, "volume")
+    precomputed.write_volume(chunks.to_chunks(planes, volume.chunk), path, volume)
+    return precomputed.read_box(spark, path, {"z": (10, 75), "y": (2, -1), "x": (0, 6)})
