@@ -123,3 +123,25 @@ def test_nearest_of_many_rows_in_one_range(spark):
     probes = left.selectExpr("0 AS g", "k", "a AS time")
     found = joins.as_of(probes, right.selectExpr("0 AS g", "b AS time", "cast(t AS double) AS value"), ["g"], "time", "value")
     assert found.where("t0 > time OR t1 <= time").count() == 0 and found.where("t0 IS NULL").count() == int((values < ends[0]).sum())
+
+
+def test_missing_and_broken_sources_are_told_apart(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from voxloom.sources import readers
+    from voxloom.streaming.progressive import Session
+
+    (tmp_path / "a.xyz").write_text("no numbers here\n")
+    with pytest.raises(ValueError, match="no reader for"):
+        readers.read(spark, f"{tmp_path}/a.xyz")
+    with pytest.raises(ValueError, match="unknown extension"):
+        readers.read(spark, f"{tmp_path}/a.unknown")
+    with pytest.raises(AnalysisException):
+        readers.read(spark, f"{tmp_path}/missing.parquet")
+    session = Session(spark, f"{tmp_path}/session", {"core": 16})
+    assert session.load() == (0, {}, {})
+    session.commit({"nodes": spark.range(3).toDF("id")}, {"index": 7})
+    second = session.commit({"nodes": spark.range(5).toDF("id")}, {"index": 8})
+    assert session.load()[1]["nodes"].count() == 5
+    (tmp_path / "session" / "tables").rename(tmp_path / "moved")
+    assert session.load() == (0, {}, {}) and second == 2

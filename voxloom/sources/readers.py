@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException, ArithmeticException, NumberFormatException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 
 from voxloom.sources import text
 
 Reader = Callable[[SparkSession, str], DataFrame]
+#: What a reader raises for content that it can't read; a store that can't be reached is an error of its own.
+UNREADABLE = (AnalysisException, ArithmeticException, NumberFormatException, SparkRuntimeException, ValueError)
 READERS: list[tuple[str, tuple[str, ...], Reader]] = [
     ("parquet", ("parquet", ""), lambda spark, path: spark.read.parquet(path)),
     ("swc", ("swc", "txt"), text.read_swc),
@@ -32,7 +35,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if not rows.isEmpty():
                     return rows
                 errors.append(f"{kind}: no rows")
-            except Exception as error:  # noqa: BLE001  every reader has its own
+            except UNREADABLE as error:
+                if getattr(error, "getCondition", str)() == "PATH_NOT_FOUND":
+                    raise
                 errors.append(f"{kind}: {str(error).splitlines()[0]}")
     raise ValueError(f"no reader for {path}: {'; '.join(errors) or 'unknown extension'}")
 

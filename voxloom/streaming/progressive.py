@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,7 +61,11 @@ class Session:
         try:
             rows = self.spark.read.text(path).collect()
             return json.loads(rows[0].value) if len(rows) == 1 else None
-        except Exception:  # noqa: BLE001  missing or broken: not loadable
+        except ValueError:  # broken: not loadable
+            return None
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def _commits(self) -> list[int]:
@@ -88,8 +93,9 @@ class Session:
                 continue
             try:
                 return number, {name: self.spark.read.parquet(path) for name, path in found["tables"].items()}, found["state"]
-            except Exception:  # noqa: BLE001, S112  a table is missing: an older commit counts
-                continue
+            except AnalysisException as error:
+                if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # a table is missing: an older commit counts
+                    raise
         return 0, {}, {}
 
 
