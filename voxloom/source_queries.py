@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from voxloom import mapping
 from voxloom.functions import hashing
 from voxloom.queries import PTS, TREE, VOX, Query
-from voxloom.sources import chunks, precomputed, readers, text
+from voxloom.sources import arrays, chunks, precomputed, readers, text
 from voxloom.storage import shared_dir
 
 QUERIES: dict[str, Query] = {}
@@ -209,3 +209,10 @@ def s19_sharded_box(spark, sf):
     path = scratch(spark, "volume")
     precomputed.write_volume(chunks.to_chunks(planes, volume.chunk), path, volume)
     return precomputed.read_box(spark, path, {"z": (10, 75), "y": (2, -1), "x": (0, 6)})
+
+
+@query(f"WITH {VOX}, b AS (SELECT image_id, y, x, v, max(v) OVER (PARTITION BY image_id, y // 4, x // 4) AS top FROM vox) SELECT image_id, y, x, top - v AS v FROM b")
+def s25_map_bricks(spark, sf):
+    """Every brick of 4 x 4 as an array in its task, taken from its largest value."""
+    bricks = chunks.to_chunks(images(spark, sf), {"z": 1, "y": 4, "x": 4})
+    return chunks.to_voxels(arrays.map_bricks(bricks, lambda brick: brick.max() - brick)).select("image_id", "y", "x", "v")
