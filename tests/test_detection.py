@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.functions import geometry
-from voxloom.operators import joins, watershed
+from voxloom.operators import joins, matching, watershed
 from voxloom.plans import composites
 
 
@@ -145,3 +145,47 @@ def test_missing_and_broken_sources_are_told_apart(spark, tmp_path):
     assert session.load()[1]["nodes"].count() == 5
     (tmp_path / "session" / "tables").rename(tmp_path / "moved")
     assert session.load() == (0, {}, {}) and second == 2
+
+
+def test_pairs_of_branches_equal_enumeration(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+
+    def pairings(names):
+        if len(names) < 2:
+            yield ()
+            return
+        if len(names) % 2:
+            for k in range(len(names)):
+                yield from pairings(names[:k] + names[k + 1 :])
+            return
+        for k in range(1, len(names)):
+            for rest in pairings(names[1:k] + names[k + 1 :]):
+                yield ((names[0], names[k]), *rest)
+
+    for g in range(12):
+        n = rng.randint(2, 7)
+        cost = {(a, b): rng.randint(0, 9) for a in range(n) for b in range(a + 1, n)}
+        rows += [(g, a, b, c) for (a, b), c in cost.items()]
+        want[g] = min((sum(cost[p] for p in x), tuple(sorted(x))) for x in pairings(list(range(n))))
+    out = matching.pair_branches(spark.createDataFrame(rows, "g long, a long, b long, cost long"), "g").collect()
+    for g, (total, pairs) in want.items():
+        own = [r for r in out if r.g == g]
+        assert sum(r.cost for r in own) == total and tuple(sorted((r.a, r.b) for r in own)) == pairs
+    lonely = spark.createDataFrame([(1, i, 99, 1) for i in range(1, 22)], "g long, a long, b long, cost long")
+    with pytest.raises(Exception, match="junction of 22"):
+        matching.pair_branches(lonely, "g").collect()
+
+
+def test_drawn_centres_find_separate_clusters(spark):
+    rng = np.random.default_rng(12)
+    middles = np.array([[0.0, 0.0], [10.0, 0.0], [0.0, 10.0], [30.0, 30.0]])
+    points = np.concatenate([m + rng.normal(size=(50, 2)) for m in middles])
+    rows = spark.createDataFrame([(p.tolist(), 1.0) for p in points], "v array<double>, w double")
+    centres, total = matching.best_k_means(rows, "v", 4, attempts=3, seed=5)
+    near = np.abs(np.array(centres)[:, None] - middles[None]).sum(axis=2)
+    assert sorted(near.argmin(axis=1)) == [0, 1, 2, 3] and near.min(axis=1).max() < 1
+    assert total == pytest.approx(((points[:, None] - np.array(centres)) ** 2).sum(axis=2).min(axis=1).sum())
+    assert matching.plus_plus_centres(rows, "v", 4, 5) == matching.plus_plus_centres(rows.repartition(5), "v", 4, 5)
+    assert len(matching.plus_plus_centres(rows.where("v[0] > 29").limit(1), "v", 4)) == 1
+    assert matching.best_k_means(rows.where("false"), "v", 4) == ([], float("inf"))

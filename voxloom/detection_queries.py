@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxloom import mapping
 from voxloom.functions import geometry
-from voxloom.operators import watershed
+from voxloom.operators import matching, watershed
 from voxloom.plans import composites
 from voxloom.queries import SIZE, VOX, Query
 
@@ -73,3 +73,20 @@ def g15_ellipse_overlap(spark: SparkSession, sf: str) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     own, other = ([F.col(f"{k}_{c}") for c in ("x", "y", "xx", "xy", "yy")] for k in "ab")
     return both.select("a", "b", F.round(geometry.ellipse_overlap(own, other, geometry.confidence_radius(0.5)), 5).alias("overlap"))
+
+
+@query("""WITH one AS (SELECT o_custkey * 1000 + (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS g, o_orderkey AS m, CAST(round(o_totalprice * 100) AS BIGINT) AS price FROM orders),
+  p AS (SELECT x.g, x.m AS a, y.m AS b, abs(x.price - y.price) AS cost FROM one x JOIN one y ON x.g = y.g AND x.m < y.m),
+  n AS (SELECT g, count(*) AS n FROM one GROUP BY 1),
+  two AS (SELECT x.g, x.a, x.b, x.cost, y.a AS c, y.b AS d, y.cost AS more FROM p x JOIN p y ON x.g = y.g AND x.a < y.a AND x.b <> y.a AND x.b <> y.b),
+  best AS (SELECT g, arg_min({'a': a, 'b': b, 'cost': cost, 'c': c, 'd': d, 'more': more}, (cost + more, a, b, c, d)) AS k FROM two JOIN n USING (g) WHERE n = 4 GROUP BY 1)
+  SELECT g, arg_min(a, (cost, a, b)) AS a, arg_min(b, (cost, a, b)) AS b, min(cost) AS cost FROM p JOIN n USING (g) WHERE n < 4 GROUP BY 1
+  UNION ALL SELECT g, k.a, k.b, k.cost FROM best UNION ALL SELECT g, k.c, k.d, k.more FROM best""")
+def j20_pair_branches(spark: SparkSession, sf: str) -> DataFrame:
+    """A customer's orders, four by four, as the branches of a junction, paired by price."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("bigint") - 1
+    rows = mapping.table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("m"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("price"), place.alias("_place"))
+    rows = rows.select((F.col("o_custkey") * 1000 + F.expr("_place div 4")).alias("g"), "m", "price")
+    other = rows.withColumnsRenamed({"m": "b", "price": "_price"})
+    links = rows.join(other, "g").where("m < b").select("g", F.col("m").alias("a"), "b", F.abs(F.col("price") - F.col("_price")).alias("cost"))
+    return matching.pair_branches(links, "g")

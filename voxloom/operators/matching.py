@@ -123,6 +123,83 @@ def gonzales_centres(rows: DataFrame, vector: str, first: Sequence[float], k: in
     return centres
 
 
+def plus_plus_centres(rows: DataFrame, vector: str, k: int, seed: int = 0, weight: str | None = None) -> list[list[float]]:
+    """k rows, each drawn with a chance in proportion to its squared distance from those before (times its weight); a pass a centre.
+
+    A row's draw is an exponential time of that rate, from a hash of its vector and the seed, and the first one counts: the same rows give the
+    same centres, however they are dealt. Fewer distinct rows than k give fewer centres.
+    """
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    centres: list[list[float]] = []
+    for turn in range(k):
+        chance = (F.xxhash64(F.lit(seed), F.lit(turn), F.col(vector)).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") + 0.5) / float(1 << 53)
+        own = nearest_centre(rows, vector, centres) if centres else rows.withColumn("gap", F.lit(1.0))
+        first = own.withColumn("_rate", F.col("gap") * w).where("_rate > 0").agg(F.min(F.struct((-F.log(chance) / F.col("_rate")).alias("at"), F.col(vector).alias("v"))).alias("m")).first().m
+        if first is None:
+            break
+        centres.append([float(x) for x in first.v])
+    return centres
+
+
+def best_k_means(rows: DataFrame, vector: str, k: int, attempts: int = 3, seed: int = 0, weight: str | None = None, rounds: int = 20) -> tuple[list[list[float]], float]:
+    """Centres and total squared distance of the best of several runs from drawn centres."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    best: tuple[list[list[float]], float] = ([], float("inf"))
+    for attempt in range(attempts):
+        centres = plus_plus_centres(rows, vector, k, seed + attempt, weight)
+        if not centres:
+            break
+        centres = k_means(rows, vector, centres, weight, rounds=rounds)
+        total = nearest_centre(rows, vector, centres).agg(F.sum(F.col("gap") * w)).first()[0]
+        if total < best[1]:
+            best = (centres, total)
+    return best
+
+
+#: Branches of a junction that pair_branches() takes.
+BRANCHES = 20
+
+
+def pair_branches(links: DataFrame, group: str) -> DataFrame:
+    """group, a, b, cost: the cheapest pairing of the branches of each junction, given the cost of every pair (a < b) once; of an odd number one is left out.
+
+    Of equally cheap pairings the one whose pairs come first counts. A junction has few branches: more than BRANCHES are an error. Each is
+    solved by its sets of branches, smallest first.
+    """
+
+    def solve(own: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*own["a"], *own["b"]})
+        n = len(names)
+        if n > BRANCHES:
+            raise ValueError(f"a junction of {n} branches")
+        at = {name: i for i, name in enumerate(names)}
+        cost = {(at[a], at[b]): c for a, b, c in own[["a", "b", "cost"]].itertuples(index=False)}
+        known: dict[tuple[int, bool], tuple] = {}
+
+        def best(left: int, spare: bool) -> tuple:
+            """Least (cost, pairs) of the branches in left; spare: one of them may stay alone."""
+            if not left:
+                return (0, ())
+            if (left, spare) not in known:
+                i = (left & -left).bit_length() - 1
+                rest = left & ~(1 << i)
+                found = [best(rest, False)] if spare else []
+                for j in range(i + 1, n):
+                    if rest >> j & 1 and (i, j) in cost:
+                        total, pairs = best(rest & ~(1 << j), spare)
+                        found.append((total + cost[i, j], ((i, j), *pairs)))
+                known[left, spare] = min(found, default=(float("inf"), ()))
+            return known[left, spare]
+
+        total, pairs = best((1 << n) - 1, n % 2 == 1)
+        pairs = pairs if total < float("inf") else ()
+        return pd.DataFrame({group: own[group].iloc[:1].repeat(len(pairs)).to_numpy(), "a": [names[i] for i, _ in pairs], "b": [names[j] for _, j in pairs], "cost": [cost[p] for p in pairs]}).astype(kinds)
+
+    schema = links.select(group, "a", "b", "cost").schema
+    kinds = links.select(group, "a", "b", "cost").limit(0).toPandas().dtypes.to_dict()
+    return links.groupBy(group).applyInPandas(solve, schema)
+
+
 def gaussian_mixture(rows: DataFrame, vector: str, means: Sequence[Sequence[float]], rounds: int = 20, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights, means and diagonal variances by expectation-maximisation; each round is one pass that returns a sum per component and dimension."""
     mean = np.asarray(means, dtype=float)
