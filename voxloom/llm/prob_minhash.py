@@ -247,7 +247,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 def representatives(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are left when each class of texts keeps one: a row of its smallest doc_id (ties: the smallest hash of the text). Rows without doc_id stay."""
     rows = text_classes(docs, words, threshold).where("doc_id IS NOT NULL")
-    kept = rows.groupBy("label").agg(F.min(F.struct("doc_id", "unit")).alias("k")).select(F.col("k.doc_id").alias("_doc_id"), F.col("k.unit").alias("_unit"))
+    own = rows.groupBy("label", "doc_id", "unit").agg(F.count("*").alias("n"))
+    kept = own.groupBy("label").agg(F.min(F.struct("doc_id", "unit", "n")).alias("k")).select(F.col("k.doc_id").alias("_doc_id"), F.col("k.unit").alias("_unit"), F.col("k.n").alias("_n"))
+    kept = written(kept, "kept")
     marked = docs.withColumns({"_doc_id": F.col("doc_id").cast("long"), "_unit": F.unhex(F.sha2(text_of(docs), 256))})
-    chosen = marked.join(written(kept, "kept"), ["_doc_id", "_unit"], "left_semi").dropDuplicates(["_doc_id", "_unit"])
+    chosen = marked.join(kept.where("_n = 1"), ["_doc_id", "_unit"], "left_semi")
+    equal = kept.where("_n > 1")  # rows of one id and text, of which one stays
+    if not equal.isEmpty():
+        chosen = chosen.union(marked.join(equal, ["_doc_id", "_unit"], "left_semi").dropDuplicates(["_doc_id", "_unit"]))
     return chosen.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
