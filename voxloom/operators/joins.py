@@ -63,8 +63,9 @@ def chunks_of_box(start: Mapping[str, int], end: Mapping[str, int], level: Mappi
     return out
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, target: str, value: str, other: str, by: Sequence[str] = ()) -> DataFrame:
-    """left with the row of right whose other is nearest to value (ties: the smaller other, then target), as nearest and gap.
+def nearest(left: DataFrame, right: DataFrame, key: str, target: str, value: str, other: str, by: Sequence[str] = (), digits: int = 6) -> DataFrame:
+    """left with the row of right whose other is nearest to value (ties to so many digits of the last one before and the first one after:
+    the smaller other; then the smaller target), as nearest and gap, the lesser of both gaps.
 
     Both sides are ordered on one line; the nearest is the last one before or the first one after, so nothing is compared pairwise.
     """
@@ -85,8 +86,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str, target: str, value: str
         both = both.join(ends, "_part").withColumn("_p", F.coalesce("_p", "_hi")).withColumn("_n", F.coalesce("_n", "_lo"))
     both = both.where(F.col(key).isNotNull())
     before, after = F.col("_v") - F.col("_p._v"), F.col("_n._v") - F.col("_v")
-    first = F.col("_n").isNull() | (before <= after)
-    return left.join(both.select(key, F.when(first, F.col("_p._t")).otherwise(F.col("_n._t")).alias("nearest"), F.when(first, before).otherwise(after).alias("gap")), key)
+    first = F.col("_n").isNull() | (F.round(before, digits) <= F.round(after, digits))
+    return left.join(both.select(key, F.when(first, F.col("_p._t")).otherwise(F.col("_n._t")).alias("nearest"), F.least(before, after).alias("gap")), key)
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
