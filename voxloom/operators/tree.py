@@ -5,6 +5,8 @@ Walks to the root and tours around a tree double their length each round, so a c
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,13 +39,27 @@ def walks(tree: DataFrame, stop: str = "parent_id = -1") -> DataFrame:
     head is that node, steps and length the edges between. One join a round; each round doubles what has been walked.
     """
     edged = with_edges(tree).withColumn("_stop", F.expr(stop) | (F.col("parent_id") == -1))
-    jump = written(edged.select("id", F.when(F.col("_stop"), F.col("id")).otherwise(F.col("parent_id")).alias("head"), F.when(F.col("_stop"), 0).otherwise(1).cast("bigint").alias("steps"), F.when(F.col("_stop"), 0.0).otherwise(F.col("edge")).alias("length")), "walk")
+    return climbed(edged.select("id", *first_steps("_stop", "edge")))
+
+
+def first_steps(stop: str, edge: str) -> list[Column]:
+    """head, steps, length and _done of nodes that stay where stop holds and go to their parent elsewhere."""
+    at = F.col(stop)
+    return [F.when(at, F.col("id")).otherwise(F.col("parent_id")).alias("head"), F.when(at, 0).otherwise(1).cast("bigint").alias("steps"), F.when(at, 0.0).otherwise(F.col(edge)).alias("length"), at.alias("_done")]
+
+
+def climbed(rows: DataFrame) -> DataFrame:
+    """rows (id, head, steps, length, _done and others) walked on to their ends, without _done. A row is written once it is done; only the others go on."""
+    kept = [c for c in rows.columns if c not in ("head", "steps", "length", "_done")]
+    parts = [written(rows, "walk")]
     while True:
-        on = jump.select(F.col("id").alias("head"), F.col("head").alias("_h"), F.col("steps").alias("_s"), F.col("length").alias("_l"))
-        moved = written(jump.join(on, "head").select("id", F.col("_h").alias("head"), (F.col("steps") + F.col("_s")).alias("steps"), (F.col("length") + F.col("_l")).alias("length"), (F.col("_s") > 0).alias("_on")), "walk")
-        jump = moved.drop("_on")
-        if moved.where("_on").isEmpty():
-            return jump
+        known = functools.reduce(DataFrame.union, (x.where("_done") for x in parts[:-1]), parts[-1])
+        on = known.select(F.col("id").alias("head"), F.col("head").alias("_h"), F.col("steps").alias("_s"), F.col("length").alias("_l"), F.col("_done").alias("_d"))
+        moved = parts[-1].where("NOT _done").join(on, "head")
+        moved = moved.select(*kept, F.col("_h").alias("head"), (F.col("steps") + F.col("_s")).alias("steps"), (F.col("length") + F.col("_l")).alias("length"), F.col("_d").alias("_done"))
+        parts.append(written(moved.select(*rows.columns), "walk"))
+        if parts[-1].where("NOT _done").isEmpty():
+            return functools.reduce(DataFrame.union, (x.where("_done") for x in parts)).drop("_done")
 
 
 def depths(tree: DataFrame) -> DataFrame:
@@ -130,29 +146,42 @@ def branches(tree: DataFrame) -> DataFrame:
 
     A branch begins below a root or a branching node; branch_id is its first node. A root is its own branch.
     """
-    kinds = with_degree(tree)
-    parents = kinds.select(F.col("id").alias("parent_id"), F.col("topology").alias("_above"))
-    own = kinds.join(parents, "parent_id", "left").withColumn("_starts", (F.col("parent_id") == -1) | F.col("_above").isin(ROOT, BRANCH))
-    edged = with_edges(tree).select("id", "edge")
-    head = walks(own.select(*tree.columns, "_starts"), "_starts").select("id", F.col("head").alias("branch_id"), F.col("length").alias("_in"))
-    first = edged.select(F.col("id").alias("branch_id"), F.col("edge").alias("_first"))
-    begin = own.select(F.col("id").alias("branch_id"), F.col("parent_id").alias("_joint"))
-    above = head.select(F.col("id").alias("_joint"), F.col("branch_id").alias("parent_branch"))
-    out = own.select("id", "topology").join(edged, "id").join(head, "id").join(first, "branch_id").join(begin, "branch_id").join(above, "_joint", "left").join(depths(tree).select("id", "dist_to_root"), "id")
-    return out.select("id", "branch_id", F.coalesce("parent_branch", F.lit(-1).cast("bigint")).alias("parent_branch"), F.col("edge").alias("dist_to_parent"), (F.col("_in") + F.col("_first")).alias("dist_to_branch_start"), "dist_to_root", "topology")
+    return placed_branches(tree).drop("above")
+
+
+def placed_branches(tree: DataFrame) -> DataFrame:
+    """branches() with above, the topology of the node that the branch hangs on.
+
+    Nodes walk up to the beginning of their branch with what they need, and only the branches, which are fewer, walk on to the root.
+    """
+    kinds = with_degree(tree.select("id", "parent_id", *"xyz"))
+    parents = kinds.select(F.col("id").alias("parent_id"), F.col("topology").alias("above"), *(F.col(a).alias(f"_p{a}") for a in "xyz"))
+    own = kinds.join(parents, "parent_id", "left").withColumn("_starts", (F.col("parent_id") == -1) | F.coalesce(F.col("above").isin(ROOT, BRANCH), F.lit(False)))
+    own = own.withColumn("edge", F.coalesce(geometry.distance([F.col(a) for a in "xyz"], [F.col(f"_p{a}") for a in "xyz"]), F.lit(0.0)))
+    nodes = climbed(own.select("id", *first_steps("_starts", "edge"), "parent_id", "edge", "topology", "above"))
+    heads = nodes.where("id = head").select(F.col("id").alias("branch_id"), F.col("parent_id").alias("_joint"), F.col("edge").alias("_first"), "above")
+    joints = nodes.select(F.col("id").alias("_joint"), F.col("head").alias("parent_branch"), F.col("length").alias("_in"))
+    heads = written(heads.join(joints, "_joint", "left").where("_joint = -1 OR parent_branch IS NOT NULL").withColumn("parent_branch", F.coalesce("parent_branch", F.lit(-1).cast("bigint"))), "branches")
+    links = heads.select(F.col("branch_id").alias("id"), F.col("parent_branch").alias("parent_id"), (F.col("_first") + F.coalesce("_in", F.lit(0.0))).alias("_up"), (F.col("parent_branch") == -1).alias("_top"))
+    totals = climbed(links.select("id", *first_steps("_top", "_up"))).select(F.col("id").alias("branch_id"), F.col("length").alias("_total"))
+    begun = heads.select("branch_id", "parent_branch", "_first", "above").join(totals, "branch_id")
+    out = nodes.select("id", F.col("head").alias("branch_id"), F.col("edge").alias("dist_to_parent"), "length", "topology").join(begun, "branch_id")
+    return out.select("id", "branch_id", "parent_branch", "dist_to_parent", (F.col("length") + F.col("_first")).alias("dist_to_branch_start"), (F.col("length") + F.col("_total")).alias("dist_to_root"), "topology", "above")
 
 
 def branch_table(tree: DataFrame) -> DataFrame:
     """branch_id, nodes, length, end topology: length is the distance of the last node from the branch's start."""
-    return branches(tree).groupBy("branch_id").agg(F.count("*").alias("nodes"), F.max("dist_to_branch_start").alias("length"), F.max_by("topology", "dist_to_branch_start").alias("ends"))
+    return summed(branches(tree))
+
+
+def summed(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.groupBy("branch_id").agg(F.count("*").alias("nodes"), F.max("dist_to_branch_start").alias("length"), F.max_by("topology", "dist_to_branch_start").alias("ends"), *more)
 
 
 def remove_small_leaf_branches(tree: DataFrame, nodes: int, length: float) -> DataFrame:
     """Without the branches that end in a leaf, hang on a branching node, and have fewer nodes and less length."""
-    rows = branches(tree)
-    hung = with_degree(tree).where(F.col("topology") == BRANCH).select(F.col("id").alias("_joint"))
-    heads = tree.select(F.col("id").alias("branch_id"), F.col("parent_id").alias("_joint")).join(hung, "_joint", "left_semi").select("branch_id")
-    small = branch_table(tree).where((F.col("nodes") < nodes) & (F.col("length") < length) & (F.col("ends") == LEAF)).join(heads, "branch_id", "left_semi")
+    rows = written(placed_branches(tree).select("id", "branch_id", "dist_to_branch_start", "topology", "above"), "branches")
+    small = summed(rows, F.max("above").alias("above")).where((F.col("nodes") < nodes) & (F.col("length") < length) & (F.col("ends") == LEAF) & (F.col("above") == BRANCH))
     return tree.join(rows.join(small.select("branch_id"), "branch_id", "left_semi").select("id"), "id", "left_anti")
 
 
