@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import geometry
 from voxloom.operators.ordering import numbered, ranged
+from voxloom.operators.sweep import ENDS, bound, sweep
 from voxloom.storage import written
 
 
@@ -211,30 +212,38 @@ def nearest_on_tree(points: DataFrame, key: str, tubes: DataFrame, cell: float,
     share is 0 at the node id, 1 at its parent. A coarse pass finds how far each point need look at most, and one exact pass looks so far.
     Points or tubes without finite coordinates take no part; without tubes there are no rows.
     """
-    ends = [f"{k}{x}" for k in "ab" for x in "xyz"]
-    axes = written(tubes.select("id", *ends, F.lit(0.0).alias("ar"), F.lit(0.0).alias("br")).where(finite(ends)), "axes")
-    left = written(points.select(F.col(key).alias("_key"), *"xyz").where(finite("xyz")), "points")
-    far = [F.max(F.greatest(*(F.abs(F.col(c)) for c in columns))).alias("far") for columns in (ends, ["x", "y", "z"])]
-    furthest = [side.agg(f).first()[0] or 0.0 for side, f in ((axes, far[0]), (left, far[1]))]
-    top = max(1, math.ceil(math.log2(max(2 * max(furthest), cell) / cell)) + 1)
-    bounded = some_distance(left, axes, cell, top).withColumn("_reach", F.col("_reach") * (1 + 1e-9) + 2 * 10.0**-digits)
-    share = F.least(F.greatest(geometry.segment_share(point(), point("a"), point("b")), F.lit(0.0)), F.lit(1.0))
-    near = reached(written(bounded, "reach"), axes, cell).withColumn("share", once(share))
-    near = near.withColumns({f"p{x}": F.col(f"a{x}") + F.col("share") * (F.col(f"b{x}") - F.col(f"a{x}")) for x in "xyz"})
-    near = near.withColumn("distance", geometry.distance(point(), point("p"))).where(F.col("distance") <= F.col("_reach"))
-    best = near.groupBy("_key").agg(F.min(F.struct(F.round("distance", digits).alias("_d"), "id", "share", "distance", "px", "py", "pz")).alias("m"))
-    return best.select("_key", "m.id", "m.share", "m.distance", "m.px", "m.py", "m.pz")
+    axes = written(tubes.select("id", *ENDS, F.lit(0.0).alias("ar"), F.lit(0.0).alias("br")).where(finite(ENDS)).repartition(tasks(tubes)), "axes")
+    left = numbered_points(points.select(F.col(key).alias("_key"), *"xyz", F.lit(0.0).alias("_reach")).where(finite("xyz")))
+    if axes.isEmpty():
+        left = left.where("false")
+    best = sweep(left, axes, cell, "axis", digits, sample=bound(axes, cell, digits))
+    best = best.withColumn("id", F.col("id").cast(tubes.schema["id"].dataType))
+    return left.select("_n", "_key").join(best, "_n").select("_key", "id", "share", "distance", "px", "py", "pz")
+
+
+def tasks(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered_points(points: DataFrame) -> DataFrame:
+    """points, written, with a number _n of their own."""
+    return written(points.withColumn("_n", F.monotonically_increasing_id()), "points")
 
 
 def in_tubes(points: DataFrame, key: str, tubes: DataFrame, cell: float) -> DataFrame:
     """The points that lie in some tube, each once."""
-    share = F.least(F.greatest(geometry.segment_share(point(), point("a"), point("b")), F.lit(0.0)), F.lit(1.0))
-    hit = geometry.at_tube(point(), point("a"), point("b"), F.col("ar"), F.col("br"), F.col("_share"))
-    near = tube_candidates(points.select(F.col(key).alias("_key"), *"xyz"), tubes, cell).withColumn("_share", once(share))
-    inside = near.where(hit).select(F.col("_key").alias(key)).distinct()
+    own = numbered_points(points.select(F.col(key).alias("_key"), *"xyz", F.lit(0.0).alias("_reach")).where(finite("xyz")))
+    hit = sweep(own, thick(tubes), cell, "tube", few=256)
+    inside = own.join(hit, "_n", "left_semi").select(F.col("_key").alias(key)).distinct()
     return points.join(inside, key, "left_semi")
 
 
+def thick(tubes: DataFrame) -> DataFrame:
+    """Tubes with finite ends and radii, dealt evenly."""
+    columns = [*ENDS, "ar", "br"]
+    return tubes.select("id", *columns).where(finite(columns)).repartition(tasks(tubes))
+
+
 def subtract_tree(tree: DataFrame, other: DataFrame, cell: float) -> DataFrame:
     """tree without the nodes inside the other tree's tubes; children of what goes become roots."""
     hit = in_tubes(tree, "id", segments(other), cell).select("id")
@@ -250,12 +259,11 @@ def reparented(kept: DataFrame) -> DataFrame:
 
 def assign_to_branches(points: DataFrame, key: str, tubes: DataFrame, most: float, cell: float, digits: int = 6) -> DataFrame:
     """key, id, distance: the tube nearest to each point by frustum distance, within most plus the point's radius (ties to so many digits: the smallest id), and how many tubes are in range."""
-    own = written(points.select(F.col(key).alias("_key"), *"xyz", "radius").withColumn("_reach", most + F.col("radius")).where(finite(["x", "y", "z", "_reach"]) & (F.col("_reach") > 0)), "points")
-    apart = geometry.frustum_distance(point(), point("a"), point("b"), F.col("ar"), F.col("br"))
-    near = reached(own, tubes.where("parent_id <> -1"), cell)
-    near = near.select("_key", "id", "_reach", once(apart).alias("distance"))
-    cut = near.where(F.col("distance") < F.col("_reach"))
-    return cut.groupBy("_key").agg(F.min(F.struct(F.round("distance", digits).alias("_d"), "id", "distance")).alias("m"), F.count("*").alias("in_range")).select(F.col("_key").alias(key), "m.id", "m.distance", "in_range")
+    own = points.select(F.col(key).alias("_key"), *"xyz", "radius").withColumn("_reach", most + F.col("radius")).where(finite(["x", "y", "z", "_reach"]) & (F.col("_reach") > 0))
+    own = numbered_points(own)
+    best = sweep(own, thick(tubes.where("parent_id <> -1")), cell, "frustum", digits, few=256)
+    best = best.withColumn("id", F.col("id").cast(tubes.schema["id"].dataType))
+    return own.select("_n", F.col("_key").alias(key)).join(best, "_n").select(key, "id", "distance", "in_range")
 
 
 def ambiguous(costs: DataFrame, key: str, cost: str, factor: float) -> DataFrame:
