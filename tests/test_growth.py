@@ -86,3 +86,67 @@ def test_branches_write_few_rows(spark, wrote):
     wrote.clear()
     assert 0 < tree.remove_small_leaf_branches(nodes, 3, 200.0).count() < n
     assert sum(wrote) <= 5 * n  # the branches once
+
+
+def test_segment_documents_stay_small(spark, tmp_path, monkeypatch):
+    from voxloom import source_queries
+
+    rows = [(i, f"n{i}", "Brand#1", i % 50) for i in range(5000)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    plain, seen = source_queries.text.segment_properties, []
+    monkeypatch.setattr(source_queries.text, "segment_properties", lambda docs: seen.append(docs) or plain(docs))
+    found = {r.id: (r.label, r.tag, r.size) for r in source_queries.s20_segment_properties(spark, str(tmp_path)).collect()}
+    assert seen[0].count() == 3
+    assert found == {i: (f"n{i}", "odd" if i % 2 else "even", float(i % 50)) for i in range(5000)}
+
+
+def test_meshes_share_files(spark, tmp_path):
+    from voxloom.sources import text
+
+    v = [(m, k, float(m), float(k), 0.5) for m in range(40) for k in range(4)]
+    t = [(m, k, k, (k + 1) % 4, (k + 2) % 4) for m in range(40) for k in range(2)]
+    text.write_obj(spark.createDataFrame(v, "mesh_id long, vid long, x double, y double, z double"), spark.createDataFrame(t, "mesh_id long, tid long, a long, b long, c long"), f"{tmp_path}/m")
+    assert not list(tmp_path.glob("m/mesh_id=*")) and len(list(tmp_path.glob("m/part-*"))) < 40
+    vertices, triangles = text.read_obj(spark, f"{tmp_path}/m")
+    assert sorted((int(r.mesh_id), r.vid, r.x, r.y, r.z) for r in vertices.collect()) == v
+    assert sorted((int(r.mesh_id), r.tid, r.a, r.b, r.c) for r in triangles.collect()) == t
+    (tmp_path / "one" / "mesh_id=7").mkdir(parents=True)
+    (tmp_path / "one" / "mesh_id=7" / "a.obj").write_text("v 0 0 0\nv 1 0 0\nv 0 1 0\nf 1 2/5 3\nf -3 -2 -1\n")
+    assert [(r.a, r.b, r.c) for r in text.read_obj(spark, f"{tmp_path}/one")[1].collect()] == [(0, 1, 2), (0, 1, 2)]
+
+
+def test_crowded_boxes_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BOXES", 3)
+    rows = [(i, i * 7 % 30 / 10, i * 7 % 30 / 10 + 1, i * 11 % 23 / 10, i * 11 % 23 / 10 + 0.5) for i in range(60)]
+    got = joins.overlapping_boxes(spark.createDataFrame(rows, "k long, x0 double, x1 double, y0 double, y1 double"), "k", ["x", "y"], 2.0)
+    want = sorted((p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and max(p[1], q[1]) < min(p[2], q[2]) and max(p[3], q[3]) < min(p[4], q[4]))
+    assert sorted((r.a, r.b) for r in got.collect()) == want
+
+
+def test_groups_are_solved_by_whole_batches(spark):
+    from voxloom.operators import matching
+
+    links = spark.createDataFrame([(1, 1, 2, 5), (1, 1, 3, 4), (1, 2, 3, 9), (2, 7, 8, 1)], "g long, a long, b long, cost long")
+    pairs = matching.pair_branches(links, "g")
+    assert "FlatMapGroupsInPandas" not in pairs._jdf.queryExecution().toString()
+    assert sorted(map(tuple, pairs.collect())) == [(1, 1, 3, 4), (2, 7, 8, 1)]
+    random = np.random.default_rng(5)
+    rows = [(g, r, int(c), float(random.integers(0, 9))) for g in range(30) for r in range(6) for c in random.integers(0, 3, 1 if g % 2 else 2)]
+    got = matching.linear_assignment(spark.createDataFrame(rows, "g long, row long, col long, cost double"), limit=6.0).collect()
+    for g in range(30):
+        cost = np.full((6, 3), np.inf)
+        for _, r, c, w in (x for x in rows if x[0] == g):
+            cost[r, c] = min(cost[r, c], w)
+        want = matching.assignment(cost, 6.0)
+        own = [x for x in got if x.g == g]
+        assert len(own) == len(want) and sum(x.cost for x in own) == sum(cost[r, c] for r, c in want)
+
+
+def test_ellipses_are_measured_by_columns(spark):
+    from pyspark.sql import functions as F
+
+    from voxloom.functions import geometry
+
+    row = spark.range(1).select(geometry.ellipse_overlap([F.lit(float(x)) for x in (0, 0, 1, 0, 1)], [F.lit(float(x)) for x in (1.5, 0, 1, 0, 1)], 1.0).alias("v"))
+    assert "ArrowEvalPython" in row._jdf.queryExecution().toString()
+    assert abs(row.first().v - (2 * np.arccos(0.75) - 1.5 / 2 * np.sqrt(4 - 1.5**2)) / np.pi) < 1e-3
