@@ -23,6 +23,8 @@ from voxloom.storage import written
 
 #: Points of a cell that stay together: what they meet is repeated once for so many, which is little beside their pairs.
 CROWD = 100
+#: Boxes of a cell that stay together; they overlap each other often, so a task takes more of them.
+BOXES = 2_000
 
 
 def cells(low: Column, high: Column, cell: float | Column) -> Column:
@@ -47,7 +49,7 @@ def overlapping_boxes(boxes: DataFrame, key: str, axes: Sequence[str], cell: flo
         rows = rows.withColumn(f"_{axis}", F.explode(cells(F.col(f"{axis}0"), F.col(f"{axis}1"), cell)))
     left = rows.select(F.col(key).alias("a"), *(F.col(f"_{x}") for x in axes), *(F.col(f"{x}{k}").alias(f"a{x}{k}") for x in axes for k in (0, 1)))
     right = rows.select(F.col(key).alias("b"), *(F.col(f"_{x}") for x in axes), *(F.col(f"{x}{k}").alias(f"b{x}{k}") for x in axes for k in (0, 1)))
-    both = left.join(right, [f"_{x}" for x in axes]).where("a < b")
+    both = met(left, right, [f"_{x}" for x in axes], BOXES).where("a < b")
     cut = both.select("a", "b", *(F.col(f"_{x}") for x in axes), *(e for x in axes for e in (F.greatest(f"a{x}0", f"b{x}0").alias(f"{x}0"), F.least(f"a{x}1", f"b{x}1").alias(f"{x}1"))))
     real = functools.reduce(operator.and_, (F.col(f"{x}0") < F.col(f"{x}1") for x in axes))
     first = functools.reduce(operator.and_, (F.col(f"_{x}") == F.floor(F.col(f"{x}0") / cell) for x in axes))
@@ -125,12 +127,12 @@ def pieces(tubes: DataFrame, cell: float | Column, margin: float | Column = 0.0)
     return rows.drop("_n", "_k")
 
 
-def met(points: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join of both on their cells (keys). A cell of more than CROWD points is split into parts of about so many.
+def met(points: DataFrame, others: DataFrame, keys: Sequence[str], crowd: int = CROWD) -> DataFrame:
+    """Join of both on their cells (keys). A cell of more than crowd points is split into parts of about so many.
 
     Few rows may meet in many pairs, so the rows are dealt to all the session's shuffle partitions, however small they are.
     """
-    crowded = points.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD).select(*keys, F.ceil(F.col("_n") / CROWD).cast("int").alias("_parts"))
+    crowded = points.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select(*keys, F.ceil(F.col("_n") / crowd).cast("int").alias("_parts"))
     parts = F.coalesce("_parts", F.lit(1))
     left = points.join(crowded, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*points.columns), parts).cast("int")).drop("_parts")
     right = others.join(crowded, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
