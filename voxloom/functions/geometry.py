@@ -6,6 +6,8 @@ import functools
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,23 +112,36 @@ def ellipse_overlap(one: Sequence[Column], other: Sequence[Column], radius: floa
         dx, dy, det = p[0] - e[0], p[1] - e[1], e[2] * e[4] - e[3] * e[3]
         return (det > 0) & (e[4] * dx * dx - 2 * e[3] * dx * dy + e[2] * dy * dy <= radius * radius * det)
 
-    def line(e: Sequence[Column], y: Column) -> tuple[Column, Column]:
-        dy = y - e[1]
-        middle = e[0] + e[3] / e[4] * dy
-        half = F.sqrt(F.greatest((e[2] - e[3] * e[3] / e[4]) * (radius * radius - dy * dy / e[4]), F.lit(0.0)))
-        return middle - half, middle + half
-
     def area(e: Sequence[Column]) -> Column:
         return math.pi * radius * radius * F.sqrt(e[2] * e[4] - e[3] * e[3])
 
     low = F.greatest(*(e[1] - radius * F.sqrt(e[4]) for e in (one, other)))
     high = F.least(*(e[1] + radius * F.sqrt(e[4]) for e in (one, other)))
 
-    def width(k: Column) -> Column:
-        (a, b), (c, d) = (line(e, low + (k + 0.5) * (high - low) / lines) for e in (one, other))
-        return F.greatest(F.least(b, d) - F.greatest(a, c), F.lit(0.0))
-
-    common = F.aggregate(F.sequence(F.lit(0), F.lit(lines - 1)), F.lit(0.0), lambda total, k: total + width(k)) * (high - low) / lines
+    common = common_area(lines)(*one, *other, low, high, F.lit(radius))
     flat = functools.reduce(lambda a, b: a | b, (e[2] * e[4] - e[3] * e[3] <= 0 for e in (one, other)))
     share = F.when(flat | (high <= low), F.lit(0.0)).otherwise(F.least(F.lit(1.0), common / F.least(area(one), area(other))))
     return F.when(held(one, other) | held(other, one), F.lit(1.0)).otherwise(share)
+
+
+def common_area(lines: int):  # noqa: ANN201
+    """Area that two ellipses share between the heights low and high, summed over so many lines; whole columns at a time."""
+
+    @F.pandas_udf("double")
+    def area(ax: pd.Series, ay: pd.Series, axx: pd.Series, axy: pd.Series, ayy: pd.Series, bx: pd.Series, by: pd.Series, bxx: pd.Series, bxy: pd.Series, byy: pd.Series, low: pd.Series, high: pd.Series, radius: pd.Series) -> pd.Series:
+        sides = [[x.to_numpy(dtype=float) for x in e] for e in ((ax, ay, axx, axy, ayy), (bx, by, bxx, bxy, byy))]
+        low, high, square = low.to_numpy(dtype=float), high.to_numpy(dtype=float), radius.to_numpy(dtype=float) ** 2
+        total = np.zeros(len(low))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            tilts = [(e[3] / e[4], e[2] - e[3] * e[3] / e[4]) for e in sides]
+            for k in range(lines):
+                y = low + (k + 0.5) * (high - low) / lines
+                ends = []
+                for e, (tilt, wide) in zip(sides, tilts, strict=True):
+                    dy = y - e[1]
+                    half = np.sqrt(np.maximum(wide * (square - dy * dy / e[4]), 0.0))
+                    ends.append((e[0] + tilt * dy - half, e[0] + tilt * dy + half))
+                total += np.maximum(np.minimum(ends[0][1], ends[1][1]) - np.maximum(ends[0][0], ends[1][0]), 0.0)
+            return pd.Series(total * (high - low) / lines)
+
+    return area
