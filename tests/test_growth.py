@@ -150,3 +150,19 @@ def test_ellipses_are_measured_by_columns(spark):
     row = spark.range(1).select(geometry.ellipse_overlap([F.lit(float(x)) for x in (0, 0, 1, 0, 1)], [F.lit(float(x)) for x in (1.5, 0, 1, 0, 1)], 1.0).alias("v"))
     assert "ArrowEvalPython" in row._jdf.queryExecution().toString()
     assert abs(row.first().v - (2 * np.arccos(0.75) - 1.5 / 2 * np.sqrt(4 - 1.5**2)) / np.pi) < 1e-3
+
+
+def test_lines_meet_once_per_shift_of_lines(spark):
+    from voxloom.operators import neighborhood
+
+    random = np.random.default_rng(9)
+    rows = [(0, y, x, int(random.integers(0, 50))) for y in range(6) for x in range(-70, 140) if random.random() < 0.7]
+    a = spark.createDataFrame(rows, "z long, y long, x long, v long")
+    b = spark.createDataFrame([(z, y + 1, x - 2, v + int(random.integers(0, 9))) for z, y, x, v in rows], "z long, y long, x long, v long")
+    shifts = [(0, y, x) for y in (-1, 0, 2) for x in (-1, 0, 2, 5)]
+    got = {(r.dz, r.dy, r.dx): (r.n, r.ncc) for r in neighborhood.correlation_at(a, b, shifts).collect()}
+    own, other = ({(r.z, r.y, r.x): r.v for r in t.collect()} for t in (a, b))
+    for s in shifts:
+        pairs = [(own[k], other[tuple(np.subtract(k, s).tolist())]) for k in own if tuple(np.subtract(k, s).tolist()) in other]
+        assert got[s][0] == len(pairs) and abs(got[s][1] - np.corrcoef(np.array(pairs).T)[0, 1]) < 1e-9
+    assert max(got, key=lambda s: got[s][1]) == (0, -1, 2)

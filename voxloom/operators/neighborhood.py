@@ -156,6 +156,33 @@ def offsets(connectivity: int, dimensions: int) -> list[tuple[int, int, int]]:
     return [d for d in itertools.product(depth, (-1, 0, 1), (-1, 0, 1)) if 0 < sum(map(abs, d)) <= reach]
 
 
+#: Voxels of a line that stay together.
+LINE = 64
+
+
+def line_pairs(own: DataFrame, other: DataFrame, shifts: Sequence[tuple[int, int, int]], value: str) -> DataFrame:
+    """Every voxel of own (keys, v) with each of other (keys, value) that lies at one of the shifts from it: the keys, v, and nz, ny, nx, value.
+
+    Pieces of lines meet, once per shift of lines, and voxels within them: a shuffle holds each voxel once on one side and about once per
+    shift of lines on the other, not once per shift.
+    """
+    keys = [k for k in own.columns if k != "v"]
+    fixed = [k for k in keys if k not in ("z", "y", "x")]
+    beside: dict[tuple[int, int], list[int]] = {}
+    for z, y, x in shifts:
+        beside.setdefault((z, y), []).append(x)
+    low, high = min(s[2] for s in shifts), max(s[2] for s in shifts)
+    line = [*fixed, "z", "y", "_t"]
+    left = own.withColumn("_t", F.floor(F.col("x") / LINE)).groupBy(*line).agg(F.collect_list(F.struct("x", "v")).alias("_own"))
+    right = other.withColumn("_t", F.explode(F.sequence(F.floor((F.col("x") - high) / LINE), F.floor((F.col("x") - low) / LINE))))
+    right = right.groupBy(*line).agg(F.collect_list(F.struct(F.col("x").alias("nx"), value)).alias("_other"))
+    moved = F.explode(F.array(*(F.struct(F.lit(z).alias("dz"), F.lit(y).alias("dy"), F.array(*map(F.lit, xs)).alias("dx")) for (z, y), xs in beside.items()))).alias("d")
+    right = right.select("*", moved).select(*fixed, "_t", (F.col("z") - F.col("d.dz")).alias("z"), (F.col("y") - F.col("d.dy")).alias("y"), F.col("z").alias("nz"), F.col("y").alias("ny"), "d.dx", "_other")
+    both = left.join(right, line).withColumn("_o", F.explode("_own")).withColumn("_n", F.explode("_other"))
+    near = both.where(F.array_contains("dx", (F.col("_n.nx") - F.col("_o.x")).cast("int")))
+    return near.select(*(F.col("_o.x").alias("x") if k == "x" else F.col(k) for k in keys), F.col("_o.v").alias("v"), "nz", "ny", F.col("_n.nx").alias("nx"), F.col(f"_n.{value}").alias(value))
+
+
 def neighbour_pairs(voxels: DataFrame, shifts: Sequence[tuple[int, int, int]]) -> DataFrame:
     """Every voxel with each neighbour: the keys, v, and nz, ny, nx, nv."""
     keys = [k for k in KEYS if k in voxels.columns]
@@ -245,9 +272,9 @@ def signed_distances(voxels: DataFrame, spacing: Mapping[str, float] | None = No
 
 def correlation_at(a: DataFrame, b: DataFrame, shifts: Sequence[tuple[int, int, int]], least: int = 2) -> DataFrame:
     """dz, dy, dx, n, ncc: normalised cross-correlation of b moved by each offset against a, over the n voxels where they overlap."""
-    moved = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"d{k}") for k, v in zip("zyx", d, strict=True))) for d in shifts))).alias("d")
-    own = b.select("z", "y", "x", F.col("v").alias("_b"), moved).select("_b", "d.*", *((F.col(k) + F.col(f"d.d{k}")).alias(k) for k in "zyx"))
-    return own.join(a.select("z", "y", "x", "v"), ["z", "y", "x"]).groupBy("dz", "dy", "dx").agg(F.count("*").alias("n"), F.corr(F.col("v").cast("double"), F.col("_b").cast("double")).alias("ncc")).where(F.col("n") >= least)
+    both = line_pairs(a.select("z", "y", "x", "v"), b.select("z", "y", "x", F.col("v").alias("_b")), [(-z, -y, -x) for z, y, x in shifts], "_b")
+    found = both.select(*((F.col(k) - F.col(f"n{k}")).alias(f"d{k}") for k in "zyx"), "v", "_b")
+    return found.groupBy("dz", "dy", "dx").agg(F.count("*").alias("n"), F.corr(F.col("v").cast("double"), F.col("_b").cast("double")).alias("ncc")).where(F.col("n") >= least)
 
 
 def spectrum(voxels: DataFrame) -> DataFrame:
