@@ -2,30 +2,23 @@
 
 A flood from above takes the voxels in order of brightness (ties: the smaller number, x fastest) and gives each the basin of its first
 taken neighbour, the brightest one; a voxel without any begins a basin. So every voxel points to its brightest brighter neighbour, and a
-voxel's basin is where its pointers end. Pointers double their length each round, which takes a few rounds whatever the size of a blob.
+voxel's basin is where its pointers end. They are followed within blocks; where they leave one, those of the voxels at borders double their
+length each round, which takes a few rounds whatever the size of a blob.
 
 Basins are many where brightness is noisy or flat. Two that touch are one if the lower peak rises no more than depth above the highest way
-between them (a plateau is always one), and so are basins joined by others: components of a table with a row per pair of touching basins.
+between them (a plateau is always one), and so are basins joined by others: within a block at once, across borders as components of a table
+with a row per pair of touching basins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.operators.graph import components
-from voxloom.operators.neighborhood import KEYS, neighbour_pairs, offsets
+from voxloom.operators import blocks
 from voxloom.storage import written
 
 
-def pointers(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, up: the brightest neighbour of each voxel that comes before it in the flood, or the voxel itself."""
-    before = F.struct(F.col("nv").alias("v"), (-F.col("b")).alias("b"))
-    earlier = pairs.where(before > F.struct(F.col("v"), (-F.col("a")).alias("b")))
-    best = earlier.groupBy("a").agg(F.max(before).alias("m")).select(F.col("a").alias("id"), (-F.col("m.b")).alias("up"))
-    return nodes.join(best, "id", "left").select("id", F.coalesce("up", "id").alias("up"))
-
-
 def ends(up: DataFrame) -> DataFrame:
     """id, root: where the pointers (id, up) of a forest end."""
     now = written(up, "pointers")
@@ -39,25 +32,5 @@ def ends(up: DataFrame) -> DataFrame:
 
 def basins(voxels: DataFrame, size: dict[str, int], connectivity: int = 0, depth: float = 0.0, predicate: Column | None = None) -> DataFrame:
     """The foreground voxels with label: basins of each (image, t, c), numbered from 1 in the order of their first voxel (x fastest)."""
-    front = voxels.where(F.col("v") > 0 if predicate is None else predicate)
-    keys = [k for k in KEYS if k in voxels.columns]
-    groups = [k for k in keys if k not in ("z", "y", "x")]
-    number = lambda z, y, x: (F.col(z) * size["y"] + F.col(y)) * size["x"] + F.col(x)
-    whole = size["z"] * size["y"] * size["x"]
-    stack = front.select(*groups).distinct().withColumn("_s", F.dense_rank().over(Window.orderBy(*groups)) - 1)  # a row per image
-    own = written(front.join(stack, groups).withColumn("id", (F.col("_s") * whole + number("z", "y", "x")).cast("bigint")), "front")
-    pairs = neighbour_pairs(front, offsets(connectivity, 2 if size["z"] == 1 else 3)).join(stack, groups)
-    pairs = pairs.select((F.col("_s") * whole + number("z", "y", "x")).cast("bigint").alias("a"), (F.col("_s") * whole + number("nz", "ny", "nx")).cast("bigint").alias("b"), "v", "nv")
-    pairs = written(pairs, "pairs")
-    roots = written(ends(pointers(pairs, own.select("id"))), "basins")
-    side = lambda k: roots.select(F.col("id").alias(k), F.col("root").alias(f"r{k}"))
-    borders = pairs.where("a < b").join(side("a"), "a").join(side("b"), "b").where("ra <> rb")
-    saddles = borders.groupBy(F.least("ra", "rb").alias("p"), F.greatest("ra", "rb").alias("q")).agg(F.max(F.least("v", "nv")).alias("saddle"))
-    peak = lambda k: own.select(F.col("id").alias(k), F.col("v").alias(f"v{k}"))
-    shallow = saddles.join(peak("p"), "p").join(peak("q"), "q").where(F.least("vp", "vq") - F.col("saddle") <= depth)
-    merged = components(shallow.select(F.col("p").alias("a"), F.col("q").alias("b"))).select(F.col("id").alias("root"), F.col("label").alias("_to"))
-    labels = roots.join(merged, "root", "left").select("id", F.coalesce("_to", "root").alias("_root"))
-    out = own.drop("label").join(labels, "id")
-    heads = out.groupBy(*groups, "_root").agg(F.min("id").alias("_first"))
-    heads = heads.withColumn("label", F.row_number().over(Window.partitionBy(*groups).orderBy("_first")).cast("bigint")).drop("_first")
-    return out.join(heads, [*groups, "_root"]).drop("_root", "_s", "id")
+    front = voxels.where(F.col("v") > 0 if predicate is None else predicate).drop("label")
+    return blocks.parts(front, size, connectivity, "basins", depth=depth).drop("_lost")
