@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_detection import flood, frame, sized
-from voxloom.operators import blocks, graph, watershed
+from voxloom.operators import blocks, graph, threshold, watershed
 
 
 @pytest.fixture
@@ -48,3 +48,54 @@ def test_basins_write_no_pairs_of_neighbours(spark, wrote):
     got = found(watershed.basins(frame(spark, volumes), sized(shape), 8, 9, F.col("v") > 20), shape)
     assert got == {(k, i): label for k, volume in enumerate(volumes) for i, label in flood(volume, 20, 9).items()}
     assert sum(wrote) <= 21  # a row per image at most
+
+
+def plateaus(volume, least):
+    """1 on plateaus without a higher neighbour, unless they are as low as least."""
+    near = list(zip(*np.nonzero(np.ones((3, 3, 3))), strict=True))
+    out, seen = np.zeros(volume.shape, int), set()
+    for start in np.ndindex(volume.shape):
+        if start in seen:
+            continue
+        own, todo, beaten = {start}, [start], False
+        while todo:
+            at = todo.pop()
+            for d in near:
+                p = tuple(int(a + b - 1) for a, b in zip(at, d, strict=True))
+                if all(0 <= a < n for a, n in zip(p, volume.shape, strict=True)):
+                    beaten |= volume[p] > volume[start]
+                    if volume[p] == volume[start] and p not in own:
+                        own.add(p)
+                        todo.append(p)
+        seen |= own
+        for p in own:
+            out[p] = int(not beaten and volume[start] != least)
+    return out.ravel()
+
+
+@pytest.mark.parametrize(("shape", "side"), [((1, 11, 9), 3), ((4, 5, 3), 2)])
+def test_plateaus_and_components_go_on_across_blocks(spark, monkeypatch, shape, side):
+    monkeypatch.setattr(blocks, "SIDE", {2: side, 3: side})
+    volumes = images(shape, 4)
+    voxels = frame(spark, volumes)
+    got = found(threshold.regional_extrema(voxels, sized(shape)), shape, "v")
+    assert got == {(k, i): v for k, volume in enumerate(volumes) for i, v in enumerate(plateaus(volume, 0))}
+    labels = found(graph.voxel_components(voxels, sized(shape), 0, F.col("v") > 2), shape)
+    assert labels == {(k, i): label for k, volume in enumerate(volumes) for i, label in flood(volume, 2, 9).items()}
+
+
+def test_plateaus_write_no_pairs_of_neighbours(spark, wrote):
+    shape = (1, 8, 8)
+    volumes = images(shape, 4, n=20)
+    got = found(threshold.regional_extrema(frame(spark, volumes), sized(shape)), shape, "v")
+    assert got == {(k, i): v for k, volume in enumerate(volumes) for i, v in enumerate(plateaus(volume, 0))}
+    assert sum(wrote) <= 21
+
+
+def test_nulls_beat_nothing_and_stay(spark):
+    rows = [(1, 0, 0, 0, 0, x, v) for x, v in enumerate([5, None, 7, 7, 9, 2])] + [(1, 0, 0, 0, 0, None, 9)]
+    voxels = spark.createDataFrame(rows, "image_id long, t long, c long, z long, y long, x long, v long")
+    got = {r.x: r.v for r in threshold.regional_extrema(voxels, {"z": 1, "y": 1, "x": 6}).collect()}
+    assert got == {0: 1, 1: None, 2: 0, 3: 0, 4: 1, 5: 0}
+    low = {r.x: r.v for r in threshold.regional_extrema(voxels, {"z": 1, "y": 1, "x": 6}, greatest=False).collect()}
+    assert low == {0: 1, 1: None, 2: 1, 3: 1, 4: 0, 5: 1}

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.operators import blocks
 from voxloom.operators.neighborhood import KEYS, neighbour_pairs, offsets
 from voxloom.storage import written
 
@@ -46,19 +47,8 @@ def component_sizes(links: DataFrame) -> DataFrame:
 
 def voxel_components(voxels: DataFrame, size: dict[str, int], connectivity: int = 0, predicate: Column | None = None) -> DataFrame:
     """The foreground voxels with label: components of each (image, t, c), numbered from 1 in the order of their first voxel (x fastest)."""
-    dimensions = 2 if size["z"] == 1 else 3
-    front = voxels.where(F.col("v") > 0 if predicate is None else predicate)
-    keys = [k for k in KEYS if k in voxels.columns]
-    groups = [k for k in keys if k not in ("z", "y", "x")]
-    plane = lambda z, y, x: (F.col(z) * size["y"] + F.col(y)) * size["x"] + F.col(x)
-    whole = size["z"] * size["y"] * size["x"]
-    stack = front.select(*groups).distinct().withColumn("_s", F.dense_rank().over(Window.orderBy(*groups)) - 1)  # a row per image
-    pairs = neighbour_pairs(front, offsets(connectivity, dimensions)).join(stack, groups)
-    links = pairs.select((F.col("_s") * whole + plane("z", "y", "x")).alias("a"), (F.col("_s") * whole + plane("nz", "ny", "nx")).alias("b")).where("a < b")
-    labels = components(links)
-    own = front.join(stack, groups).withColumn("id", (F.col("_s") * whole + plane("z", "y", "x")).cast("bigint")).join(labels, "id", "left").withColumn("_first", F.coalesce("label", "id"))
-    heads = own.select(*groups, "_first").distinct().withColumn("_label", F.row_number().over(Window.partitionBy(*groups).orderBy("_first")).cast("bigint"))
-    return own.drop("label").join(heads, [*groups, "_first"]).withColumnRenamed("_label", "label").drop("_first", "_s", "id")
+    front = voxels.where(F.col("v") > 0 if predicate is None else predicate).drop("label")
+    return blocks.parts(front, size, connectivity, "components").drop("_lost")
 
 
 def large_objects(labelled: DataFrame, least: int) -> DataFrame:

@@ -8,28 +8,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.operators import aggregate
+from voxloom.operators import aggregate, blocks
 from voxloom.operators.graph import voxel_components
-from voxloom.operators.neighborhood import KEYS, neighbour_pairs, offsets
+from voxloom.operators.neighborhood import KEYS
 
 
 def regional_extrema(voxels: DataFrame, size: dict[str, int], connectivity: int = 0, low: float = 0, high: float = 255, greatest: bool = True) -> DataFrame:
     """voxels with v = 1 on plateaus without a higher (lower) neighbour, otherwise 0; a plateau at the end of the data range is none."""
     keys = [k for k in KEYS if k in voxels.columns]
-    dimensions = 2 if size["z"] == 1 else 3
-    shifts = offsets(connectivity, dimensions)
-    pairs = neighbour_pairs(voxels, shifts)
-    beaten = (F.col("nv") > F.col("v")) if greatest else (F.col("nv") < F.col("v"))
-    over = pairs.where(beaten).select(*keys).distinct().withColumn("_over", F.lit(True))
-    # plateaus: neighbours of equal value; labelled per value by making equal voxels one channel
-    flat = voxels.select(*(k for k in keys if k != "c"), F.struct("c", "v").alias("c"), F.lit(1).alias("v")) if "c" in keys else voxels
-    labelled = voxel_components(flat, size, connectivity).select(*(k for k in keys if k != "c"), F.col("c.c").alias("c"), F.col("c").alias("_plane"), "label")
-    groups = [k for k in keys if k not in ("c", "z", "y", "x")] + ["_plane", "label"]
-    marked = labelled.join(over, keys, "left")
-    lost = marked.groupBy(*groups).agg(F.max(F.coalesce("_over", F.lit(False))).alias("_lost"))
-    end = F.lit(high if not greatest else low)
-    out = marked.join(lost, groups).join(voxels.select(*keys, "v"), keys)
-    return out.withColumn("v", (~F.col("_lost") & (F.col("v") != end)).cast("bigint")).select(*keys, "v")
+    marked = blocks.parts(voxels.select(*keys, "v"), size, connectivity, "plateaus", greatest)
+    end = F.lit(low if greatest else high)
+    return marked.withColumn("v", F.when(F.col("v").isNotNull(), ~F.col("_lost") & (F.col("v") != end)).cast("bigint")).select(*keys, "v")
 
 
 def counts(histogram: DataFrame, bins: int) -> np.ndarray:
