@@ -99,3 +99,30 @@ def test_nulls_beat_nothing_and_stay(spark):
     assert got == {0: 1, 1: None, 2: 0, 3: 0, 4: 1, 5: 0}
     low = {r.x: r.v for r in threshold.regional_extrema(voxels, {"z": 1, "y": 1, "x": 6}, greatest=False).collect()}
     assert low == {0: 1, 1: None, 2: 1, 3: 1, 4: 0, 5: 1}
+
+
+def test_masks_make_pixels_without_shuffling_them(spark, monkeypatch):
+    from voxloom.operators import mesh
+
+    monkeypatch.setattr(mesh, "TILE", 5, raising=False)
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for roi in range(6):
+        image = np.zeros((40, 40), bool)
+        for k in range(5):
+            add, kind = bool(rng.integers(0, 3)), ("rect", "ellipse")[k % 2]
+            (x0, x1), (y0, y1) = (np.sort(rng.integers(1, 39, 2)) + 0.5 * (k % 2) for _ in range(2))
+            rows.append((roi, 0, k // 2, k % 2, add, kind, [{"x": float(x1), "y": float(y0)}, {"x": float(x0), "y": float(y1)}]))
+            y, x = np.mgrid[:40, :40]
+            if kind == "rect":
+                hit = (x >= x0) & (x <= x1) & (y >= y0) & (y <= y1)
+            else:
+                hit = np.zeros_like(image) if x0 == x1 or y0 == y1 else ((x - (x0 + x1) / 2) / ((x1 - x0) / 2)) ** 2 + ((y - (y0 + y1) / 2) / ((y1 - y0) / 2)) ** 2 <= 1 + 1e-12
+            image[hit] = add
+        want[roi] = {(int(a), int(b)) for a, b in zip(*np.nonzero(image), strict=True)}
+    ops = spark.createDataFrame(rows, "roi_id long, slice long, shape_id long, op_idx long, is_add boolean, type string, pts array<struct<x:double,y:double>>")
+    out = mesh.roi_mask(ops)
+    got = [(r.roi_id, r.y, r.x) for r in out.collect()]
+    assert len(got) == len(set(got)) and {roi: {p[1:] for p in got if p[0] == roi} for roi in want} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.rindex("Generate explode(sequence(greatest(array_min")  # pixels come after the grouping

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,18 +86,37 @@ def covers(kind: Column, x: Column, y: Column, points: Column) -> Column:
     return F.when(kind == "rect", rect).when(kind == "ellipse", ellipse).otherwise(in_polygon(x, y, points))
 
 
+def reaching(axis: str) -> Callable[[Column], Column]:
+    return lambda op: (op[f"{axis}0"] <= F.col(axis)) & (F.col(axis) <= op[f"{axis}1"])
+
+
+#: Side of the tiles in which the operations on a region meet.
+TILE = 64
+
+
 def roi_mask(ops: DataFrame) -> DataFrame:
     """roi_id, slice, y, x of the pixels inside: the last operation that covers a pixel decides (roi_ops: roi_id, slice, shape_id, op_idx, is_add, type, pts).
 
-    Each operation makes only the pixels of its own bounding box.
+    Operations meet in tiles, so pixels are made and judged one by one, and only operations are shuffled. They are dealt to all the session's
+    shuffle partitions, however small they are, as each makes many pixels.
     """
     ends = {f"{k}{e}": f(F.col(f"pts.{k}")) for k in "xy" for e, f in ((0, F.array_min), (1, F.array_max))}
     rows = ops.withColumns(ends)
     for k in "yx":
-        rows = rows.withColumn(k, F.explode(F.sequence(F.ceil(f"{k}0").cast("bigint"), F.greatest(F.ceil(f"{k}0"), F.floor(f"{k}1")).cast("bigint"))))
-    hit = rows.where(covers(F.col("type"), F.col("x").cast("double"), F.col("y").cast("double"), F.col("pts")))
-    last = hit.groupBy("roi_id", "slice", "y", "x").agg(F.max_by("is_add", F.struct("shape_id", "op_idx")).alias("_add"))
-    return last.where("_add").drop("_add")
+        low = F.ceil(f"{k}0").cast("bigint")
+        rows = rows.withColumns({f"{k}0": low, f"{k}1": F.greatest(low, F.floor(f"{k}1").cast("bigint"))})
+        rows = rows.withColumn(f"_{k}", F.explode(F.sequence(F.floor(F.col(f"{k}0") / TILE), F.floor(F.col(f"{k}1") / TILE))))
+    tile = ["roi_id", "slice", "_y", "_x"]
+    op = F.struct("shape_id", "op_idx", "is_add", "type", "pts", "y0", "y1", "x0", "x1")
+    tasks = int(ops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.groupBy(*tile).agg(F.sort_array(F.collect_list(op), asc=False).alias("_ops")).repartition(tasks, *tile)
+    for k in "yx":  # the operations that reach a line of the tile, then those that reach a pixel of it
+        first, last = (f(F.col(f"_ops.{k}{e}")) for f, e in ((F.array_min, 0), (F.array_max, 1)))
+        inside = F.sequence(F.greatest(first, F.col(f"_{k}") * TILE), F.least(last, F.col(f"_{k}") * TILE + TILE - 1))
+        rows = rows.withColumn(k, F.explode(inside))
+        rows = rows.withColumn("_ops", F.filter("_ops", reaching(k))).where(F.size("_ops") > 0)
+    hit = F.filter("_ops", lambda o: covers(o["type"], F.col("x").cast("double"), F.col("y").cast("double"), o["pts"]))
+    return rows.where(F.get(hit, 0)["is_add"]).select("roi_id", "slice", "y", "x")
 
 
 def moved_roi(ops: DataFrame, dx: float, dy: float) -> DataFrame:
