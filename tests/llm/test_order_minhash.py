@@ -93,6 +93,15 @@ def test_neighbours_in_many_buckets(spark, monkeypatch):
     assert got == {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
 
 
+def test_neighbours_beyond_two_thousand_buckets(spark, monkeypatch):
+    monkeypatch.setattr(o, "BUCKET_ROWS", 1)
+    docs = spark.range(3000).select((F.col("id") * 5).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    near = o.neighbours(docs)
+    got = {x.text: (x.next_text, x.bucket) for x in near.where("not ghost").collect()}
+    assert {k: v[0] for k, v in got.items()} == {f"t{i}": f"t{(i + 1) % 3000}" for i in range(3000)}
+    assert len({v[1] for v in got.values()}) > 2900
+
+
 def test_odd_rows(odd, none):
     out = o.with_edits(odd).collect()
     assert len(out) == 9

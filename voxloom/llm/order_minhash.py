@@ -106,15 +106,14 @@ def neighbours(docs: DataFrame) -> DataFrame:
     low, marks = docs.agg(F.min("_key"), F.percentile_approx("_key", F.split(F.lit(",".join(str(i / buckets) for i in range(buckets))), ",").cast("array<double>"), max(10_000, 4 * buckets))).first()
     starts = sorted(({low: 1} | Counter(marks or [])).items()) if n else [(0, 1)]  # at most MOST_BUCKETS numbers, and how many quantiles each spans
     side = math.isqrt(len(starts) - 1) + 1
-    groups = [starts[i : i + side] for i in range(0, len(starts), side)]
-    table = F.transform(F.split(F.lit(";".join(",".join(str(key) for key, _ in g) for g in groups)), ";"), lambda x: F.split(x, ",").cast("array<bigint>"))
+    keys = longs([key for key, _ in starts])
     upto = lambda values: F.size(F.filter(values, lambda x: x <= F.col("_key")))
-    docs = docs.withColumn("_g", upto(longs([g[0][0] for g in groups])))
-    docs = docs.withColumn("_at", (F.col("_g") - 1) * side + upto(F.element_at(table, F.col("_g"))))
+    docs = docs.withColumn("_g", upto(longs([key for key, _ in starts[::side]])))
+    docs = docs.withColumn("_at", (F.col("_g") - 1) * side + upto(F.slice(keys, (F.col("_g") - 1) * side + 1, F.lit(side))))  # a literal array: nothing is parsed for a row
     parts = F.element_at(longs([min(PARTS, n) for _, n in starts]), F.col("_at"))
     part = F.shiftright(F.shiftrightunsigned(F.col("_tie").bitwiseXOR(F.lit(FIRST_KEY)), 24) * parts, 40)
-    part = F.when(F.col("_key") == F.element_at(longs([key for key, _ in starts]), F.col("_at")), part).otherwise(parts - 1)  # later ids follow the last part
-    docs = docs.withColumn("bucket", F.col("_at") * PARTS + part)
+    part = F.when(F.col("_key") == F.element_at(keys, F.col("_at")), part).otherwise(parts - 1)  # later ids follow the last part
+    docs = docs.withColumn("bucket", F.col("_at").cast("long") * PARTS + part)
     heads = written(docs.groupBy("bucket").agg(F.min(F.struct("_key", "_tie")).alias("head")), "heads")
     # a row per bucket, at most MOST_BUCKETS of them: one task may number them, and Spark sends them to all tasks while they are small
     round_about = Window.orderBy("bucket")
