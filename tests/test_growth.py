@@ -166,3 +166,46 @@ def test_lines_meet_once_per_shift_of_lines(spark):
         pairs = [(own[k], other[tuple(np.subtract(k, s).tolist())]) for k in own if tuple(np.subtract(k, s).tolist()) in other]
         assert got[s][0] == len(pairs) and abs(got[s][1] - np.corrcoef(np.array(pairs).T)[0, 1]) < 1e-9
     assert max(got, key=lambda s: got[s][1]) == (0, -1, 2)
+
+
+def test_equal_axes_and_places_are_searched_once(spark, wrote, monkeypatch):
+    from voxloom.operators import sweep
+
+    monkeypatch.setattr(sweep, "MORE", 2, raising=False)  # samples of 64, 128 and 256 tubes
+    random = np.random.default_rng(11)
+    place = np.round(random.uniform(0, 100, (600, 3)), 2)
+    edges = [(i, *place[i], *place[i - 1 if i % 20 else i]) for i in range(600)]
+    names = [f"{k}{x}" for k in "ab" for x in "xyz"]
+    rows = [(i + 600 * copy, *map(float, e)) for copy in (4, 0, 3, 1, 2) for i, *e in edges]
+    tubes = spark.createDataFrame(rows, f"id long, {', '.join(f'{n} double' for n in names)}").selectExpr("id", *(f"`{n}`" for n in names))
+    spots = np.round(random.uniform(-30, 130, (50, 3)), 2)
+    points = spark.createDataFrame([(f"p{k}-{copy}", *map(float, s)) for copy in range(3) for k, s in enumerate(spots)], "k string, x double, y double, z double")
+    got = {r["_key"]: (r.id, r.distance) for r in joins.nearest_on_tree(points, "k", tubes, 4.0).collect()}
+    a, b = (np.array([e[i : i + 3] for e in edges], dtype=float) for i in (1, 4))
+    assert len(got) == 150
+    for k, s in enumerate(spots):
+        apart = sweep.away(np.repeat(s[None], 600, axis=0), a, b - a)[2]
+        for copy in range(3):
+            assert got[f"p{k}-{copy}"][0] == int(np.floor(apart * 1e6 + 0.5).argmin()) and abs(got[f"p{k}-{copy}"][1] - apart.min()) < 1e-9
+    assert sum(wrote) <= 600 + 150
+
+
+@pytest.mark.parametrize("flat", [False, True])
+def test_nested_boxes_lose_no_pair_and_hold_few(flat):
+    from voxloom.operators import sweep
+
+    random = np.random.default_rng(12)
+    xyz = np.floor(random.uniform(0, 100, (3000, 3))) if flat else random.uniform(0, 100, (3000, 3))
+    reach = random.uniform(0, 0.3, 3000)
+    order = sweep.nested(xyz)
+    assert sorted(order) == list(range(3000))
+    xyz = xyz[order]
+    a, b = random.uniform(-20, 120, (400, 3)), random.uniform(-20, 120, (400, 3))
+    a[:50], b[:50] = xyz[:50], xyz[:50]  # no length
+    a[50:100], b[50:100, 0], b[50:100, 1:] = xyz[50:100], 120.0, xyz[50:100, 1:]  # along a side
+    pairs = [np.concatenate(x) for x in zip(*sweep.Nest(xyz, reach).met(a, b), strict=True)]
+    met = set(zip(*map(np.ndarray.tolist, pairs), strict=True))
+    assert len(met) == len(pairs[0]) < 0.02 * 400 * 3000
+    for t in range(400):
+        apart = sweep.away(xyz, np.repeat(a[t : t + 1], 3000, axis=0), np.repeat((b - a)[t : t + 1], 3000, axis=0))[2]
+        assert all((t, int(p)) in met for p in np.flatnonzero(apart <= reach))

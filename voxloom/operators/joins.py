@@ -211,16 +211,20 @@ def finite(columns: Sequence[str]) -> Column:
 def nearest_on_tree(points: DataFrame, key: str, tubes: DataFrame, cell: float, digits: int = 6) -> DataFrame:
     """_key (of points), id, share, distance, px, py, pz: the point of the tubes' axes nearest to each point (ties to so many digits: the smallest id).
 
-    share is 0 at the node id, 1 at its parent. A coarse pass finds how far each point need look at most, and one exact pass looks so far.
-    Points or tubes without finite coordinates take no part; without tubes there are no rows.
+    share is 0 at the node id, 1 at its parent. Passes over samples find how far each point need look at most, and one exact pass looks so far.
+    Of tubes with the same axis only the smallest id can count, and points of one place share their answer. Points or tubes without finite
+    coordinates take no part; without tubes there are no rows.
     """
-    axes = written(tubes.select("id", *ENDS, F.lit(0.0).alias("ar"), F.lit(0.0).alias("br")).where(finite(ENDS)).repartition(tasks(tubes)), "axes")
-    left = numbered_points(points.select(F.col(key).alias("_key"), *"xyz", F.lit(0.0).alias("_reach")).where(finite("xyz")))
+    ids = F.min(F.col("id").cast("bigint")).alias("id")
+    axes = tubes.select("id", *(F.col(c).cast("double").alias(c) for c in ENDS)).where(finite(ENDS)).groupBy(*ENDS).agg(ids)
+    axes = written(axes.select("id", *ENDS, F.lit(0.0).alias("ar"), F.lit(0.0).alias("br")), "axes")
+    left = numbered_points(points.select(F.col(key).alias("_key"), *(F.col(x).cast("double").alias(x) for x in "xyz")).where(finite("xyz")))
     if axes.isEmpty():
         left = left.where("false")
-    best = sweep(left, axes, cell, "axis", digits, sample=bound(axes, cell, digits))
+    places = left.groupBy(*"xyz").agg(F.min("_n").alias("_n"), F.lit(0.0).alias("_reach"))
+    best = sweep(places, axes, cell, "axis", digits, sample=bound(axes, cell, digits)).join(places, "_n")
     best = best.withColumn("id", F.col("id").cast(tubes.schema["id"].dataType))
-    return left.select("_n", "_key").join(best, "_n").select("_key", "id", "share", "distance", "px", "py", "pz")
+    return left.select("_key", *"xyz").join(best, [*"xyz"]).select("_key", "id", "share", "distance", "px", "py", "pz")
 
 
 def tasks(rows: DataFrame) -> int:

@@ -149,8 +149,8 @@ def branches(tree: DataFrame) -> DataFrame:
     return placed_branches(tree).drop("above")
 
 
-def placed_branches(tree: DataFrame) -> DataFrame:
-    """branches() with above, the topology of the node that the branch hangs on.
+def placed_branches(tree: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """branches() with above, the topology of the node that the branch hangs on; of the ids in only, where given.
 
     Nodes walk up to the beginning of their branch with what they need, and only the branches, which are fewer, walk on to the root.
     """
@@ -165,7 +165,8 @@ def placed_branches(tree: DataFrame) -> DataFrame:
     links = heads.select(F.col("branch_id").alias("id"), F.col("parent_branch").alias("parent_id"), (F.col("_first") + F.coalesce("_in", F.lit(0.0))).alias("_up"), (F.col("parent_branch") == -1).alias("_top"))
     totals = climbed(links.select("id", *first_steps("_top", "_up"))).select(F.col("id").alias("branch_id"), F.col("length").alias("_total"))
     begun = heads.select("branch_id", "parent_branch", "_first", "above").join(totals, "branch_id")
-    out = nodes.select("id", F.col("head").alias("branch_id"), F.col("edge").alias("dist_to_parent"), "length", "topology").join(begun, "branch_id")
+    asked = nodes if only is None else nodes.join(only, "id", "left_semi")
+    out = asked.select("id", F.col("head").alias("branch_id"), F.col("edge").alias("dist_to_parent"), "length", "topology").join(begun, "branch_id")
     return out.select("id", "branch_id", "parent_branch", "dist_to_parent", (F.col("length") + F.col("_first")).alias("dist_to_branch_start"), (F.col("length") + F.col("_total")).alias("dist_to_root"), "topology", "above")
 
 
@@ -252,8 +253,8 @@ def on_branches(points: DataFrame, key: str, tree: DataFrame, cell: float) -> Da
 
     share is 0 at the node id and 1 at its parent. A tree of one node is the sphere around it. Points without coordinates have no row.
     """
-    near = nearest_on_tree(points, key, segments(tree), cell)
-    at = near.join(branches(tree), "id")
+    near = written(nearest_on_tree(points, key, segments(tree), cell), "near")
+    at = near.join(placed_branches(tree, near.select("id")), "id")
     back = F.col("share") * F.col("dist_to_parent")
     return at.select("_key", "id", "branch_id", "share", "distance", (F.col("dist_to_branch_start") - back).alias("dist_to_branch_start"), (F.col("dist_to_root") - back).alias("dist_to_root"))
 
